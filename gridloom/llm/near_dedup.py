@@ -173,7 +173,7 @@ def _block_pairs(members: DataFrame, reps: DataFrame, k: int, least: int, percen
         owner = np.repeat(np.arange(len(sk)), [len(s) for s in sk])
         m = np.zeros((len(sk), int(code.max(initial=-1)) + 1), np.float32)
         m[owner, code] = 1
-        x, y = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        x, y = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
         shared = m[x] @ m[y].T
         nx, ny = ns[x][:, None], ns[y][None, :]
         small = (nx <= k) & (ny <= k)
