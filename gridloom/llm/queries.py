@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .langid import op10_langid
 from .near_dedup import op9_near_dedup
+from .packing import op8_packing
+from .quality import op1_quality
+from .quality_rules import op3_quality_rules
+from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
+    "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
+    "op10_langid": op10_langid,
 }
 
 SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
