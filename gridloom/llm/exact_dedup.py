@@ -60,9 +60,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another kept row has; all columns stay."""
-    stays = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
+    """``docs`` without the rows whose text another kept row has; all columns stay. Rows that repeat both id and text stay together."""
+    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    sha = F.sha2(F.coalesce(ascii_lower(F.col("text")), F.lit("")).cast("binary"), 256)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (sha == gone["_sha"]), "left_anti")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

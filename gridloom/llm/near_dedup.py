@@ -2,15 +2,16 @@
 
 1. Each whole text becomes the set of its hashed five-word shingles and the k smallest of them (its sketch). Texts with equal sets
    form a class; only one row of a class goes on.
-2. Of two sets with Jaccard of at least 0.75, the k smallest of their union lie in both with probability 0.75 each, so two sketches
-   of k = 128 share ``least`` = 64 values or more but for a chance below 1e-9. Two sketches that share 64 of 128 values also share one
-   among the first 65 of each in any common order. The order puts values that many rows hold last, so a passage that half of a text
-   consists of makes no list. Small sets are held whole, and the bound is exact for them.
-3. The first values are inverted. Each list links its members to its smallest member (a star: as many pairs as entries).
-   Pairs are filtered by the union-sketch estimate and confirmed on the full sets; components follow.
-4. Lists whose members ended up in several components get their other pairs across components, again filtered and confirmed; pairs
-   inside one component cannot change the result. Long lists are dealt out as pairs of blocks, and a block pair is compared as one
-   matrix product, so no list is capped and no task holds one.
+2. Of two sets with Jaccard of at least 0.75, each value among the smallest of their union lies in both with a chance of 0.75, so two
+   sketches of k = 128 share ``least`` = 64 values or more but for a chance below 1e-9, and share one of their first 15 but for a chance
+   below 1e-9 too. Values that many rows hold come last in the order, so that a common passage makes no list; the number of values
+   to invert follows from the share of such values in a sketch (15 with none, 65 at most: two sketches that share 64 of 128 values
+   share one of the first 65 in any order). Small sets are held whole, and the bound is exact for them.
+3. The values so chosen are inverted, split by size class: linked sets differ in size by a third at most. First each row is paired with
+   the smallest row of its longest list, filtered by the union-sketch estimate and confirmed on the full sets; components follow.
+4. Lists whose members ended up in several components get all their other pairs across components compared; pairs inside one component
+   cannot change the result. A pair that shares its longest list is left to that list. Long lists are dealt out as pairs of blocks,
+   and a block pair is compared by matrix products, so no list is capped and no task holds one.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ from .components import components
 from .textnum import Texts, shingle_sets
 
 K, LEAST = 128, 64
+#: Chance of missing a link by the choice of inverted values.
+MISS = 1e-9
+#: Values that are put last in the order at most (the commonest ones), and rows a value needs for that.
+COMMON_VALUES, COMMON_ROWS = 200_000, 50
 #: Members of an inverted list that are compared at once.
-BLOCK = 128
+BLOCK = 1024
 
 
 def _sets(texts: list, size: int, k: int, full: bool) -> dict:
@@ -48,16 +53,21 @@ def sketches(docs: DataFrame, size: int = 5, k: int = K) -> DataFrame:
     return map_texts(docs, lambda t: _sets(t, size, k, False), "n_shingles bigint, set_key binary, sketch binary")
 
 
-def _prefix_length(n: int, kept: int, k: int, least: int, percent: int) -> int:
-    """How many of a sketch's values, in the common order, must be inverted so that no partner is missed."""
+def _prefix_length(n: int, kept: int, shared: int, k: int, least: int, percent: int) -> int:
+    """How many of a sketch's values, in the common order, must be inverted. ``shared`` of the ``kept`` values are common ones."""
     if n < k:
         exact = n - -(-percent * n // 100) + 1
-        return max(exact, n - least + 1) if n * 100 >= percent * k else exact
-    return kept - least + 1
+        bound = max(exact, n - least + 1) if n * 100 >= percent * k else exact
+    else:
+        bound = kept - least + 1
+    # of the values that are not common, at least this share of the union is in both sets
+    common = min(1.0, shared / kept + 0.05)
+    both = (percent / 100 - common) / (1 - common) if common < percent / 100 else 0.0
+    return min(bound, int(np.ceil(np.log(MISS) / np.log(1 - both)))) if both > 0 else bound
 
 
-def _common_values(reps: DataFrame, least: int) -> np.ndarray:
-    """Sorted values that at least ``least`` rows of several tasks hold; at most entries / least of them."""
+def _common_values(reps: DataFrame) -> np.ndarray:
+    """Rows (n, value) of the values that most rows hold, at most ``COMMON_VALUES``. Any order of the values keeps the result right."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -70,29 +80,31 @@ def _common_values(reps: DataFrame, least: int) -> np.ndarray:
                 values, counts = values[:0], counts[:0]
         yield pa.RecordBatch.from_arrays([pa.array(values[counts > 1]), pa.array(counts[counts > 1])], ["value", "n"])
 
-    found = reps.select("sketch").mapInArrow(count, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = reps.select("sketch").mapInArrow(count, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_ROWS).orderBy(F.desc("n"), "value").limit(COMMON_VALUES)
     return np.array(sorted((r.n, r.value) for r in found.collect()), np.int64).reshape(-1, 2)
 
 
 def _postings(reps: DataFrame, common: np.ndarray, k: int, least: int, percent: int) -> DataFrame:
     """(value, doc_id, n) for the first values of each sketch, rows of values that many hold coming last in the order."""
     order = np.argsort(common[:, 1])
-    shared = reps.sparkSession.sparkContext.broadcast((common[order, 1], common[order, 0]))
+    table = reps.sparkSession.sparkContext.broadcast((common[order, 1], common[order, 0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = shared.value
+        values, counts = table.value
         for b in batches:
             ids, ns, blobs = b.column(0).to_numpy(False), b.column(1).to_numpy(False), b.column(2).to_pylist()
             for lo in range(0, len(ids), 2000):
                 out, sizes = [], []
                 for n, blob in zip(ns[lo : lo + 2000], blobs[lo : lo + 2000]):
                     s = np.frombuffer(blob, np.int64)
-                    p = _prefix_length(int(n), len(s), k, least, percent)
+                    shared = 0
                     if len(values):
                         at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                         rank = np.where(values[at] == s, counts[at], 0)
-                        if rank.any():
+                        shared = np.count_nonzero(rank)
+                        if shared:
                             s = s[np.argsort(rank, kind="stable")]
+                    p = _prefix_length(int(n), len(s), shared, k, least, percent)
                     out.append(s[:p])
                     sizes.append(min(p, len(s)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(ids[lo : lo + 2000], sizes)), pa.array(np.repeat(ns[lo : lo + 2000], sizes))], ["value", "doc_id", "n"])
@@ -152,37 +164,63 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return keep(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
+def _shared_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many values each sketch of x shares with each of y: matrix products over the values that both sides have, a slab at a time."""
+    flat = [np.concatenate(a) for a in (x, y)]
+    owner = [np.repeat(np.arange(len(a)), [len(s) for s in a]) for a in (x, y)]
+    values = np.intersect1d(*(np.unique(f) for f in flat), assume_unique=True)
+    total = np.zeros((len(x), len(y)), np.float32)
+    places = []
+    for f, o in zip(flat, owner):
+        at = np.searchsorted(values, f)
+        hit = (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == f) if len(values) else np.zeros(len(f), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], o[hit][order]))
+    for lo in range(0, len(values), columns):
+        sides = []
+        for (at, o), n in zip(places, (len(x), len(y))):
+            a, b = np.searchsorted(at, (lo, lo + columns))
+            m = np.zeros((n, min(columns, len(values) - lo)), np.float32)
+            m[o[a:b], at[a:b] - lo] = 1
+            sides.append(m)
+        total += sides[0] @ sides[1].T
+    return total
+
+
 def _block_pairs(members: DataFrame, reps: DataFrame, k: int, least: int, percent: int) -> DataFrame:
-    """Pairs across components within lists, compared block by block. ``members``: value, doc_id, n, comp."""
-    ranked = members.withColumn("rn", F.row_number().over(Window.partitionBy("value").orderBy("n", "doc_id")))
-    blocks = ranked.withColumn("block", F.floor((F.col("rn") - 1) / BLOCK).cast("int"))
-    spans = blocks.groupBy("value", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    left = spans.select("value", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"), F.col("c0").alias("c0_i"), F.col("c1").alias("c1_i"))
-    # lists of few blocks make few pairs; a long one as many as its blocks of fitting sizes have, each a task's piece of work
-    both = left.join(spans, "value").where(f"i <= block and 100 * hi_i >= {percent} * lo and not (c0 = c1 and c0_i = c1_i and c0 = c0_i)")
-    work = both.select("value", "i", F.col("block").alias("j"))
-    need = work.select("value", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = need.join(blocks, ["value", "block"]).join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    """Pairs across components within lists, compared block by block. ``members``: value, cell, doc_id, comp."""
+    lists = ["value", "cell"]
+    sized = members.join(members.groupBy(*lists).agg(F.count("*").alias("m")), lists)
+    longest = sized.groupBy("doc_id").agg(F.max(F.struct("m", *lists)).alias("home"))
+    placed = members.join(longest, "doc_id").withColumn("home", F.xxhash64("home.value", "home.cell")).withColumn("own", F.xxhash64(*lists))
+    # a list all of whose members have another list as their longest has nothing left to compare
+    left = placed.groupBy(*lists).agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.first("own").alias("own")).where("h0 <> h1 or h0 = own").select(*lists)
+    placed = keep(placed.join(left, lists, "left_semi"), "members")
+    rn = F.row_number().over(Window.partitionBy(*lists).orderBy("home", "comp", "doc_id"))
+    blocks = placed.withColumn("block", F.floor((rn - 1) / BLOCK).cast("int"))
+    spans = blocks.groupBy(*lists, "block").agg(*(f(c).alias(f"{c}{i}") for c in ("home", "comp") for i, f in enumerate((F.min, F.max))), F.first("own").alias("own"))
+    first = spans.select(*lists, F.col("block").alias("i"), *(F.col(f"{c}{i}").alias(f"{c}{i}_") for c in ("home", "comp") for i in (0, 1)))
+    both = first.join(spans, lists).where("""i <= block and not (comp0 = comp1 and comp0_ = comp1_ and comp0 = comp0_)
+        and not (home0 = home1 and home0_ = home1_ and home0 = home0_ and home0 <> own)""")
+    work = both.select(*lists, "i", F.col("block").alias("j"))
+    need = work.select(*lists, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    rows = need.join(blocks, [*lists, "block"]).join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
-        ids, ns, comp = (t.column(c).to_numpy() for c in ("doc_id", "n_shingles", "comp"))
+        i, j = key[2].as_py(), key[3].as_py()
+        ids, ns, comp, home, own, block = (t.column(c).to_numpy() for c in ("doc_id", "n_shingles", "comp", "home", "own", "block"))
         sk = [np.frombuffer(x, np.uint64) for x in t.column("sketch").to_pylist()]
-        block = t.column("block").to_numpy()
-        flat = np.concatenate(sk)
-        _, code = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(len(sk)), [len(s) for s in sk])
-        m = np.zeros((len(sk), int(code.max(initial=-1)) + 1), np.float32)
-        m[owner, code] = 1
-        x, y = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
-        shared = m[x] @ m[y].T
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        shared = _shared_counts([sk[v] for v in x], [sk[v] for v in y])
         nx, ny = ns[x][:, None], ns[y][None, :]
         small = (nx <= k) & (ny <= k)
-        enough = np.where(small, 100 * shared >= percent * (nx + ny - shared), shared >= least * 0.999)
-        i, j = np.nonzero(enough & (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)))
-        a, b = ids[x[i]], ids[y[j]]
+        enough = np.where(small, 100 * shared >= percent * (nx + ny - shared) - 0.01, shared >= least)
+        elsewhere = (home[x][:, None] == home[y][None, :]) & (home[x] != own[x])[:, None]
+        p, q = np.nonzero(enough & ~elsewhere & (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)))
+        a, b = ids[x[p]], ids[y[q]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return rows.groupBy("value", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return rows.groupBy(*lists, "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, k: int = K, least: int = LEAST) -> tuple[DataFrame, DataFrame, int]:
@@ -193,23 +231,20 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, k: int = K,
     first = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("s")
     classes = keep(rows.where("n_shingles > 0").groupBy("set_key").agg(first, F.count("*").alias("n_members")).select("set_key", "n_members", "s.doc_id", "s.n_shingles", "s.sketch"), "classes")
     reps = classes.select("doc_id", "n_shingles", "sketch")
-    common = _common_values(reps, max(50, total * k // 50_000))
-    post = keep(_postings(reps, common, k, least, percent), "postings")
+    post = keep(_postings(reps, _common_values(reps), k, least, percent), "postings")
 
-    heads = post.groupBy("value").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).where("m > 1")
-    star = post.join(heads.select("value", "a"), "value").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    # sets whose sizes differ by a third at most lie in the same class of sizes or in neighbouring ones
+    cell = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    home = post.withColumn("cell", cell)
+    heads = home.groupBy("value", "cell").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).where("m > 1")
+    star = home.join(heads, ["value", "cell"]).groupBy("doc_id").agg(F.max(F.struct("m", F.col("a"))).alias("h")).select(F.col("h.a").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     links = _confirm(_filter_pairs(star, reps, k, least, percent), docs, size, percent)
     found = components(links)
 
-    label = F.coalesce("component", "doc_id").alias("comp")
-    placed = post.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", "n", label)
-    mixed = placed.groupBy("value").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1 and m > 2").select("value")
-    # members of a component stand in one list many times over; lists with equal members are compared once
-    members = keep(placed.join(mixed, "value", "left_semi"), "members")
-    same = members.groupBy("value").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h"))
-    once = same.groupBy("m", "h").agg(F.min("value").alias("value")).select("value")
-    rest = _block_pairs(members.join(once, "value", "left_semi"), reps, k, least, percent)
-    more = _confirm(rest, docs, size, percent)
+    labelled = post.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", F.explode(F.array(cell, cell + 1)).alias("cell"), F.coalesce("component", "doc_id").alias("comp"))
+    mixed = labelled.groupBy("value", "cell").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("value", "cell")
+    members = keep(labelled.join(mixed, ["value", "cell"], "left_semi"), "members")
+    more = _confirm(_block_pairs(members, reps, k, least, percent), docs, size, percent)
     final = components(links.unionByName(more)).withColumnRenamed("node", "doc_id")
     placed = classes.join(final, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"), "n_members")
     return rows, placed, total

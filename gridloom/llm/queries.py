@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .html_text import op6_html_text
 from .langid import op10_langid
 from .near_dedup import op9_near_dedup
 from .packing import op8_packing
+from .pii import op5_pii
 from .quality import op1_quality
 from .quality_rules import op3_quality_rules
 from .toxicity import op7_toxicity
@@ -20,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
+    "op5_pii": op5_pii,
+    "op6_html_text": op6_html_text,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
