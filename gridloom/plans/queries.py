@@ -1,12 +1,8 @@
-"""Registry of the queries: name -> (builder, oracle SQL)."""
+"""Registry of the queries: importing the query modules fills it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_series  # noqa: F401
+from .base import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-Builder = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Builder] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
