@@ -75,26 +75,26 @@ def akima(df: DataFrame, keys: list[str], time: str, value: str, out: str = "fil
     outside the known range take the nearest value. Clipped at 0."""
     w = Window.partitionBy(*keys).orderBy(time)
     placed = df.withColumn("_rn", F.row_number().over(w))
-    known = placed.where(F.col(value).isNotNull()).select(*keys, F.col("_rn").alias("x"), F.col(value).alias("y"))
-    k = Window.partitionBy(*keys).orderBy("x")
-    m = known.withColumn("m0", (F.lead("y").over(k) - F.col("y")) / (F.lead("x").over(k) - F.col("x"))).withColumn("cnt", F.count("*").over(Window.partitionBy(*keys)))
+    known = placed.where(F.col(value).isNotNull()).select(*keys, F.col("_rn").alias("_ax"), F.col(value).alias("_ay"))
+    k = Window.partitionBy(*keys).orderBy("_ax")
+    m = known.withColumn("_am0", (F.lead("_ay").over(k) - F.col("_ay")) / (F.lead("_ax").over(k) - F.col("_ax"))).withColumn("_acnt", F.count("*").over(Window.partitionBy(*keys)))
     for i in (1, 2):
-        m = m.withColumn(f"p{i}", F.lag("m0", i).over(k)).withColumn(f"n{i}", F.lead("m0", i).over(k))
+        m = m.withColumn(f"_ap{i}", F.lag("_am0", i).over(k)).withColumn(f"_an{i}", F.lead("_am0", i).over(k))
     # two slopes beyond each end continue the change of the slopes there
-    m = m.withColumn("m0x", F.coalesce("m0", 2 * F.col("p1") - F.col("p2"))).withColumn("p1x", F.coalesce("p1", 2 * F.col("m0x") - F.col("n1")))
-    m = m.withColumn("n1x", F.coalesce("n1", 2 * F.col("m0x") - F.col("p1x"))).withColumn("p2x", F.coalesce("p2", 2 * F.col("p1x") - F.col("m0x")))
-    a, b = F.abs(F.col("n1x") - F.col("m0x")), F.abs(F.col("p1x") - F.col("p2x"))
-    t = m.withColumn("t", F.when(a + b > 1e-9, (a * F.col("p1x") + b * F.col("m0x")) / (a + b)).otherwise((F.col("p1x") + F.col("m0x")) / 2))
-    seg = t.select(*keys, "x", "y", "t", "m0", "cnt", (F.lead("x").over(k) - F.col("x")).alias("h"), F.lead("t").over(k).alias("t1"))
-    joined = placed.join(seg.withColumnRenamed("x", "_rn"), [*keys, "_rn"], "left")
-    last = F.last(F.when(F.col("y").isNotNull(), F.struct("_rn", "y", "t", "m0", "h", "t1", "cnt")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("y", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    total = F.max("cnt").over(Window.partitionBy(*keys))
-    f = joined.withColumn("s", last).withColumn("nx", nxt).withColumn("c", total)
-    d = F.col("_rn") - F.col("s._rn")
-    h = F.col("s.h")
-    cubic = F.col("s.y") + F.col("s.t") * d + (3 * F.col("s.m0") - 2 * F.col("s.t") - F.col("s.t1")) / h * d * d + (F.col("s.t") + F.col("s.t1") - 2 * F.col("s.m0")) / (h * h) * d * d * d
-    filled = F.when(F.col(value).isNotNull() | (F.col("c") < 4) | F.col("c").isNull(), F.col(value)).otherwise(F.coalesce(cubic, F.col("s.y"), F.col("nx")))
+    m = m.withColumn("_am0x", F.coalesce("_am0", 2 * F.col("_ap1") - F.col("_ap2"))).withColumn("_ap1x", F.coalesce("_ap1", 2 * F.col("_am0x") - F.col("_an1")))
+    m = m.withColumn("_an1x", F.coalesce("_an1", 2 * F.col("_am0x") - F.col("_ap1x"))).withColumn("_ap2x", F.coalesce("_ap2", 2 * F.col("_ap1x") - F.col("_am0x")))
+    a, b = F.abs(F.col("_an1x") - F.col("_am0x")), F.abs(F.col("_ap1x") - F.col("_ap2x"))
+    t = m.withColumn("_at", F.when(a + b > 1e-9, (a * F.col("_ap1x") + b * F.col("_am0x")) / (a + b)).otherwise((F.col("_ap1x") + F.col("_am0x")) / 2))
+    seg = t.select(*keys, "_ax", "_ay", "_at", "_am0", "_acnt", (F.lead("_ax").over(k) - F.col("_ax")).alias("_ah"), F.lead("_at").over(k).alias("_at1"))
+    joined = placed.join(seg.withColumnRenamed("_ax", "_rn"), [*keys, "_rn"], "left")
+    last = F.last(F.when(F.col("_ay").isNotNull(), F.struct("_rn", "_ay", "_at", "_am0", "_ah", "_at1", "_acnt")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    nxt = F.first("_ay", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    total = F.max("_acnt").over(Window.partitionBy(*keys))
+    f = joined.withColumn("_as", last).withColumn("_anx", nxt).withColumn("_ac", total)
+    d = F.col("_rn") - F.col("_as._rn")
+    h = F.col("_as._ah")
+    cubic = F.col("_as._ay") + F.col("_as._at") * d + (3 * F.col("_as._am0") - 2 * F.col("_as._at") - F.col("_as._at1")) / h * d * d + (F.col("_as._at") + F.col("_as._at1") - 2 * F.col("_as._am0")) / (h * h) * d * d * d
+    filled = F.when(F.col(value).isNotNull() | (F.col("_ac") < 4) | F.col("_ac").isNull(), F.col(value)).otherwise(F.coalesce(cubic, F.col("_as._ay"), F.col("_anx")))
     return f.select(*df.columns, F.when(filled.isNotNull(), F.greatest(filled, F.lit(0.0))).alias(out))
 
 
