@@ -33,6 +33,8 @@ K, LEAST = 128, 64
 MISS = 1e-9
 #: Values that are put last in the order at most (the commonest ones), and rows a value needs for that.
 COMMON_VALUES, COMMON_ROWS = 200_000, 50
+#: Ids of candidates that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 #: Members of an inverted list that are compared at once.
 BLOCK = 1024
 
@@ -119,6 +121,8 @@ def _estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int, k: int, least: int
     if na <= k and nb <= k:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= percent * (na + nb - both)
+    if len(np.intersect1d(a, b, assume_unique=True)) < _least_shared(na, nb, k, least, percent):
+        return False
     union = np.sort(np.concatenate((a, b)))
     twice = union[1:] == union[:-1]
     # both sketches are complete up to the smaller of their largest values
@@ -127,6 +131,13 @@ def _estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int, k: int, least: int
     return inside >= min(least, k)
 
 
+def _least_shared(na: np.ndarray, nb: np.ndarray, k: int, least: int, percent: int) -> np.ndarray:
+    """How many values the sketches of linked sets share, but for a chance of 1e-9: six deviations under the mean, where both are full."""
+    j = percent / 100
+    share = np.clip(j / (1 + j) * (na + nb) / np.maximum(np.maximum(na, nb), 1), 0, 1)
+    return np.where((na >= k) & (nb >= k), np.maximum(least, k * share - 6 * np.sqrt(k * share * (1 - share))), least)
+
+
 def _filter_pairs(pairs: DataFrame, reps: DataFrame, k: int, least: int, percent: int) -> DataFrame:
     side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
 
@@ -144,8 +155,9 @@ def _filter_pairs(pairs: DataFrame, reps: DataFrame, k: int, least: int, percent
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
     pairs = keep(pairs, "candidates")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    # so many ids are 16 MB at most and spare the texts a shuffle; beyond that the texts are shuffled
+    wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     full = keep(map_texts(wanted, lambda t: _sets(t, size, 0, True), "shingles binary"), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,19 +200,22 @@ def _shared_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096
 
 
 def _block_pairs(members: DataFrame, reps: DataFrame, k: int, least: int, percent: int) -> DataFrame:
-    """Pairs across components within lists, compared block by block. ``members``: value, cell, doc_id, comp."""
+    """Pairs across components within lists, compared block by block. ``members``: value, cell, native, doc_id, comp.
+
+    A pair is compared in the lists of the larger set's own size class, or only in the longest list if both have the same one as their longest.
+    """
     lists = ["value", "cell"]
     sized = members.join(members.groupBy(*lists).agg(F.count("*").alias("m")), lists)
-    longest = sized.groupBy("doc_id").agg(F.max(F.struct("m", *lists)).alias("home"))
-    placed = members.join(longest, "doc_id").withColumn("home", F.xxhash64("home.value", "home.cell")).withColumn("own", F.xxhash64(*lists))
+    longest = sized.groupBy("doc_id").agg(F.max(F.struct("m", *lists)).alias("h"))
+    placed = members.join(longest.select("doc_id", F.xxhash64("h.value", "h.cell").alias("home")), "doc_id").withColumn("own", F.xxhash64(*lists))
     # a list all of whose members have another list as their longest has nothing left to compare
     left = placed.groupBy(*lists).agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.first("own").alias("own")).where("h0 <> h1 or h0 = own").select(*lists)
     placed = keep(placed.join(left, lists, "left_semi"), "members")
-    rn = F.row_number().over(Window.partitionBy(*lists).orderBy("home", "comp", "doc_id"))
+    rn = F.row_number().over(Window.partitionBy(*lists).orderBy("native", "home", "comp", "doc_id"))
     blocks = placed.withColumn("block", F.floor((rn - 1) / BLOCK).cast("int"))
-    spans = blocks.groupBy(*lists, "block").agg(*(f(c).alias(f"{c}{i}") for c in ("home", "comp") for i, f in enumerate((F.min, F.max))), F.first("own").alias("own"))
-    first = spans.select(*lists, F.col("block").alias("i"), *(F.col(f"{c}{i}").alias(f"{c}{i}_") for c in ("home", "comp") for i in (0, 1)))
-    both = first.join(spans, lists).where("""i <= block and not (comp0 = comp1 and comp0_ = comp1_ and comp0 = comp0_)
+    spans = blocks.groupBy(*lists, "block").agg(*(f(c).alias(f"{c}{i}") for c in ("home", "comp") for i, f in enumerate((F.min, F.max))), F.max("native").alias("native"), F.first("own").alias("own"))
+    first = spans.select(*lists, F.col("block").alias("i"), F.col("native").alias("native_"), *(F.col(f"{c}{i}").alias(f"{c}{i}_") for c in ("home", "comp") for i in (0, 1)))
+    both = first.join(spans, lists).where("""i <= block and (native or native_ or own between home0 and home1 or own between home0_ and home1_) and not (comp0 = comp1 and comp0_ = comp1_ and comp0 = comp0_)
         and not (home0 = home1 and home0_ = home1_ and home0 = home0_ and home0 <> own)""")
     work = both.select(*lists, "i", F.col("block").alias("j"))
     need = work.select(*lists, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
@@ -209,14 +224,16 @@ def _block_pairs(members: DataFrame, reps: DataFrame, k: int, least: int, percen
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         i, j = key[2].as_py(), key[3].as_py()
         ids, ns, comp, home, own, block = (t.column(c).to_numpy() for c in ("doc_id", "n_shingles", "comp", "home", "own", "block"))
+        native = t.column("native").to_numpy()
         sk = [np.frombuffer(x, np.uint64) for x in t.column("sketch").to_pylist()]
         x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
         shared = _shared_counts([sk[v] for v in x], [sk[v] for v in y])
         nx, ny = ns[x][:, None], ns[y][None, :]
         small = (nx <= k) & (ny <= k)
-        enough = np.where(small, 100 * shared >= percent * (nx + ny - shared) - 0.01, shared >= least)
-        elsewhere = (home[x][:, None] == home[y][None, :]) & (home[x] != own[x])[:, None]
-        p, q = np.nonzero(enough & ~elsewhere & (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)))
+        enough = np.where(small, 100 * shared >= percent * (nx + ny - shared) - 0.01, shared >= _least_shared(nx, ny, k, least, percent))
+        alike = home[x][:, None] == home[y][None, :]
+        here = np.where(alike, (home[x] == own[x])[:, None], native[x][:, None] | native[y][None, :])
+        p, q = np.nonzero(enough & here & (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)))
         a, b = ids[x[p]], ids[y[q]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -241,7 +258,7 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, k: int = K,
     links = _confirm(_filter_pairs(star, reps, k, least, percent), docs, size, percent)
     found = components(links)
 
-    labelled = post.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", F.explode(F.array(cell, cell + 1)).alias("cell"), F.coalesce("component", "doc_id").alias("comp"))
+    labelled = post.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("native")), F.struct((cell + 1).alias("cell"), F.lit(False).alias("native")))).alias("c"), F.coalesce("component", "doc_id").alias("comp")).select("value", "doc_id", "comp", "c.cell", "c.native")
     mixed = labelled.groupBy("value", "cell").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("value", "cell")
     members = keep(labelled.join(mixed, ["value", "cell"], "left_semi"), "members")
     more = _confirm(_block_pairs(members, reps, k, least, percent), docs, size, percent)
