@@ -415,9 +415,9 @@ def e27(spark, d):
     return windows.phenology(daily(spark, d).withColumn("year", F.expr("day div 365")), ["site", "year"], "day", "q")
 
 
-@query("e28_moisture_season", f"WITH {DAILY} SELECT site, day, avg(q) OVER w > 25 AND sum(disc) OVER w / sum(n) OVER w > 0.049 AS moist FROM daily WINDOW w AS (PARTITION BY site ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
+@query("e28_moisture_season", f"WITH {DAILY} SELECT site, day, avg(q) OVER w > 25.0001 AND sum(disc) OVER w / sum(n) OVER w > 0.0490001 AS moist FROM daily WINDOW w AS (PARTITION BY site ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
 def e28(spark, d):
-    return windows.moisture_season(daily(spark, d), ["site"], "day", "q", "disc", "n", 25, 0.049).select("site", "day", "moist")
+    return windows.moisture_season(daily(spark, d), ["site"], "day", "q", "disc", "n", 25.0001, 0.0490001).select("site", "day", "moist")
 
 
 @query("e30_flux_from_total", f"WITH {HOURLY}, x AS (SELECT sensor, hr, value, value - lag(value) OVER (PARTITION BY sensor ORDER BY hr) AS dd FROM hourly) SELECT sensor, hr, round(least(greatest(CASE WHEN dd < 0 THEN value ELSE dd END / 3600, 0), 1500), 6) AS flux FROM x WHERE dd IS NOT NULL")
