@@ -36,7 +36,7 @@ COMMON_VALUES, COMMON_ROWS = 200_000, 50
 #: Ids of candidates that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 #: Members of an inverted list that are compared at once.
-BLOCK = 1024
+BLOCK = 2048
 
 
 def _sets(texts: list, size: int, k: int, full: bool) -> dict:
@@ -86,32 +86,36 @@ def _common_values(reps: DataFrame) -> np.ndarray:
     return np.array(sorted((r.n, r.value) for r in found.collect()), np.int64).reshape(-1, 2)
 
 
-def _postings(reps: DataFrame, common: np.ndarray, k: int, least: int, percent: int) -> DataFrame:
-    """(value, doc_id, n) for the first values of each sketch, rows of values that many hold coming last in the order."""
+def _prefixes(reps: DataFrame, common: np.ndarray, k: int, least: int, percent: int) -> DataFrame:
+    """(doc_id, n, prefix): the values of each sketch to invert, those that many rows hold coming last in the order."""
     order = np.argsort(common[:, 1])
     table = reps.sparkSession.sparkContext.broadcast((common[order, 1], common[order, 0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = table.value
         for b in batches:
-            ids, ns, blobs = b.column(0).to_numpy(False), b.column(1).to_numpy(False), b.column(2).to_pylist()
-            for lo in range(0, len(ids), 2000):
-                out, sizes = [], []
-                for n, blob in zip(ns[lo : lo + 2000], blobs[lo : lo + 2000]):
-                    s = np.frombuffer(blob, np.int64)
-                    shared = 0
-                    if len(values):
-                        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                        rank = np.where(values[at] == s, counts[at], 0)
-                        shared = np.count_nonzero(rank)
-                        if shared:
-                            s = s[np.argsort(rank, kind="stable")]
-                    p = _prefix_length(int(n), len(s), shared, k, least, percent)
-                    out.append(s[:p])
-                    sizes.append(min(p, len(s)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(ids[lo : lo + 2000], sizes)), pa.array(np.repeat(ns[lo : lo + 2000], sizes))], ["value", "doc_id", "n"])
-
-    return reps.select("doc_id", "n_shingles", "sketch").mapInArrow(run, "value bigint, doc_id bigint, n bigint")
+            ids, ns, blobs = b.column(0), b.column(1).to_numpy(False), b.column(2).to_pylist()
+            out = []
+            for n, blob in zip(ns, blobs):
+                s = np.frombuffer(blob, np.int64)
+                shared = 0
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                    rank = np.where(values[at] == s, counts[at], 0)
+                    shared = np.count_nonzero(rank)
+                    if shared:
+                        s = s[np.argsort(rank, kind="stable")]
+                out.append(s[: _prefix_length(int(n), len(s), shared, k, least, percent)])
+            yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "n", "prefix"])
+
+    return reps.select("doc_id", "n_shingles", "sketch").mapInArrow(run, "doc_id bigint, n bigint, prefix array<bigint>")
+
+
+def _least_shared(na: np.ndarray, nb: np.ndarray, k: int, least: int, percent: int) -> np.ndarray:
+    """How many values the sketches of linked sets share, but for a chance of 1e-9: six deviations under the mean, where both are full."""
+    j = percent / 100
+    share = np.clip(j / (1 + j) * (na + nb) / np.maximum(np.maximum(na, nb), 1), 0, 1)
+    return np.where((na >= k) & (nb >= k), np.maximum(least, k * share - 6 * np.sqrt(k * share * (1 - share))), least)
 
 
 def _estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int, k: int, least: int, percent: int) -> bool:
@@ -131,13 +135,6 @@ def _estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int, k: int, least: int
     return inside >= min(least, k)
 
 
-def _least_shared(na: np.ndarray, nb: np.ndarray, k: int, least: int, percent: int) -> np.ndarray:
-    """How many values the sketches of linked sets share, but for a chance of 1e-9: six deviations under the mean, where both are full."""
-    j = percent / 100
-    share = np.clip(j / (1 + j) * (na + nb) / np.maximum(np.maximum(na, nb), 1), 0, 1)
-    return np.where((na >= k) & (nb >= k), np.maximum(least, k * share - 6 * np.sqrt(k * share * (1 - share))), least)
-
-
 def _filter_pairs(pairs: DataFrame, reps: DataFrame, k: int, least: int, percent: int) -> DataFrame:
     side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
 
@@ -199,10 +196,11 @@ def _shared_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096
     return total
 
 
-def _block_pairs(members: DataFrame, reps: DataFrame, k: int, least: int, percent: int) -> DataFrame:
+def _block_pairs(members: DataFrame, reps: DataFrame, prefixes: DataFrame, k: int, least: int, percent: int) -> DataFrame:
     """Pairs across components within lists, compared block by block. ``members``: value, cell, native, doc_id, comp.
 
     A pair is compared in the lists of the larger set's own size class, or only in the longest list if both have the same one as their longest.
+    Of the lists it shares, the one of the smallest value gives it out.
     """
     lists = ["value", "cell"]
     sized = members.join(members.groupBy(*lists).agg(F.count("*").alias("m")), lists)
@@ -219,7 +217,7 @@ def _block_pairs(members: DataFrame, reps: DataFrame, k: int, least: int, percen
         and not (home0 = home1 and home0_ = home1_ and home0 = home0_ and home0 <> own)""")
     work = both.select(*lists, "i", F.col("block").alias("j"))
     need = work.select(*lists, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = need.join(blocks, [*lists, "block"]).join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    rows = need.join(blocks, [*lists, "block"]).join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id").join(prefixes.select("doc_id", "prefix"), "doc_id")
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         i, j = key[2].as_py(), key[3].as_py()
@@ -232,7 +230,10 @@ def _block_pairs(members: DataFrame, reps: DataFrame, k: int, least: int, percen
         small = (nx <= k) & (ny <= k)
         enough = np.where(small, 100 * shared >= percent * (nx + ny - shared) - 0.01, shared >= _least_shared(nx, ny, k, least, percent))
         alike = home[x][:, None] == home[y][None, :]
-        here = np.where(alike, (home[x] == own[x])[:, None], native[x][:, None] | native[y][None, :])
+        mine = key[0].as_py()
+        before = [(v := np.array(p, np.int64))[v < mine] for p in t.column("prefix").to_pylist()]
+        earlier = _shared_counts([before[v] for v in x], [before[v] for v in y]) > 0
+        here = np.where(alike, (home[x] == own[x])[:, None], (native[x][:, None] | native[y][None, :]) & ~earlier)
         p, q = np.nonzero(enough & here & (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)))
         a, b = ids[x[p]], ids[y[q]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -248,7 +249,8 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, k: int = K,
     first = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("s")
     classes = keep(rows.where("n_shingles > 0").groupBy("set_key").agg(first, F.count("*").alias("n_members")).select("set_key", "n_members", "s.doc_id", "s.n_shingles", "s.sketch"), "classes")
     reps = classes.select("doc_id", "n_shingles", "sketch")
-    post = keep(_postings(reps, _common_values(reps), k, least, percent), "postings")
+    prefixes = keep(_prefixes(reps, _common_values(reps), k, least, percent), "prefixes")
+    post = prefixes.select(F.explode("prefix").alias("value"), "doc_id", "n")
 
     # sets whose sizes differ by a third at most lie in the same class of sizes or in neighbouring ones
     cell = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
@@ -261,7 +263,7 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, k: int = K,
     labelled = post.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("native")), F.struct((cell + 1).alias("cell"), F.lit(False).alias("native")))).alias("c"), F.coalesce("component", "doc_id").alias("comp")).select("value", "doc_id", "comp", "c.cell", "c.native")
     mixed = labelled.groupBy("value", "cell").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("value", "cell")
     members = keep(labelled.join(mixed, ["value", "cell"], "left_semi"), "members")
-    more = _confirm(_block_pairs(members, reps, k, least, percent), docs, size, percent)
+    more = _confirm(_block_pairs(members, reps, prefixes, k, least, percent), docs, size, percent)
     final = components(links.unionByName(more)).withColumnRenamed("node", "doc_id")
     placed = classes.join(final, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"), "n_members")
     return rows, placed, total

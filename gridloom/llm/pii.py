@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, map_texts, read
+from .training import hash_cut
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose base spans the field is trained on at most.
@@ -62,10 +63,6 @@ def _emails(text: str) -> list[Span]:
     return out
 
 
-def _digit_runs(text: str) -> list[tuple[int, int]]:
-    return [(m.start(), m.end()) for m in re.finditer("[0-9]+", text)]
-
-
 def base_spans(text: str) -> list[Span]:
     """Spans of the four fixed patterns, sorted by start and kind; leftmost, non-overlapping within a kind, failing matches dropped."""
     out = _emails(text) if "@" in text else []
@@ -86,7 +83,7 @@ def base_spans(text: str) -> list[Span]:
 
 _TOKEN = re.compile(r"[^\W_]+|_|\s+|[^\w\s]")
 _NUMERIC = re.compile(r"[+(]?[0-9][0-9 ().\-/ +]*[0-9]")
-_AT = re.compile(r"[^\s@]+\s?(?:@|\(at\)|\[at\]|\{at\})\s?[^\s@]+(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?\w+)*", re.I)
+_AT = re.compile(r"[^\s@]{1,80}\s?(?:@|\(at\)|\[at\]|\{at\})\s?[^\s@]{1,200}(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?\w+)*", re.I)
 _MAILISH = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?[A-Za-z0-9-]+)+", re.I)
 _GROUPS = re.compile("[0-9]+")
 
@@ -136,7 +133,7 @@ def candidates(text: str, lo: int, hi: int, fixed: list[Span]) -> tuple[list[int
     """Token borders of a stretch, and spans (first, last border) that may be an entity; none of them overlaps a fixed span.
 
     Spans begin where a number or address can begin and end after a letter or digit, have at most ``MAX_TOKENS`` tokens, and are either
-    numeric throughout or hold an at sign.
+    numeric throughout with 7 to 19 digits, or hold an at sign.
     """
     borders = [lo] + [m.end() for m in _TOKEN.finditer(text, lo, hi)]
     if borders[-1] != hi:
@@ -156,7 +153,7 @@ def candidates(text: str, lo: int, hi: int, fixed: list[Span]) -> tuple[list[int
             if not text[borders[j] - 1].isalnum():
                 continue
             s = text[borders[i] : borders[j]]
-            if len(s) >= 7 and (_NUMERIC.fullmatch(s) or _MAILISH.fullmatch(s)):
+            if len(s) >= 7 and (7 <= sum(map(str.isdigit, s)) <= 19 and _NUMERIC.fullmatch(s) or _MAILISH.fullmatch(s)):
                 spans.append((i, j))
     return borders, spans
 
@@ -245,7 +242,8 @@ def rewritten(text: str, span: Span, rng: np.random.Generator) -> tuple[str, int
 
 def train(docs: DataFrame, rows: int = TRAIN_DOCS, epochs: int = 4, seed: int = 9) -> np.ndarray:
     """Weights learned from at most ``rows`` documents that have base spans, chosen by a hash of the id."""
-    found = map_texts(docs.where("doc_id is not null"), lambda ts: {"hits": [_examples(t or "") for t in ts]}, "hits array<string>")
+    docs = docs.where("doc_id is not null")
+    found = map_texts(hash_cut(docs, rows, docs.count(), 100), lambda ts: {"hits": [_examples(t or "") for t in ts]}, "hits array<string>")
     sample = found.where(F.size("hits") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     rng, field = np.random.default_rng(seed), SemiMarkov()
     cases: list[tuple[str, int, int, list[Span]]] = []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
@@ -11,20 +11,24 @@ from .pooled import sparse
 from .textnum import Texts
 
 
-def sample_ids(labels: DataFrame, rows: int, by: Column | None = None) -> DataFrame:
-    """At most ``rows`` labelled ids in hash order, so the choice is repeatable and doesn't follow the ids; ``by`` orders before that."""
-    order = ([by] if by is not None else []) + [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id")]
-    return labels.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(*order).limit(rows)
+#: Parts of the hash range that a sample is first cut from, and how many times the rows wanted it is to hold.
+PARTS, MARGIN = 1_000_000, 8
 
 
-def balanced_ids(labels: DataFrame, column: str, rows_per_class: int) -> DataFrame:
-    """At most so many ids of each class, in hash order. Every class is a sorted limit, so no class is gathered."""
+def hash_cut(df: DataFrame, rows: int, total: int, margin: int = MARGIN) -> DataFrame:
+    """About ``margin * rows`` of ``total`` rows by a hash of doc_id, all if there are fewer. What a sorted limit then sends to the driver
+    doesn't grow with the number of tasks."""
+    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(PARTS)) < min(PARTS, PARTS * margin * rows // max(total, 1) + 1))
+
+
+def balanced_ids(labels: DataFrame, column: str, rows_per_class: int, max_classes: int = 1000) -> DataFrame:
+    """At most so many ids of each of the commonest classes, in hash order: repeatable, and not following the ids."""
     labels = labels.where(f"doc_id is not null and `{column}` is not null")
-    classes = sorted(r[0] for r in labels.select(column).distinct().limit(1000).collect())
-    parts = [sample_ids(labels.where(F.col(column) == c), rows_per_class) for c in classes]
-    out = parts[0] if parts else labels.limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    classes = labels.groupBy(column).count().orderBy(F.desc("count"), column).limit(max_classes).collect()
+    out = labels.limit(0)
+    for r in sorted(classes, key=lambda r: r[column]):
+        own = hash_cut(labels.where(F.col(column) == r[column]), rows_per_class, r["count"]).dropDuplicates(["doc_id"])
+        out = out.unionByName(own.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(rows_per_class))
     return out
 
 
