@@ -119,3 +119,37 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance
     same = F.coalesce(F.abs(F.col("_a") - F.col("_b")) < tolerance, F.col("_a").isNull() & F.col("_b").isNull())
     inner = F.col("_ia").isNotNull() & F.col("_ib").isNotNull()
     return both.agg(F.count_if(inner).alias("n_both"), F.count_if(F.col("_ib").isNull()).alias("n_only_a"), F.count_if(F.col("_ia").isNull()).alias("n_only_b"), F.count_if(inner & ~same).alias("n_differ"))
+
+
+def nearest_grid_point(points: DataFrame, lats: tuple[float, float, int], lons: tuple[float, float, int]) -> DataFrame:
+    """Index and coordinates of the nearest point of a regular grid (first, step, count) for points (lat, lon); a grid of 0..360 is met by
+    wrapping the longitude. Halfway takes the lower index; points beyond an edge take the edge."""
+
+    def nearest(c: Column, first: float, step: float, n: int) -> Column:
+        i = F.ceil((c - first) / step - 0.5)
+        return F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)).cast("long")
+
+    lon = F.pmod(F.col("lon"), F.lit(360.0)) if lons[0] >= 0 else F.col("lon")
+    out = points.withColumn("i", nearest(F.col("lat"), *lats)).withColumn("j", nearest(lon, *lons))
+    return out.withColumn("glat", lats[0] + F.col("i") * lats[1]).withColumn("glon", lons[0] + F.col("j") * lons[1])
+
+
+def destination(lat: Column, lon: Column, bearing: Column, km: Column) -> tuple[Column, Column]:
+    """Point at a distance and bearing (degrees) on a sphere of radius 6371 km."""
+    d, b, phi = km / 6371.0, F.radians(bearing), F.radians(lat)
+    lat2 = F.asin(F.sin(phi) * F.cos(d) + F.cos(phi) * F.sin(d) * F.cos(b))
+    lon2 = F.radians(lon) + F.atan2(F.sin(b) * F.sin(d) * F.cos(phi), F.cos(d) - F.sin(phi) * F.sin(lat2))
+    return F.degrees(lat2), F.degrees(lon2)
+
+
+def bearing_search(points: DataFrame, cells: DataFrame, id_cols: list[str], res: float, radii: tuple[float, ...], bearings: int, value: str) -> DataFrame:
+    """First valid cell (clat, clon, value) met on circles of growing radius (km), bearing by bearing; radius 0 is the point itself.
+    Cells are found by their integer keys on a grid of spacing ``res``."""
+    steps = [(0, 0.0, 0.0)] + [(k * bearings + b + 1, r, 360.0 * b / bearings) for k, r in enumerate(radii) for b in range(bearings)]
+    table = F.array(*(F.struct(F.lit(o).alias("order"), F.lit(r).alias("km"), F.lit(b).alias("bearing")) for o, r, b in steps))
+    p = points.withColumn("o", F.explode(table))
+    la, lo = destination(F.col("lat"), F.col("lon"), F.col("o.bearing"), F.col("o.km"))
+    p = p.withColumn("_x", cell(la, res)).withColumn("_y", cell(lo, res))
+    c = cells.where(F.col(value).isNotNull()).select(cell("clat", res).alias("_x"), cell("clon", res).alias("_y"), value)
+    best = p.join(c, ["_x", "_y"]).groupBy(*id_cols).agg(F.min_by(F.struct(value, F.col("o.km").alias("km")), F.struct("o.order", value)).alias("b"))
+    return points.join(best, id_cols, "left").select(*points.columns, F.col(f"b.{value}").alias(value), F.col("b.km").alias("km"))
