@@ -271,7 +271,22 @@ def e5(spark, d):
     return windows.outliers_global_fallback(hourly(spark, d), ["sensor"], "hr", "value", 48, 2.0).select("sensor", "hr", "outlier")
 
 
-@query("e3_outliers_rolling")
+def _centred_sql(width: int, value: str = "value") -> str:
+    """CTEs up to ``cen`` with the adaptive centred mean m and population deviation s of a column of ``src``."""
+    h = width // 2
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY hr) - 1 AS i, count(*) OVER (PARTITION BY sensor) AS n FROM src),
+ b AS (SELECT *, CASE WHEN n <= {width} THEN 0 WHEN i + {h} + 1 < {width} THEN 0 WHEN i - {h} > n - {width} THEN n - {width} ELSE greatest(0, i - {h}) END AS lo, CASE WHEN n <= {width} THEN n WHEN i + {h} + 1 < {width} THEN {width} WHEN i - {h} > n - {width} THEN n ELSE least(n, i + {h} + 1) END AS hi FROM n),
+ cen AS (SELECT *, avg({value}) OVER (PARTITION BY sensor ORDER BY i ROWS BETWEEN i - lo PRECEDING AND hi - 1 - i FOLLOWING) AS m, stddev_pop({value}) OVER (PARTITION BY sensor ORDER BY i ROWS BETWEEN i - lo PRECEDING AND hi - 1 - i FOLLOWING) AS s FROM b)"""
+
+
+_E3 = f"WITH {HOURLY}, src AS (SELECT sensor, hr, value FROM hourly), {_centred_sql(24)}, z AS (SELECT *, CASE WHEN s = 0 THEN avg(s) OVER (PARTITION BY sensor) ELSE s END AS sd FROM cen) SELECT sensor, hr, coalesce(abs(value - m) > 2 * sd, false) AS outlier FROM z"
+
+
+def _half(is_day: str, n_std: float) -> str:
+    return f"(WITH src AS (SELECT sensor, hr, CASE WHEN {is_day} THEN value END AS value FROM hourly), {_centred_sql(24)}, z AS (SELECT *, CASE WHEN s = 0 THEN avg(s) OVER (PARTITION BY sensor) ELSE s END AS sd FROM cen) SELECT sensor, hr, coalesce(abs(value - m) > {n_std} * sd, false) AS o FROM z)"
+
+
+@query("e3_outliers_rolling", _E3)
 def e3(spark, d):
     return windows.outliers_rolling(hourly(spark, d), ["sensor"], "hr", "value", 24, 2.0).select("sensor", "hr", "outlier")
 
@@ -281,17 +296,19 @@ def e4(spark, d):
     return windows.outliers_mad(hourly(spark, d), ["sensor"], "hr", "value", 24, 3.0).select("sensor", "hr", "outlier")
 
 
-@query("e6_day_night_outliers")
+@query("e6_day_night_outliers", f"WITH {HOURLY} SELECT sensor, hr, a.o OR b.o AS outlier FROM {_half(DAY, 2.5)} a JOIN {_half(f'NOT ({DAY})', 2.0)} b USING (sensor, hr)")
 def e6(spark, d):
     return windows.day_night_outliers(hourly(spark, d), ["sensor"], "hr", "value", F.expr(DAY), 24, 2.5, 2.0).select("sensor", "hr", "outlier")
 
 
-@query("e7_variability")
+@query("e7_variability", f"WITH {HOURLY}, src AS (SELECT sensor, hr, value FROM hourly), {_centred_sql(12)} SELECT sensor, hr, coalesce(value IS NOT NULL AND (s / m > 1.0 OR s > 30.0), false) AS unstable FROM cen")
 def e7(spark, d):
     return windows.variability(hourly(spark, d), ["sensor"], "hr", "value", 12, 1.0, 30.0).select("sensor", "hr", "unstable")
 
 
-@query("e8_baseline_drift")
+@query("e8_baseline_drift", f"""WITH {HOURLY}, q AS (SELECT *, CASE WHEN {DAY} THEN NULL ELSE value END AS nv, row_number() OVER (PARTITION BY sensor ORDER BY hr) AS i FROM hourly), rn AS (SELECT *, CASE WHEN count(nv) OVER w >= 2 THEN quantile_cont(nv, 0.1) OVER w END AS m FROM q WINDOW w AS (PARTITION BY sensor ORDER BY hr ROWS BETWEEN 36 PRECEDING AND 36 FOLLOWING)),
+ nb AS (SELECT *, max(CASE WHEN m IS NOT NULL THEN i END) OVER (PARTITION BY sensor ORDER BY i) AS pi, min(CASE WHEN m IS NOT NULL THEN i END) OVER (PARTITION BY sensor ORDER BY i DESC) AS ni FROM rn), pv AS (SELECT nb.*, a.m AS p, b.m AS x FROM nb LEFT JOIN rn a ON a.sensor = nb.sensor AND a.i = nb.pi LEFT JOIN rn b ON b.sensor = nb.sensor AND b.i = nb.ni)
+ SELECT sensor, hr, round(CASE WHEN value IS NOT NULL THEN greatest(value - coalesce(greatest(coalesce(CASE WHEN pi = ni THEN p ELSE p + (x - p) * (i - pi) / (ni - pi) END, p, x), 0), 0), 0) END, 4) AS corrected FROM pv""")
 def e8(spark, d):
     return rounded(windows.baseline(hourly(spark, d), ["sensor"], "hr", "value", ~F.expr(DAY), 72, 0.1, 2).select("sensor", "hr", "corrected"))
 
@@ -443,9 +460,10 @@ def e33(spark, d):
 
 # ---- filling
 
-_NB = f"""{HOURLY}, rn AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY hr) AS i FROM hourly),
+_NB_TAIL = """rn AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY hr) AS i FROM hourly),
  nb AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN i END) OVER (PARTITION BY sensor ORDER BY i) AS pi, min(CASE WHEN value IS NOT NULL THEN i END) OVER (PARTITION BY sensor ORDER BY i DESC) AS ni FROM rn),
  pv AS (SELECT nb.*, a.value AS p, b.value AS x FROM nb LEFT JOIN rn a ON a.sensor = nb.sensor AND a.i = nb.pi LEFT JOIN rn b ON b.sensor = nb.sensor AND b.i = nb.ni)"""
+_NB = f"{HOURLY}, {_NB_TAIL}"
 
 
 @query("f1_linear_fill", f"WITH {_NB} SELECT sensor, hr, round(greatest(coalesce(CASE WHEN pi = ni THEN p ELSE p + (x - p) * (i - pi) / (ni - pi) END, p, x), 0), 4) AS filled FROM pv WHERE coalesce(p, x) IS NOT NULL")
@@ -464,7 +482,11 @@ def f3(spark, d):
 
 
 def _then_linear(source: str) -> str:
-    return f"""{HOURLY}, st AS ({source}), rn AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY hr) AS i FROM st),
+    return f"{HOURLY}, {_then_tail(source)}"
+
+
+def _then_tail(source: str) -> str:
+    return f"""st AS ({source}), rn AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY hr) AS i FROM st),
  nb AS (SELECT *, max(CASE WHEN m IS NOT NULL THEN i END) OVER (PARTITION BY sensor ORDER BY i) AS pi, min(CASE WHEN m IS NOT NULL THEN i END) OVER (PARTITION BY sensor ORDER BY i DESC) AS ni FROM rn),
  pv AS (SELECT nb.*, a.m AS p, b.m AS x FROM nb LEFT JOIN rn a ON a.sensor = nb.sensor AND a.i = nb.pi LEFT JOIN rn b ON b.sensor = nb.sensor AND b.i = nb.ni)"""
 
@@ -498,7 +520,12 @@ def f9(spark, d):
     return rounded(fill.nearest_rows(hourly(spark, d), ["sensor"], "hr", "value").where("filled is not null").select("sensor", "hr", "filled"))
 
 
-@query("f11_two_step_fill")
+_LINE = "greatest(coalesce(CASE WHEN pi = ni THEN p ELSE p + (x - p) * (i - pi) / (ni - pi) END, p, x), 0)"
+_F11A = f"WITH {_NB_TAIL} SELECT sensor, hr, {_LINE} AS a FROM pv"
+_F11B = f"WITH {_then_tail('SELECT sensor, hr, coalesce(value, avg(value) OVER (PARTITION BY sensor, hr % 24 ORDER BY hr RANGE BETWEEN 168 PRECEDING AND 168 FOLLOWING)) AS m FROM hourly')} SELECT sensor, hr, {_LINE} AS b FROM pv"
+
+
+@query("f11_two_step_fill", f"WITH {_ISL}, z AS (SELECT *, CASE WHEN value IS NULL THEN count(*) OVER (PARTITION BY sensor, g, value IS NULL) END AS size FROM isl) SELECT sensor, hr, round(CASE WHEN value IS NOT NULL THEN value WHEN size <= 3 THEN a WHEN size <= 24 THEN b END, 4) AS filled FROM z LEFT JOIN ({_F11A}) USING (sensor, hr) LEFT JOIN ({_F11B}) USING (sensor, hr)")
 def f11(spark, d):
     return rounded(fill.fill_small_gaps(hourly(spark, d), ["sensor"], "hr", "value").select("sensor", "hr", "filled"))
 
