@@ -11,11 +11,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters handled at once by the numpy routines, so that a worker's memory doesn't follow the Arrow batch.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
+
+#: Rows in an Arrow batch at most: texts and sketches are long, and the default of 10,000 rows would fill a worker.
+BATCH_ROWS = 2000
 
 _own_dir: list[str] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to ``BATCH_ROWS`` rows where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a temporary one only in local mode where it is unset."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
@@ -61,12 +71,13 @@ def slices(lengths: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int,
         yield lo, len(lengths)
 
 
-def map_texts(df: DataFrame, fn: Callable[[list], dict], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[list], dict], schema: str, keep_text: bool = False) -> DataFrame:
     """Apply ``fn(texts) -> {column: values}`` to bounded slices of the ``text`` column; ``doc_id`` and other columns pass through.
 
-    ``schema`` is the DDL of the columns that ``fn`` adds. Null texts are handed over as None.
+    ``schema`` is the DDL of the columns that ``fn`` adds. Null texts are handed over as None. ``keep_text`` passes the text through too.
     """
-    passed = [f for f in df.schema.fields if f.name != "text"]
+    small_batches(df.sparkSession)
+    passed = [f for f in df.schema.fields if keep_text or f.name != "text"]
     names = [f.name for f in passed]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed) + ", " + schema
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -3,10 +3,10 @@
 1. Each whole text becomes the set of its hashed five-word shingles and the k smallest of them (its sketch). Texts with equal sets
    form a class; only one row of a class goes on.
 2. Of two sets with Jaccard of at least 0.75, each value among the smallest of their union lies in both with a chance of 0.75, so two
-   sketches of k = 128 share ``least`` = 64 values or more but for a chance below 1e-9, and share one of their first 15 but for a chance
+   sketches of k = 192 share ``least`` = 105 values or more but for a chance below 1e-9, and share one of their first 15 but for a chance
    below 1e-9 too. Values that many rows hold come last in the order, so that a common passage makes no list; the number of values
-   to invert follows from the share of such values in a sketch (15 with none, 65 at most: two sketches that share 64 of 128 values
-   share one of the first 65 in any order). Small sets are held whole, and the bound is exact for them.
+   to invert follows from the share of such values in a sketch (15 with none, 88 at most: two sketches that share 105 of 192 values
+   share one of the first 88 in any order). Small sets are held whole, and the bound is exact for them.
 3. The values so chosen are inverted, split by size class: linked sets differ in size by a third at most. First each row is paired with
    the smallest row of its longest list, filtered by the union-sketch estimate and confirmed on the full sets; components follow.
 4. Lists whose members ended up in several components get all their other pairs across components compared; pairs inside one component
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, join_groups, keep, map_texts, read
+from .common import id_text, join_groups, keep, map_texts, read, small_batches
 from .components import components
 from .textnum import Texts, shingle_sets
 
-K, LEAST = 128, 64
+K, LEAST = 192, 105
 #: Chance of missing a link by the choice of inverted values.
 MISS = 1e-9
 #: Values that are put last in the order at most (the commonest ones), and rows a value needs for that.
@@ -71,16 +71,21 @@ def _prefix_length(n: int, kept: int, shared: int, k: int, least: int, percent:
 def _common_values(reps: DataFrame) -> np.ndarray:
     """Rows (n, value) of the values that most rows hold, at most ``COMMON_VALUES``. Any order of the values keeps the result right."""
 
+    def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts: list[np.ndarray] = []
+        held = 0
         for b in batches:
-            v, c = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64), return_counts=True)
-            u, back = np.unique(np.concatenate((values, v)), return_inverse=True)
-            values, counts = u, np.bincount(back, np.concatenate((counts, c)), len(u)).astype(np.int64)
-            if len(values) > 4_000_000:  # a common value comes again; the order of the others is free
-                yield pa.RecordBatch.from_arrays([pa.array(values[counts > 1]), pa.array(counts[counts > 1])], ["value", "n"])
-                values, counts = values[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(values[counts > 1]), pa.array(counts[counts > 1])], ["value", "n"])
+            parts.append(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))
+            held += len(parts[-1])
+            if held > 2_000_000:  # a common value comes again in the next lot; the order of the others is free
+                v, c = merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(v[c > 1]), pa.array(c[c > 1])], ["value", "n"])
+                parts, held = [], 0
+        v, c = merged(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(v[c > 1]), pa.array(c[c > 1])], ["value", "n"])
 
     found = reps.select("sketch").mapInArrow(count, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_ROWS).orderBy(F.desc("n"), "value").limit(COMMON_VALUES)
     return np.array(sorted((r.n, r.value) for r in found.collect()), np.int64).reshape(-1, 2)
@@ -112,10 +117,16 @@ def _prefixes(reps: DataFrame, common: np.ndarray, k: int, least: int, percent:
 
 
 def _least_shared(na: np.ndarray, nb: np.ndarray, k: int, least: int, percent: int) -> np.ndarray:
-    """How many values the sketches of linked sets share, but for a chance of 1e-9: six deviations under the mean, where both are full."""
+    """How many values the sketches of linked sets share, but for a chance of about 1e-9, where both are full.
+
+    The larger set's sketch is k of its n values drawn at random (by hash), of which the common ones are known to be enough: a
+    hypergeometric count, taken six and a half deviations and one below its mean.
+    """
     j = percent / 100
-    share = np.clip(j / (1 + j) * (na + nb) / np.maximum(np.maximum(na, nb), 1), 0, 1)
-    return np.where((na >= k) & (nb >= k), np.maximum(least, k * share - 6 * np.sqrt(k * share * (1 - share))), least)
+    n = np.maximum(np.maximum(na, nb), 1).astype(np.float32)
+    share = np.clip(j / (1 + j) * (na + nb) / n, 0, 1)
+    deviation = np.sqrt(np.maximum(k * share * (1 - share) * (1 - k / np.maximum(n, k)), 0))
+    return np.where((na >= k) & (nb >= k), np.maximum(least, k * share - 6.5 * deviation - 1), least)
 
 
 def _estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int, k: int, least: int, percent: int) -> bool:
@@ -173,7 +184,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return keep(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def _shared_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def _shared_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 1024) -> np.ndarray:
     """How many values each sketch of x shares with each of y: matrix products over the values that both sides have, a slab at a time."""
     flat = [np.concatenate(a) for a in (x, y)]
     owner = [np.repeat(np.arange(len(a)), [len(s) for s in a]) for a in (x, y)]
@@ -226,16 +237,29 @@ def _block_pairs(members: DataFrame, reps: DataFrame, prefixes: DataFrame, k: in
         sk = [np.frombuffer(x, np.uint64) for x in t.column("sketch").to_pylist()]
         x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
         shared = _shared_counts([sk[v] for v in x], [sk[v] for v in y])
-        nx, ny = ns[x][:, None], ns[y][None, :]
-        small = (nx <= k) & (ny <= k)
-        enough = np.where(small, 100 * shared >= percent * (nx + ny - shared) - 0.01, shared >= _least_shared(nx, ny, k, least, percent))
-        alike = home[x][:, None] == home[y][None, :]
-        mine = key[0].as_py()
-        before = [(v := np.array(p, np.int64))[v < mine] for p in t.column("prefix").to_pylist()]
-        earlier = _shared_counts([before[v] for v in x], [before[v] for v in y]) > 0
-        here = np.where(alike, (home[x] == own[x])[:, None], (native[x][:, None] | native[y][None, :]) & ~earlier)
-        p, q = np.nonzero(enough & here & (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)))
-        a, b = ids[x[p]], ids[y[q]]
+        found = []
+        for lo in range(0, len(x), 256):  # strips of rows bound the memory of the masks
+            r, part = x[lo : lo + 256], shared[lo : lo + 256]
+            nx, ny = ns[r][:, None], ns[y][None, :]
+            alike = home[r][:, None] == home[y][None, :]
+            fits = (comp[r][:, None] != comp[y][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+            fits &= np.where(alike, (home[r] == own[r])[:, None], native[r][:, None] | native[y][None, :])
+            fits &= np.where((nx <= k) & (ny <= k), 100 * part >= percent * (nx + ny - part) - 0.01, part >= _least_shared(nx, ny, k, least, percent))
+            if fits.any():
+                p, q = np.nonzero(fits)
+                found.append((r[p], y[q]))
+        a, b = (np.concatenate(v) for v in zip(*found)) if found else (x[:0], y[:0])
+        if len(a):
+            mine = key[0].as_py()
+            before = [(v := np.array(p, np.int64))[v < mine] for p in t.column("prefix").to_pylist()]
+            earlier = _shared_counts([before[v] for v in x], [before[v] for v in y]) > 0
+            place = np.zeros(len(ids), np.int64)
+            place[x] = np.arange(len(x))
+            row = place[a]
+            place[y] = np.arange(len(y))
+            first_here = ~earlier[row, place[b]] | (home[a] == home[b])
+            a, b = a[first_here], b[first_here]
+        a, b = ids[a], ids[b]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return rows.groupBy(*lists, "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
@@ -243,6 +267,7 @@ def _block_pairs(members: DataFrame, reps: DataFrame, prefixes: DataFrame, k: in
 
 def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, k: int = K, least: int = LEAST) -> tuple[DataFrame, DataFrame, int]:
     """(rows with their set_key, (set_key, component_id, n_members) per class, number of rows)."""
+    small_batches(docs.sparkSession)
     docs = docs.where("doc_id is not null")
     rows = keep(sketches(docs, size, k), "sketches")
     total = rows.count()
