@@ -71,17 +71,17 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows_per_
     return z[:, 1:] - z[:, :1], m.bias[1:] - m.bias[:1]
 
 
-def score(docs: DataFrame, table: np.ndarray, bias: np.ndarray) -> DataFrame:
-    """``docs`` (doc_id, text and other columns) with the text replaced by score: the probability of label 1."""
+def score(docs: DataFrame, table: np.ndarray, bias: np.ndarray, keep_text: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text and other columns) with the text replaced by (or kept beside) ``_score``: the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast((table, bias))
 
     def run(texts: list) -> dict:
         table, bias = shared.value
         total, count = pooled(Texts(texts), table, BITS, GRAMS, True)
         z = total[:, 0] / np.maximum(count, 1) + float(bias[0])
-        return {"score": 1 / (1 + np.exp(-np.clip(z, -60, 60)))}
+        return {"_score": 1 / (1 + np.exp(-np.clip(z, -60, 60)))}
 
-    return map_texts(docs, run, "score double")
+    return map_texts(docs, run, "_score double", keep_text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, column: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,7 +94,7 @@ def classify(docs: DataFrame, labels: DataFrame, column: str = "quality", id_col
     rows = id_text(docs, id_col, text_col)
     usable = labels.select(F.col(id_col).cast("long").alias("doc_id"), column).where(crc_bucket(F.col("doc_id"), 3) != 1)
     table, bias = train(rows, usable, column)
-    return score(rows, table, bias).select("doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(rows, table, bias).select("doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
@@ -102,9 +102,7 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Dat
     rows = id_text(docs)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(crc_bucket(F.col("doc_id"), 3) != 1)
     table, bias = train(rows, usable, "quality")
-    carried = docs.withColumn("_text", F.col("text"))
-    scored = score(carried, table, bias).where(F.col("score") >= least).withColumnRenamed("_text", "text")
-    return scored.select(*docs.columns)
+    return score(docs, table, bias, keep_text=True).where(F.col("_score") >= least).select(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

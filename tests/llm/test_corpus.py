@@ -260,7 +260,7 @@ def test_held_out_split(edge, edge_labels):
 
 def test_quality_score_ignores_neighbours(edge, edge_labels, spark):
     table, bias = quality.train(edge.select("doc_id", "text"), edge_labels)
-    one = lambda df: {r["doc_id"]: r["score"] for r in quality.score(df.select("doc_id", "text"), table, bias).collect()}
+    one = lambda df: {r["doc_id"]: r["_score"] for r in quality.score(df.select("doc_id", "text"), table, bias).collect()}
     few, all_ = one(edge.where("doc_id in (5, 8)")), one(edge)
     assert few == pytest.approx({k: all_[k] for k in few})
 
