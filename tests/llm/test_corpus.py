@@ -385,6 +385,16 @@ def test_blocks():
     assert html_text.blocks(page)[0] == ["Head & tail", "One two <3 x", "Three four"]
 
 
+def test_parts_are_whole_names():
+    for wrapper in ("class='layout has-sidebar'", "class=with-header", "class='overflow-hidden'", "data-hidden=no", "class='widget'", "hidden", "style='display:none'"):
+        assert html_text.blocks(f"<body><div {wrapper}><p>lead<article><p>text</article></div>") == (["text"], ["lead"]), wrapper
+    assert html_text.blocks("<article><div class='entry-header'><h1>Title</h1></div><div class=header>by</div><p>text</article>")[0] == ["Title", "by", "text"]
+    assert html_text.blocks("<form id=f><div class=ads>no</div><main>text</main></form><form>no</form>") == (["text"], [])
+    for part in ("class='x sidebar'", "hidden", "style='color:red; display: none'", "aria-hidden=true", "role=navigation"):
+        assert html_text.blocks(f"<div {part}>no</div><article>text <span {part}>no</span> more</article>") == (["text more"], []), part
+    assert html_text.blocks("<main><article>text</article><div id=comments><article>no</article></div></main>")[0] == ["text"]
+
+
 def test_extract_edge(spark):
     boiler = "<div>Subscribe to all of our great daily letters today</div>"
     rows = [(k, f"http://h.example/{k}", f"<body>{boiler}<p>story number {k} tells of k{k}</p></body>") for k in range(6)]
