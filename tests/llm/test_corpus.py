@@ -407,6 +407,14 @@ def test_extract_edge(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_doubtful_blocks_beside_an_article(spark):
+    """Text outside an article stays where it is unique to its page, in page order, and goes where the host repeats it."""
+    boiler = "<div>Subscribe to all of our great daily letters today</div>"
+    rows = [(k, f"http://h.example/{k}", f"<div>Title of page p{k}</div>{boiler}<article><p>text t{k}</p></article><div>then q{k}</div>") for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title of page p{k}\ntext t{k}\nthen q{k}" for k in range(6)}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for n in (1, 2, 7, 60):
