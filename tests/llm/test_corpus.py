@@ -415,6 +415,40 @@ def test_doubtful_blocks_beside_an_article(spark):
     assert got == {k: f"Title of page p{k}\ntext t{k}\nthen q{k}" for k in range(6)}
 
 
+def test_runs_are_long_and_counted_over_the_host(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 8))) for _ in range(n))
+    long, head, copied = word(30), word(2), word(40)
+    rows = [(k, f"http://big.example/{k}", f"<div>it was said that {word(5)}</div>") for k in range(1300)]  # a phrase of four words
+    rows += [(k, f"http://big.example/{k}", f"<p>{head}</p><p>{word(3)} {long} {word(3)}</p><p>{head} {word(2)}</p>") for k in range(1300, 1306)]  # few pages of a large host
+    rows += [(k, f"http://big.example/{k}", f"<p>{copied}</p>") for k in range(1306, 1312)]  # copies of a page
+    rows += [(k, f"http://h{k}.example/", f"<p>{copied}</p>") for k in range(1312, 1318)]  # the same on other hosts
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, _, page in rows:
+        words = re.sub("<[^>]*>", " ", page)
+        if 1300 <= k < 1306:
+            words = words.replace(long, " ").replace(head, " ", 1)
+        assert got[k].split() == words.split()
+
+
+def test_runs_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        pages = [[" ".join(map(str, rng.integers(0, 2, rng.integers(1, 7)))) for _ in range(rng.integers(0, 4))] for _ in range(rng.integers(0, 6))]
+        want = []
+        for p, page in enumerate(pages):
+            at = 0
+            for b in page:
+                w = b.split(" ")
+                want += [(p, at + i, min(3, len(w)), tuple(w[i : i + 3])) for i in range(max(1, len(w) - 2))]
+                at += len(w)
+        owner, at, n, digest = html_text.runs(pages, 3)
+        names = {(p, a): t for p, a, _, t in want}
+        assert sorted(zip(owner.tolist(), at.tolist(), n.tolist())) == sorted(x[:3] for x in want)
+        pairs = {(d, names[p, a]) for p, a, d in zip(owner.tolist(), at.tolist(), digest)}
+        assert len(pairs) == len({d for d, _ in pairs}) == len({t for _, t in pairs})
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for n in (1, 2, 7, 60):
