@@ -3,8 +3,9 @@
 Documents become token pieces of at most ``capacity`` tokens. All that matters for packing is the histogram of piece lengths, at most
 ``capacity`` numbers, which alone goes to the driver. There a configuration (a multiset of lengths that fits a sequence) is a column of
 a covering program: use as few configurations as possible so that every length's demand is met. Multiplicative weights solve it: a
-length weighs the less the more of its demand is covered, and each round's column is priced by a knapsack dynamic program over the
-capacity. The fractional solution is rounded down, and what is left is packed best fit, longest first, by counts.
+length weighs the less the more of its demand is covered, and a knapsack dynamic program over the capacity prices each round's columns,
+for each length the best one that holds it. Columns near the best are used, rounded down to whole sequences, until all demand is
+covered but for a remainder of which no such column can be made whole. This alone is packed best fit, longest first, by counts.
 
 Pieces then find their places without another look at the texts: the k-th piece of a length (a distributed rank) takes the k-th slot
 that the configurations have for it.
@@ -68,48 +69,79 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _price(value: np.ndarray, capacity: int) -> list[int]:
-    """The lengths of a configuration of the largest value (unbounded knapsack); value[l] is that of length l, 0 for none."""
+def _price(value: np.ndarray, capacity: int) -> np.ndarray:
+    """The largest value of a configuration for each room up to ``capacity`` (unbounded knapsack); value[l] is that of length l, 0 for none."""
     usable = np.flatnonzero(value)
     v = value[usable]
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    best = np.zeros(capacity + 1)
     for c in range(1, capacity + 1):
         k = np.searchsorted(usable, c, "right")
-        best[c], last[c] = best[c - 1], 0
-        if k:
-            total = best[c - usable[:k]] + v[:k]
-            j = int(np.argmax(total))
-            if total[j] > best[c]:
-                best[c], last[c] = total[j], usable[j]
-    out, c = [], capacity
-    while c > 0:
-        if last[c]:
-            out.append(int(last[c]))
-            c -= int(last[c])
-        else:
+        best[c] = max(best[c - 1], (best[c - usable[:k]] + v[:k]).max()) if k else best[c - 1]
+    return best
+
+
+def _column(first: int, best: np.ndarray, value: np.ndarray, room: np.ndarray, capacity: int) -> tuple[list[int], float]:
+    """The best configuration that holds ``first``, with no length more often than ``room`` says, and its value."""
+    out, c, total = [first], capacity - first, float(value[first])
+    room = room.copy()
+    room[first] -= 1
+    usable = np.flatnonzero((room > 0) & (value > 0))
+    while c > 0 and len(usable):
+        usable = usable[: np.searchsorted(usable, c, "right")]
+        if not len(usable):
+            break
+        gains = best[c - usable] + value[usable]
+        j = int(np.flatnonzero(gains >= gains.max() - 1e-9 * capacity)[-1])  # of equal ones the longest: short pieces fill what is left
+        if gains[j] < best[c - 1] - 1e-9 * capacity:
             c -= 1
-    return out
-
-
-def configurations(demand: np.ndarray, capacity: int, rounds: int = 400, step: float = 0.05) -> dict[tuple[int, ...], float]:
-    """Fractional solution of the configuration program by multiplicative weights. demand[l] pieces have length l."""
-    used = demand > 0
-    x: dict[tuple[int, ...], float] = {}
-    covered = np.zeros(len(demand))
+            continue
+        length = int(usable[j])
+        out.append(length)
+        total += float(value[length])
+        c -= length
+        room[length] -= 1
+        if not room[length]:
+            usable = np.delete(usable, j)
+    return out, total
+
+
+def configurations(demand: np.ndarray, capacity: int, step: float = 0.1, slack: float = 0.01) -> dict[tuple[int, ...], int]:
+    """Solution of the configuration program by multiplicative weights, in whole sequences. demand[l] pieces have length l.
+
+    A round moves at most ``step`` of a length's demand and uses columns whose value is within ``slack`` of the best one's. Rounds go on
+    until no such column can be made of the pieces left. Columns with empty places are used only where fuller ones are at an end.
+    """
+    x: dict[tuple[int, ...], int] = {}
+    left = demand.astype(np.int64)
     size = np.arange(len(demand), dtype=float)
-    for _ in range(rounds):
-        share = np.divide(covered, demand, out=np.ones_like(covered), where=used)
-        open_ = used & (share < 1 - 1e-9)
-        if not open_.any():
-            break
+    most = np.maximum((step * demand).astype(np.int64), np.concatenate(([0], capacity // np.arange(1, len(demand)))))
+    moved, empty = True, 0
+    while left.any():
+        if not moved:
+            if empty >= capacity:
+                break
+            empty = 2 * empty + 1
+        moved = False
         # the dual of a length starts as its size and falls as its demand is met
-        config = _price(np.where(open_, size * np.exp(-2.0 * share), 0.0), capacity)
-        lengths, times = np.unique(config, return_counts=True)
-        amount = float(np.min((demand[lengths] - covered[lengths]) / times))
-        amount = min(amount, max(1.0, step * float(np.min(demand[lengths] / times))))
-        key = tuple(sorted(config, reverse=True))
-        x[key] = x.get(key, 0.0) + amount
-        covered[lengths] += amount * times
+        share = 1 - np.divide(left, demand, out=np.zeros(len(demand)), where=demand > 0)
+        value = np.where(left > 0, size * np.exp(-2.0 * share), 0.0)
+        best = _price(value, capacity)
+        least = (1 - slack) * best[capacity]
+        room = np.minimum(left, most)
+        usable = np.flatnonzero(room)
+        reach = value[usable] + best[capacity - usable]
+        for first in usable[np.lexsort((-usable, -reach))][: np.count_nonzero(reach >= least)]:
+            while room[first] > 0:
+                config, worth = _column(int(first), best, value, room, capacity)
+                if worth < least or sum(config) < capacity - empty:
+                    break
+                lengths, times = np.unique(config, return_counts=True)
+                amount = int(np.min(room[lengths] // times))
+                key = tuple(sorted(config, reverse=True))
+                x[key] = x.get(key, 0) + amount
+                room[lengths] -= amount * times
+                left[lengths] -= amount * times
+                moved = True
     return x
 
 
@@ -142,17 +174,15 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
 
 
 def plan(demand: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(configuration, number of sequences): the program's solution rounded down, and best fit for the rest."""
+    """(configuration, number of sequences): the program's solution, and best fit for the remainder."""
     left, out = demand.copy(), []
     if left[capacity]:
         out.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    for config, amount in sorted(configurations(left.astype(float), capacity).items(), key=lambda c: (-c[1], c[0])):
+    for config, n in sorted(configurations(left, capacity).items(), key=lambda c: (-c[1], c[0])):
+        out.append((config, n))
         lengths, times = np.unique(config, return_counts=True)
-        n = min(int(amount), int(np.min(left[lengths] // times)))
-        if n:
-            out.append((config, n))
-            left[lengths] -= n * times
+        left[lengths] -= n * times
     return out + best_fit(left, capacity)
 
 

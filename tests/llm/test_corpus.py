@@ -222,6 +222,18 @@ def test_plan_uses_every_piece():
     assert not left.any()
 
 
+def test_program_covers_the_demand():
+    rng = np.random.default_rng(2)
+    demand = np.bincount(np.minimum(1 + rng.exponential(300, 20_000).astype(int), 1023), minlength=1025)
+    got = packing.configurations(demand, 1024)
+    covered = np.zeros(1025)
+    for config, n in got.items():
+        assert sum(config) <= 1024
+        np.add.at(covered, list(config), n)
+    assert (covered <= demand).all() and covered @ np.arange(1025) >= 0.95 * (demand @ np.arange(1025))
+    assert sum(n for _, n in packing.plan(demand, 1024)) <= 1.02 * (demand @ np.arange(1025)) / 1024
+
+
 # ---- classifiers
 
 
