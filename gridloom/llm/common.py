@@ -42,7 +42,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote and that nothing reads any more."""
+    for df in kept:
+        jvm = getattr(df.sparkSession, "_jvm", None)
+        if jvm is not None:
+            path = jvm.org.apache.hadoop.fs.Path(df.kept_path)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

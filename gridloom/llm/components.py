@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if state == seen or state[0] == 0:
             break
-        seen, edges = state, keep(_star(edges), "links")
+        seen, before, edges = state, edges, keep(_star(edges), "links")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -1,17 +1,21 @@
 """Operator 9, near-duplicates: bottom-k sketches from one hash function, inverted lists, union-sketch estimation, exact Jaccard.
 
 1. Each whole text becomes the set of its hashed five-word shingles and the k smallest of them (its sketch). Texts with equal sets
-   form a class; only one row of a class goes on.
+   form a class, which has a number of its own (``node``): identifiers may repeat, so they name rows only in the result.
 2. Of two sets with Jaccard of at least 0.75, each value among the smallest of their union lies in both with a chance of 0.75, so two
    sketches of k = 192 share ``least`` = 105 values or more but for a chance below 1e-9, and share one of their first 15 but for a chance
    below 1e-9 too. Values that many rows hold come last in the order, so that a common passage makes no list; the number of values
    to invert follows from the share of such values in a sketch (15 with none, 88 at most: two sketches that share 105 of 192 values
    share one of the first 88 in any order). Small sets are held whole, and the bound is exact for them.
-3. The values so chosen are inverted, split by size class: linked sets differ in size by a third at most. First each row is paired with
-   the smallest row of its longest list, filtered by the union-sketch estimate and confirmed on the full sets; components follow.
+3. The values so chosen are inverted, split by size class: linked sets differ in size by a third at most. First each class is paired with
+   the first class of its longest list, filtered by the union-sketch estimate and confirmed on the full sets; components follow.
 4. Lists whose members ended up in several components get all their other pairs across components compared; pairs inside one component
    cannot change the result. A pair that shares its longest list is left to that list. Long lists are dealt out as pairs of blocks,
-   and a block pair is compared by matrix products, so no list is capped and no task holds one.
+   and a block pair is compared by matrix products, so no list is capped and no task holds one. Where both sets are held whole by their
+   sketches the product is the exact intersection: such links are joined at once, and a block pair gives out the edges of a spanning
+   forest only. Members with larger sets that may still be linked across the forest's trees are given out once each (a row, not their
+   pairs); their full sets meet in the same block pair, where links are confirmed and joined in the same way. What a block pair gives out
+   is in proportion to its members, never to their pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, join_groups, keep, map_texts, read, small_batches
+from .common import discard, id_text, join_groups, keep, map_texts, read, small_batches
 from .components import components
 from .textnum import Texts, shingle_sets
 
@@ -33,19 +37,20 @@ K, LEAST = 192, 105
 MISS = 1e-9
 #: Values that are put last in the order at most (the commonest ones), and rows a value needs for that.
 COMMON_VALUES, COMMON_ROWS = 200_000, 50
-#: Ids of candidates that are broadcast at most.
-BROADCAST_IDS = 1_000_000
-#: Members of an inverted list that are compared at once.
-BLOCK = 2048
+#: Classes of candidates that are broadcast at most (some 100 bytes each).
+BROADCAST_IDS = 200_000
+#: Members of an inverted list that are compared at once, and bytes of their full sets; pairs of one head that are joined at once.
+BLOCK, BLOCK_BYTES, HEAD_PAIRS = 2048, 1 << 25, 512
 
 
 def _sets(texts: list, size: int, k: int, full: bool) -> dict:
     sets = shingle_sets(Texts(texts, lower_ascii=True), size)
+    keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
     if full:
-        return {"shingles": [s.tobytes() for s in sets]}
+        return {"set_key": keys, "shingles": [s.tobytes() for s in sets]}
     return {
         "n_shingles": [len(s) for s in sets],
-        "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+        "set_key": keys,
         "sketch": [s[:k].tobytes() for s in sets],
     }
 
@@ -92,7 +97,7 @@ def _common_values(reps: DataFrame) -> np.ndarray:
 
 
 def _prefixes(reps: DataFrame, common: np.ndarray, k: int, least: int, percent: int) -> DataFrame:
-    """(doc_id, n, prefix): the values of each sketch to invert, those that many rows hold coming last in the order."""
+    """(node, n, prefix): the values of each sketch to invert, those that many rows hold coming last in the order."""
     order = np.argsort(common[:, 1])
     table = reps.sparkSession.sparkContext.broadcast((common[order, 1], common[order, 0]))
 
@@ -111,9 +116,9 @@ def _prefixes(reps: DataFrame, common: np.ndarray, k: int, least: int, percent:
                     if shared:
                         s = s[np.argsort(rank, kind="stable")]
                 out.append(s[: _prefix_length(int(n), len(s), shared, k, least, percent)])
-            yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.array(out, pa.list_(pa.int64()))], ["node", "n", "prefix"])
 
-    return reps.select("doc_id", "n_shingles", "sketch").mapInArrow(run, "doc_id bigint, n bigint, prefix array<bigint>")
+    return reps.select("node", "n_shingles", "sketch").mapInArrow(run, "node bigint, n bigint, prefix array<bigint>")
 
 
 def _least_shared(na: np.ndarray, nb: np.ndarray, k: int, least: int, percent: int) -> np.ndarray:
@@ -146,8 +151,16 @@ def _estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int, k: int, least: int
     return inside >= min(least, k)
 
 
+def _both_sides(pairs: DataFrame, heads: DataFrame, others: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``heads`` (one row per a) and ``others`` (one per b). A head of many pairs gets a copy per ``HEAD_PAIRS`` of them."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / HEAD_PAIRS).cast("int").alias("_parts"))
+    dealt = pairs.join(sizes, "a").withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int")).drop("_parts")
+    copies = heads.join(sizes, "a").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(others, "b").join(copies, ["a", "_part"]).drop("_part")
+
+
 def _filter_pairs(pairs: DataFrame, reps: DataFrame, k: int, least: int, percent: int) -> DataFrame:
-    side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    side = lambda s: reps.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -157,16 +170,25 @@ def _filter_pairs(pairs: DataFrame, reps: DataFrame, k: int, least: int, percent
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return _both_sides(pairs, side("a"), side("b")).where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) with the whole set of each class in ``nodes``, kept. Texts are found by the class's smallest id and told apart by
+    their sets' keys, so that an identifier that repeats with other texts does no harm."""
+    wanted = keep(classes.join(nodes.select("node").distinct(), "node").select("node", "doc_id", "set_key"), "wanted")
+    few = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda d: d)  # so many rows spare the texts and sets a shuffle
+    texts = docs.join(few(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = map_texts(texts, lambda t: _sets(t, size, 0, True), "set_key binary, shingles binary").drop("doc_id")
+    full = keep(sets.join(few(wanted.select("node", "set_key")), "set_key").select("node", "shingles"), "sets")
+    discard(wanted)
+    return full
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
+def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the similarity, kept."""
     pairs = keep(pairs, "candidates")
-    ids = keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    # so many ids are 16 MB at most and spare the texts a shuffle; beyond that the texts are shuffled
-    wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    full = keep(map_texts(wanted, lambda t: _sets(t, size, 0, True), "shingles binary"), "sets")
+    full = _full_sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), docs, classes, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, a = None, None
@@ -176,12 +198,23 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                 if left[i] != last:
                     last, a = left[i], np.frombuffer(sa[i].as_py(), np.uint64)
                 b = np.frombuffer(sb[i].as_py(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
+                both = _both(a, b)
                 good.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda s: full.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"s{s}"))
-    return keep(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
+    # rows that repeat an id and a text give their class's set more than once
+    side = lambda s: full.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}")).dropDuplicates([s])
+    links = keep(_both_sides(pairs, side("a"), side("b")).select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
+    discard(pairs, full)
+    return links
+
+
+def _both(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(a) or not len(b):
+        return 0
+    at = np.searchsorted(a, b)
+    return int(np.count_nonzero(a[np.minimum(at, len(a) - 1)] == b))
 
 
 def _shared_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 1024) -> np.ndarray:
@@ -207,113 +240,214 @@ def _shared_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 1024
     return total
 
 
-def _block_pairs(members: DataFrame, reps: DataFrame, prefixes: DataFrame, k: int, least: int, percent: int) -> DataFrame:
-    """Pairs across components within lists, compared block by block. ``members``: value, cell, native, doc_id, comp.
+def _forest(fits: np.ndarray, rows: np.ndarray, cols: np.ndarray, tree: np.ndarray, check=None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over ``fits`` (rows x cols; both number members), in addition to what ``tree`` joins already.
 
-    A pair is compared in the lists of the larger set's own size class, or only in the longest list if both have the same one as their longest.
-    Of the lists it shares, the one of the smallest value gives it out.
+    ``tree`` has a label a member and is brought up to date: members joined by edges get one label. ``check(i, j)`` confirms an edge, and is
+    asked once at most for a pair, and never for a pair that is joined already. Rows and columns are disjoint, or the same and ``fits`` symmetric.
+    """
+    at_row, at_col = np.full(len(tree), -1), np.full(len(tree), -1)
+    at_row[rows], at_col[cols] = np.arange(len(rows)), np.arange(len(cols))
+    edges: list[tuple[int, int]] = []
+    mates: dict[int, list[int]] = {}
+    for i, label in enumerate(tree.tolist()):
+        mates.setdefault(label, []).append(i)
+    waiting = np.ones(len(tree), bool)
+    for start in range(len(tree)):
+        if not waiting[start]:
+            continue
+        label = int(tree[start])
+        todo = list(mates[label])
+        waiting[todo] = False
+        while todo:
+            i = todo.pop()
+            near = cols[fits[at_row[i]]] if at_row[i] >= 0 else rows[fits[:, at_col[i]]]
+            for j in near[waiting[near]].tolist():
+                if waiting[j] and (check is None or check(i, j)):
+                    edges.append((i, j))
+                    more = mates[int(tree[j])]
+                    waiting[more] = False
+                    todo += more
+                    tree[more] = label
+    return edges
+
+
+def _fitting(t: pa.Table, mine: int, x: np.ndarray, y: np.ndarray, sketch: list[np.ndarray], k: int, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For members x and y of a list: (pairs that are links for sure, pairs that may be). Each pair fits in one list only."""
+    ns, comp, home, own, native = (t.column(c).to_numpy() for c in ("n_shingles", "comp", "home", "own", "native"))
+    shared = _shared_counts([sketch[v] for v in x], [sketch[v] for v in y])
+    fits, whole = np.zeros((len(x), len(y)), bool), np.zeros((len(x), len(y)), bool)
+    ny = ns[y][None, :]
+    for lo in range(0, len(x), 256):  # strips of rows bound the memory of the masks
+        r, part = x[lo : lo + 256], shared[lo : lo + 256]
+        nx = ns[r][:, None]
+        alike = home[r][:, None] == home[y][None, :]
+        good = (comp[r][:, None] != comp[y][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+        good &= np.where(alike, (home[r] == own[r])[:, None], native[r][:, None] | native[y][None, :])
+        small = (nx <= k) & (ny <= k)
+        good &= np.where(small, 100 * part >= percent * (nx + ny - part) - 0.01, part >= _least_shared(nx, ny, k, least, percent))
+        fits[lo : lo + 256], whole[lo : lo + 256] = good, small
+    if fits.any():
+        before = [(v := np.array(p, np.int64))[v < mine] for p in t.column("prefix").to_pylist()]
+        p, q = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
+        earlier = _shared_counts([before[v] for v in x[p]], [before[v] for v in y[q]]) > 0
+        fits[np.ix_(p, q)] &= ~earlier | (home[x[p]][:, None] == home[y[q]][None, :])
+    return fits & whole, fits & ~whole
+
+
+_MEMBER = ["node", "block", "native", "home", "own", "comp"]
+
+
+def _block_links(members: DataFrame, reps: DataFrame, prefixes: DataFrame, docs: DataFrame, classes: DataFrame, size: int, k: int, least: int, percent: int) -> list[DataFrame]:
+    """Links (a, b) across components within lists, compared block by block, enough of them to join all that is linked.
+
+    ``members``: value, cell, native, node, comp. A pair is compared in the lists of the larger set's own size class, or only in the longest
+    list if both have the same one as their longest. Of the lists it shares, the one of the smallest value takes it.
     """
     lists = ["value", "cell"]
     sized = members.join(members.groupBy(*lists).agg(F.count("*").alias("m")), lists)
-    longest = sized.groupBy("doc_id").agg(F.max(F.struct("m", *lists)).alias("h"))
-    placed = members.join(longest.select("doc_id", F.xxhash64("h.value", "h.cell").alias("home")), "doc_id").withColumn("own", F.xxhash64(*lists))
+    longest = sized.groupBy("node").agg(F.max(F.struct("m", *lists)).alias("h"))
+    placed = sized.join(longest.select("node", F.xxhash64("h.value", "h.cell").alias("home")), "node").withColumn("own", F.xxhash64(*lists))
     # a list all of whose members have another list as their longest has nothing left to compare
     left = placed.groupBy(*lists).agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.first("own").alias("own")).where("h0 <> h1 or h0 = own").select(*lists)
     placed = keep(placed.join(left, lists, "left_semi"), "members")
-    rn = F.row_number().over(Window.partitionBy(*lists).orderBy("native", "home", "comp", "doc_id"))
-    blocks = placed.withColumn("block", F.floor((rn - 1) / BLOCK).cast("int"))
+    # a long list is dealt out by hash before it is numbered; a block's full sets are BLOCK_BYTES at most
+    per = F.greatest(F.lit(4), F.least(F.lit(BLOCK), F.floor(BLOCK_BYTES / 8 / F.pow(F.lit(100 / percent), F.col("cell") + 1)))).cast("int")
+    deals = F.greatest(F.lit(1), F.ceil(F.col("m") / (2 * per)))
+    dealt = placed.withColumn("per", per).withColumn("deal", F.pmod(F.xxhash64("node"), deals).cast("int"))
+    rn = F.row_number().over(Window.partitionBy(*lists, "deal").orderBy("native", "home", "comp", "node"))
+    blocks = dealt.withColumn("block", (F.col("deal") * 1024 + F.floor((rn - 1) / F.col("per"))).cast("int")).select(*lists, *_MEMBER)
     spans = blocks.groupBy(*lists, "block").agg(*(f(c).alias(f"{c}{i}") for c in ("home", "comp") for i, f in enumerate((F.min, F.max))), F.max("native").alias("native"), F.first("own").alias("own"))
     first = spans.select(*lists, F.col("block").alias("i"), F.col("native").alias("native_"), *(F.col(f"{c}{i}").alias(f"{c}{i}_") for c in ("home", "comp") for i in (0, 1)))
     both = first.join(spans, lists).where("""i <= block and (native or native_ or own between home0 and home1 or own between home0_ and home1_) and not (comp0 = comp1 and comp0_ = comp1_ and comp0 = comp0_)
         and not (home0 = home1 and home0_ = home1_ and home0 = home0_ and home0 <> own)""")
     work = both.select(*lists, "i", F.col("block").alias("j"))
     need = work.select(*lists, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = need.join(blocks, [*lists, "block"]).join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id").join(prefixes.select("doc_id", "prefix"), "doc_id")
+    rows = need.join(blocks, [*lists, "block"]).join(reps.select("node", "n_shingles", "sketch"), "node").join(prefixes.select("node", "prefix"), "node")
+    keys = [*lists, "i", "j"]
+    shape = "value bigint, cell int, i int, j int, a bigint, b bigint, block int, native boolean, home bigint, own bigint, comp bigint"
+    names = [c.split()[0] for c in shape.split(", ")]
+
+    def result(key: tuple, t: pa.Table, edges: list[tuple[int, int]], tree: np.ndarray, open_rows: np.ndarray) -> pa.Table:
+        """Links (a, b), and members (a alone, with what is known of them) that may be linked further; ``comp`` is one for each tree."""
+        comp = t.column("comp").to_numpy()
+        label = np.zeros(len(tree), np.int64)
+        label[tree] = comp
+        a = np.concatenate((np.array([e[0] for e in edges], np.int64), open_rows))
+        other = pa.array([e[1] for e in edges] + [None] * len(open_rows), pa.int64())
+        part = t.take(pa.array(a))
+        b = t.column("node").combine_chunks().take(other)
+        return pa.table([*(pa.array([v.as_py()] * len(a), pa.int64() if n == 0 else pa.int32()) for n, v in enumerate(key)), part.column("node"), b, *(part.column(c) for c in _MEMBER[1:-1]), pa.array(label[tree[a]])], names)
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
-        i, j = key[2].as_py(), key[3].as_py()
-        ids, ns, comp, home, own, block = (t.column(c).to_numpy() for c in ("doc_id", "n_shingles", "comp", "home", "own", "block"))
-        native = t.column("native").to_numpy()
-        sk = [np.frombuffer(x, np.uint64) for x in t.column("sketch").to_pylist()]
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        shared = _shared_counts([sk[v] for v in x], [sk[v] for v in y])
-        found = []
-        for lo in range(0, len(x), 256):  # strips of rows bound the memory of the masks
-            r, part = x[lo : lo + 256], shared[lo : lo + 256]
-            nx, ny = ns[r][:, None], ns[y][None, :]
-            alike = home[r][:, None] == home[y][None, :]
-            fits = (comp[r][:, None] != comp[y][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
-            fits &= np.where(alike, (home[r] == own[r])[:, None], native[r][:, None] | native[y][None, :])
-            fits &= np.where((nx <= k) & (ny <= k), 100 * part >= percent * (nx + ny - part) - 0.01, part >= _least_shared(nx, ny, k, least, percent))
-            if fits.any():
-                p, q = np.nonzero(fits)
-                found.append((r[p], y[q]))
-        a, b = (np.concatenate(v) for v in zip(*found)) if found else (x[:0], y[:0])
-        if len(a):
-            mine = key[0].as_py()
-            before = [(v := np.array(p, np.int64))[v < mine] for p in t.column("prefix").to_pylist()]
-            earlier = _shared_counts([before[v] for v in x], [before[v] for v in y]) > 0
-            place = np.zeros(len(ids), np.int64)
-            place[x] = np.arange(len(x))
-            row = place[a]
-            place[y] = np.arange(len(y))
-            first_here = ~earlier[row, place[b]] | (home[a] == home[b])
-            a, b = a[first_here], b[first_here]
-        a, b = ids[a], ids[b]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return rows.groupBy(*lists, "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+        block, comp = t.column("block").to_numpy(), t.column("comp").to_numpy()
+        x, y = np.flatnonzero(block == key[2].as_py()), np.flatnonzero(block == key[3].as_py())
+        sketch = [np.frombuffer(v, np.uint64) for v in t.column("sketch").to_pylist()]
+        sure, may = _fitting(t, key[0].as_py(), x, y, sketch, k, least, percent)
+        tree = np.unique(comp, return_inverse=True)[1]
+        edges = _forest(sure, x, y, tree)
+        may &= tree[x][:, None] != tree[y][None, :]
+        return result(key, t, edges, tree, np.union1d(x[may.any(1)], y[may.any(0)]))
+
+    found = keep(rows.groupBy(*keys).applyInArrow(compare, shape), "compared")
+    links = keep(found.where("b is not null").select("a", "b").distinct(), "links")
+    open_rows = found.where("b is null").drop("b").withColumnRenamed("a", "node")
+    full = _full_sets(open_rows, docs, classes, size)
+    again = open_rows.join(prefixes.select("node", F.col("n").alias("n_shingles"), "prefix"), "node").join(full.dropDuplicates(["node"]), "node")
+
+    def confirm(key: tuple, t: pa.Table) -> pa.Table:
+        block, comp = t.column("block").to_numpy(), t.column("comp").to_numpy()
+        x, y = np.flatnonzero(block == key[2].as_py()), np.flatnonzero(block == key[3].as_py())
+        sets = [np.frombuffer(v, np.uint64) for v in t.column("shingles").to_pylist()]
+        _, may = _fitting(t, key[0].as_py(), x, y, [s[:k] for s in sets], k, least, percent)
+
+        def linked(i: int, j: int) -> bool:
+            n = _both(sets[i], sets[j])
+            return 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n)
+
+        tree = np.unique(comp, return_inverse=True)[1]
+        return result(key, t, _forest(may, x, y, tree, linked), tree, x[:0])
+
+    more = keep(again.groupBy(*keys).applyInArrow(confirm, shape).select("a", "b").distinct(), "links")
+    discard(placed, found, full)
+    return [links, more]
 
 
 def link_classes(docs: DataFrame, size: int = 5, percent: int = 75, k: int = K, least: int = LEAST) -> tuple[DataFrame, DataFrame, int]:
-    """(rows with their set_key, (set_key, component_id, n_members) per class, number of rows)."""
+    """(rows with doc_id, n_shingles and set_key, (set_key, component, component_id, n_members) per class, number of rows)."""
     small_batches(docs.sparkSession)
     docs = docs.where("doc_id is not null")
     rows = keep(sketches(docs, size, k), "sketches")
     total = rows.count()
     first = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("s")
-    classes = keep(rows.where("n_shingles > 0").groupBy("set_key").agg(first, F.count("*").alias("n_members")).select("set_key", "n_members", "s.doc_id", "s.n_shingles", "s.sketch"), "classes")
-    reps = classes.select("doc_id", "n_shingles", "sketch")
+    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(first, F.count("*").alias("n_members")).select("set_key", "n_members", "s.doc_id", "s.n_shingles", "s.sketch")
+    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
+    reps = classes.select("node", "n_shingles", "sketch")
     prefixes = keep(_prefixes(reps, _common_values(reps), k, least, percent), "prefixes")
-    post = prefixes.select(F.explode("prefix").alias("value"), "doc_id", "n")
+    post = prefixes.select(F.explode("prefix").alias("value"), "node", "n")
 
     # sets whose sizes differ by a third at most lie in the same class of sizes or in neighbouring ones
     cell = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     home = post.withColumn("cell", cell)
-    heads = home.groupBy("value", "cell").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).where("m > 1")
-    star = home.join(heads, ["value", "cell"]).groupBy("doc_id").agg(F.max(F.struct("m", F.col("a"))).alias("h")).select(F.col("h.a").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    links = _confirm(_filter_pairs(star, reps, k, least, percent), docs, size, percent)
+    heads = home.groupBy("value", "cell").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1")
+    star = home.join(heads, ["value", "cell"]).groupBy("node").agg(F.max(F.struct("m", F.col("a"))).alias("h")).select(F.col("h.a").alias("a"), F.col("node").alias("b")).where("a <> b")
+    candidates = keep(_filter_pairs(keep(star, "star"), reps, k, least, percent), "filtered")
+    links = _confirm(candidates, docs, classes, size, percent)
     found = components(links)
 
-    labelled = post.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("native")), F.struct((cell + 1).alias("cell"), F.lit(False).alias("native")))).alias("c"), F.coalesce("component", "doc_id").alias("comp")).select("value", "doc_id", "comp", "c.cell", "c.native")
+    labelled = post.join(found, "node", "left").select("value", "node", F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("native")), F.struct((cell + 1).alias("cell"), F.lit(False).alias("native")))).alias("c"), F.coalesce("component", "node").alias("comp")).select("value", "node", "comp", "c.cell", "c.native")
     mixed = labelled.groupBy("value", "cell").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("value", "cell")
     members = keep(labelled.join(mixed, ["value", "cell"], "left_semi"), "members")
-    more = _confirm(_block_pairs(members, reps, prefixes, k, least, percent), docs, size, percent)
-    final = components(links.unionByName(more)).withColumnRenamed("node", "doc_id")
-    placed = classes.join(final, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"), "n_members")
+    more = _block_links(members, reps, prefixes, docs, classes, size, k, least, percent)
+    final = components(links.unionByName(more[0]).unionByName(more[1]))
+    named = classes.select("set_key", "node", "doc_id", "n_members").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # most components are one class and need no partner
+    linked = named.where("component <> node").select("component").distinct()
+    groups = named.join(linked, "component", "left_semi").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = named.join(groups, "component", "left").select("set_key", "component", F.coalesce("component_id", "doc_id").alias("component_id"), "n_members")
+    placed = keep(placed, "placed")
+    discard(classes, prefixes, members, links, *more)
     return rows, placed, total
 
 
+def _labelled(docs: DataFrame, size: int, percent: int, k: int, least: int) -> DataFrame:
+    """(doc_id, n_shingles, set_key, component, component_id) of each row with an id; component is null for rows without words."""
+    rows, classes, total = link_classes(docs, size, percent, k, least)
+    labelled = join_groups(rows.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key"), classes, "set_key", "n_members", total).drop("n_members")
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", "set_key", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return labelled.unionByName(alone)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, k: int = K, least: int = LEAST) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
+    """One row per input row: doc_id, n_shingles, component_id (smallest id reachable over links), kept (whether that is its own id).
 
-    Null texts and texts without words have no shingles and stand alone. Rows that repeat an id share its component. Rows with a null id
-    are returned with a null component and kept. An empty table gives an empty result; columns besides id and text are ignored.
+    Null texts and texts without words have no shingles and stand alone. Rows that repeat an id are documents of their own: each gets the
+    component of its own text. Rows with a null id are returned with a null component and kept. An empty table gives an empty result;
+    columns besides id and text are ignored.
     """
     docs = id_text(docs, id_col, text_col)
-    rows, classes, total = link_classes(docs, size, percent, k, least)
-    classes = keep(classes, "classes")
-    labelled = join_groups(rows.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key"), classes, "set_key", "n_members", total).select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = _labelled(docs, size, percent, k, least).select("doc_id", "n_shingles", "component_id")
     unnamed = sketches(docs.where("doc_id is null"), size, k).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = labelled.unionByName(alone).unionByName(unnamed)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return named.unionByName(unnamed).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
 
+def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 75, k: int = K, least: int = LEAST) -> DataFrame:
+    """One document of each group of linked ones, the smallest id; all columns stay, rows with a null id or without words too.
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group of linked ones, the smallest id; all columns stay, rows with a null id too."""
-    drop = near_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti")
+    Of a group's rows that share the smallest id, one stays: the one whose set's key is the smallest, any of those that are equal in it.
+    """
+    rows = keep(_labelled(id_text(docs), size, percent, k, least), "labelled")
+    gone = rows.where("doc_id <> component_id").select("doc_id").distinct()
+    again = keep(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    single = docs.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # a repeated id names several rows, which are told apart by their texts' sets
+    first = rows.where("doc_id = component_id and component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "set_key")).alias("s")).select("s.doc_id", "s.set_key").join(again, "doc_id", "left_semi")
+    several = map_texts(docs.join(again, "doc_id", "left_semi").select(*docs.columns), lambda t: dict(zip(("_n", "_set_of"), list(_sets(t, size, 0, False).values())[:2])), "_n bigint, _set_of binary", keep_text=True)
+    first = first.select(F.col("doc_id").alias("_id"), F.col("set_key").alias("_set"))
+    chosen = several.where("_n > 0").join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_set_of") == F.col("_set"))).dropDuplicates(["_id", "_set"])
+    return single.unionByName(chosen.select(*docs.columns)).unionByName(several.where("_n = 0").select(*docs.columns))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,12 +132,71 @@ def test_near_dedup_families(spark):
     assert {i: r["component_id"] for i, r in got.items()} == brute_near(sets_of(rows))
 
 
+def brute_rows(rows):
+    """Component (smallest id reachable) of each row, every row being a document of its own."""
+    sets = sets_of(list(enumerate(t for _, t in rows)))
+    roots = brute_near(sets)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[roots[i]] = min(doc_id, least.get(roots[i], doc_id))
+    return sorted((doc_id, least[roots[i]]) for i, (doc_id, _) in enumerate(rows))
+
+
+def test_near_dedup_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (7, b), (7, a + " more"), (9, c), (9, c), (11, c + " x"), (9, c + " y"), (12, ""), (12, None), (13, b + " z"), (6, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_dedup(df).collect()) == brute_rows(rows)
+    left = near_dedup.drop_near_copies(df)
+    assert left.columns == df.columns and sorted((r["doc_id"], r["text"] or "") for r in left.collect()) == [(5, a), (6, c), (7, b), (12, ""), (12, "")]
+    left = near_dedup.drop_near_copies(df.where("doc_id in (9, 11)")).collect()
+    assert len(left) == 1 and left[0]["doc_id"] == 9
+
+
+def test_near_dedup_hot_group(spark):
+    """A group of edited copies, of short and of long texts, in which few pairs are links: no stage gives out its pairs."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for n, members, edits in ((120, 700, 5), (400, 300, 12)):
+        base = [f"h{n}_{k}" for k in range(n)]
+        for _ in range(members):
+            words = list(base)
+            for k in rng.choice(n, rng.integers(0, edits), replace=False):
+                words[k] = f"e{rng.integers(1 << 40)}"
+            rows.append((len(rows) + 1, " ".join(words)))
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == brute_rows(rows)
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 30):
+        for same in (True, False):
+            fits = rng.random((n, n)) < 2 / n
+            if same:
+                fits = np.triu(fits, 1) | np.triu(fits, 1).T
+            rows, cols = np.arange(n), np.arange(n) if same else np.arange(n, 2 * n)
+            tree = rng.integers(0, max(1, n), n if same else 2 * n)
+            asked = []
+            ok = {tuple(sorted((int(rows[p]), int(cols[q])))): bool(rng.random() < 0.7) for p, q in zip(*np.nonzero(fits))}
+            links = [(int(tree[a]), int(tree[b])) for (a, b), v in ok.items() if v]
+            want = {int(t): int(t) for t in tree}
+            for _ in range(len(want)):
+                for a, b in links:
+                    want[a] = want[b] = min(want[a], want[b])
+            old = tree.copy()
+            edges = near_dedup._forest(fits, rows, cols, tree, lambda a, b: asked.append(tuple(sorted((a, b)))) or ok[tuple(sorted((a, b)))])
+            assert len(edges) < max(1, len(want)) and len(asked) == len(set(asked))
+            assert all((tree[a] == tree[b]) == (want[int(old[a])] == want[int(old[b])]) for a in range(len(tree)) for b in range(len(tree)))
+
+
 def test_near_dedup_edge(edge):
-    got = near_dedup.near_dedup(edge.where("doc_id <> 7 or doc_id is null")).collect()
-    assert len(got) == len(EDGE) - 2
+    got = near_dedup.near_dedup(edge).collect()
+    assert len(got) == len(EDGE)
     kept = {r["doc_id"]: (r["component_id"], r["n_shingles"], r["kept"]) for r in got}
     assert kept[1] == (1, 0, True) and kept[2] == (2, 0, True) and kept[3] == (3, 0, True) and kept[4] == (4, 1, True)
-    assert kept[9] == (8, 3, False) and kept[8] == (8, 3, True) and kept[None] == (None, 3, True) and kept[10][1] == 1
+    assert kept[9] == (7, 3, False) and kept[8] == (7, 3, False) and kept[None] == (None, 3, True) and kept[10][1] == 1
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] == 7) == [(2, 7), (3, 7)]
     assert near_dedup.near_dedup(edge.limit(0)).count() == 0
     assert near_dedup.drop_near_copies(edge).columns == edge.columns
 
