@@ -37,8 +37,8 @@ K, LEAST = 192, 105
 MISS = 1e-9
 #: Values that are put last in the order at most (the commonest ones), and rows a value needs for that.
 COMMON_VALUES, COMMON_ROWS = 200_000, 50
-#: Classes of candidates that are broadcast at most (some 100 bytes each).
-BROADCAST_IDS = 200_000
+#: Numbers of classes (16 bytes each) and classes with their keys (some 100 bytes each) that are broadcast at most.
+BROADCAST_IDS, BROADCAST_KEYS = 1_000_000, 200_000
 #: Members of an inverted list that are compared at once, and bytes of their full sets; pairs of one head that are joined at once.
 BLOCK, BLOCK_BYTES, HEAD_PAIRS = 2048, 1 << 25, 512
 
@@ -151,6 +151,11 @@ def _estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int, k: int, least: int
     return inside >= min(least, k)
 
 
+def _only(reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``reps`` whose node is in ``nodes``, where these are few: the others' sketches then need no shuffle. Else all of them."""
+    return reps.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= BROADCAST_IDS else reps
+
+
 def _both_sides(pairs: DataFrame, heads: DataFrame, others: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with the columns of ``heads`` (one row per a) and ``others`` (one per b). A head of many pairs gets a copy per ``HEAD_PAIRS`` of them."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / HEAD_PAIRS).cast("int").alias("_parts"))
@@ -160,8 +165,6 @@ def _both_sides(pairs: DataFrame, heads: DataFrame, others: DataFrame) -> DataFr
 
 
 def _filter_pairs(pairs: DataFrame, reps: DataFrame, k: int, least: int, percent: int) -> DataFrame:
-    side = lambda s: reps.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             na, nb = t.column("na").to_numpy(False), t.column("nb").to_numpy(False)
@@ -170,14 +173,16 @@ def _filter_pairs(pairs: DataFrame, reps: DataFrame, k: int, least: int, percent
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    return _both_sides(pairs, side("a"), side("b")).where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    a, b = (_only(reps, keep(pairs.select(F.col(s).alias("node")).distinct(), "nodes")) for s in "ab")
+    sides = [r.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for s, r in (("a", a), ("b", b))]
+    return _both_sides(pairs, *sides).where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """(node, shingles) with the whole set of each class in ``nodes``, kept. Texts are found by the class's smallest id and told apart by
     their sets' keys, so that an identifier that repeats with other texts does no harm."""
     wanted = keep(classes.join(nodes.select("node").distinct(), "node").select("node", "doc_id", "set_key"), "wanted")
-    few = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda d: d)  # so many rows spare the texts and sets a shuffle
+    few = F.broadcast if wanted.count() <= BROADCAST_KEYS else (lambda d: d)  # so many rows spare the texts and sets a shuffle
     texts = docs.join(few(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     sets = map_texts(texts, lambda t: _sets(t, size, 0, True), "set_key binary, shingles binary").drop("doc_id")
     full = keep(sets.join(few(wanted.select("node", "set_key")), "set_key").select("node", "shingles"), "sets")
@@ -275,23 +280,23 @@ def _forest(fits: np.ndarray, rows: np.ndarray, cols: np.ndarray, tree: np.ndarr
 def _fitting(t: pa.Table, mine: int, x: np.ndarray, y: np.ndarray, sketch: list[np.ndarray], k: int, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """For members x and y of a list: (pairs that are links for sure, pairs that may be). Each pair fits in one list only."""
     ns, comp, home, own, native = (t.column(c).to_numpy() for c in ("n_shingles", "comp", "home", "own", "native"))
-    shared = _shared_counts([sketch[v] for v in x], [sketch[v] for v in y])
+    before = [(v := np.array(p, np.int64))[v < mine] for p in t.column("prefix").to_pylist()]
     fits, whole = np.zeros((len(x), len(y)), bool), np.zeros((len(x), len(y)), bool)
     ny = ns[y][None, :]
-    for lo in range(0, len(x), 256):  # strips of rows bound the memory of the masks
-        r, part = x[lo : lo + 256], shared[lo : lo + 256]
+    for lo in range(0, len(x), 512):  # strips of rows bound the memory
+        r = x[lo : lo + 512]
+        part = _shared_counts([sketch[v] for v in r], [sketch[v] for v in y])
         nx = ns[r][:, None]
         alike = home[r][:, None] == home[y][None, :]
         good = (comp[r][:, None] != comp[y][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
         good &= np.where(alike, (home[r] == own[r])[:, None], native[r][:, None] | native[y][None, :])
         small = (nx <= k) & (ny <= k)
         good &= np.where(small, 100 * part >= percent * (nx + ny - part) - 0.01, part >= _least_shared(nx, ny, k, least, percent))
-        fits[lo : lo + 256], whole[lo : lo + 256] = good, small
-    if fits.any():
-        before = [(v := np.array(p, np.int64))[v < mine] for p in t.column("prefix").to_pylist()]
-        p, q = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
-        earlier = _shared_counts([before[v] for v in x[p]], [before[v] for v in y[q]]) > 0
-        fits[np.ix_(p, q)] &= ~earlier | (home[x[p]][:, None] == home[y[q]][None, :])
+        if good.any():
+            p, q = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))
+            earlier = _shared_counts([before[v] for v in r[p]], [before[v] for v in y[q]]) > 0
+            good[np.ix_(p, q)] &= ~earlier | alike[np.ix_(p, q)]
+        fits[lo : lo + 512], whole[lo : lo + 512] = good, small
     return fits & whole, fits & ~whole
 
 
@@ -323,7 +328,8 @@ def _block_links(members: DataFrame, reps: DataFrame, prefixes: DataFrame, docs:
         and not (home0 = home1 and home0_ = home1_ and home0 = home0_ and home0 <> own)""")
     work = both.select(*lists, "i", F.col("block").alias("j"))
     need = work.select(*lists, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = need.join(blocks, [*lists, "block"]).join(reps.select("node", "n_shingles", "sketch"), "node").join(prefixes.select("node", "prefix"), "node")
+    held = _only(reps.join(prefixes.select("node", "prefix"), "node"), keep(placed.select("node").distinct(), "nodes"))
+    rows = need.join(blocks, [*lists, "block"]).join(held, "node")
     keys = [*lists, "i", "j"]
     shape = "value bigint, cell int, i int, j int, a bigint, b bigint, block int, native boolean, home bigint, own bigint, comp bigint"
     names = [c.split()[0] for c in shape.split(", ")]
