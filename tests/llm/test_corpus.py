@@ -72,6 +72,19 @@ def test_drop_copies(edge):
     assert len(texts) == len(set(texts)) == len({(t or "").translate(LOWER) for _, t in EDGE})
 
 
+def test_doubled_rows(spark, edge):
+    """Of rows that repeat both id and text one stays, in the result and in the table."""
+    rows = [(1, "Same"), (1, "same"), (1, "same"), (2, "other"), (None, "x"), (None, "x"), (3, None), (3, ""), (0, "same")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    for largest, sames in ((True, 1), (False, 0)):
+        got = exact_dedup.exact_dedup(df, largest=largest).collect()
+        assert sorted(((r["doc_id"], r["keep_id"]) for r in got if r["kept"]), key=repr) == sorted([(sames, sames), (2, 2), (None, None), (3, 3)], key=repr)
+        assert len(got) == len(rows)
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns and sorted((r["doc_id"] for r in left.collect()), key=repr) == sorted([1, 2, None, 3], key=repr)
+    assert exact_dedup.exact_dedup(df, runs=1).count() == exact_dedup.exact_dedup(df, runs=5, fan_in=2).count() == len(rows)
+
+
 def test_smallest_id_option(edge):
     got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_dedup(edge.where("doc_id in (8, 9)"), largest=False).collect()}
     assert got == {8: 8, 9: 8}
