@@ -3,9 +3,11 @@
 Documents become token pieces of at most ``capacity`` tokens. All that matters for packing is the histogram of piece lengths, at most
 ``capacity`` numbers, which alone goes to the driver. There a configuration (a multiset of lengths that fits a sequence) is a column of
 a covering program: use as few configurations as possible so that every length's demand is met. Multiplicative weights solve it: a
-length weighs the less the more of its demand is covered, and a knapsack dynamic program over the capacity prices each round's columns,
-for each length the best one that holds it. Columns near the best are used, rounded down to whole sequences, until all demand is
-covered but for a remainder of which no such column can be made whole. This alone is packed best fit, longest first, by counts.
+length's dual price starts high for long pieces, which few others fit, and falls exponentially with the share of its demand that is
+covered. A knapsack dynamic program over the capacity prices each round's columns, for each length the best one that holds it and leaves
+no place empty; columns near the best are used in whole sequences as far as the pieces reach, so that the solution is rounded as it grows.
+Where no full column is left, columns with a few places more than need be empty are let in. What no such column can be made of is the
+remainder of the rounding, which alone is packed best fit, longest first, by counts.
 
 Pieces then find their places without another look at the texts: the k-th piece of a length (a distributed rank) takes the k-th slot
 that the configurations have for it.
@@ -70,78 +72,76 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
 
 
 def _price(value: np.ndarray, capacity: int) -> np.ndarray:
-    """The largest value of a configuration for each room up to ``capacity`` (unbounded knapsack); value[l] is that of length l, 0 for none."""
+    """The largest value of a configuration of exactly each size up to ``capacity`` (unbounded knapsack), -inf where there is none.
+    value[l] is that of length l, 0 for none."""
     usable = np.flatnonzero(value)
     v = value[usable]
-    best = np.zeros(capacity + 1)
+    best = np.full(capacity + 1, -np.inf)
+    best[0] = 0
     for c in range(1, capacity + 1):
         k = np.searchsorted(usable, c, "right")
-        best[c] = max(best[c - 1], (best[c - usable[:k]] + v[:k]).max()) if k else best[c - 1]
+        if k:
+            best[c] = (best[c - usable[:k]] + v[:k]).max()
     return best
 
 
-def _column(first: int, best: np.ndarray, value: np.ndarray, room: np.ndarray, capacity: int) -> tuple[list[int], float]:
-    """The best configuration that holds ``first``, with no length more often than ``room`` says, and its value."""
-    out, c, total = [first], capacity - first, float(value[first])
+def _column(first: int, size: int, best: np.ndarray, value: np.ndarray, room: np.ndarray) -> list[int] | None:
+    """The best configuration of ``size`` tokens that holds ``first``, with no length more often than ``room`` says, or None."""
+    out, c = [first], size - first
     room = room.copy()
     room[first] -= 1
-    usable = np.flatnonzero((room > 0) & (value > 0))
-    while c > 0 and len(usable):
-        usable = usable[: np.searchsorted(usable, c, "right")]
-        if not len(usable):
-            break
+    while c > 0:
+        usable = np.flatnonzero((room[: c + 1] > 0) & (value[: c + 1] > 0))
         gains = best[c - usable] + value[usable]
-        j = int(np.flatnonzero(gains >= gains.max() - 1e-9 * capacity)[-1])  # of equal ones the longest: short pieces fill what is left
-        if gains[j] < best[c - 1] - 1e-9 * capacity:
-            c -= 1
-            continue
-        length = int(usable[j])
+        if not len(usable) or gains.max() == -np.inf:
+            return None
+        length = int(usable[gains.argmax()])
         out.append(length)
-        total += float(value[length])
         c -= length
         room[length] -= 1
-        if not room[length]:
-            usable = np.delete(usable, j)
-    return out, total
+    return out
 
 
-def configurations(demand: np.ndarray, capacity: int, step: float = 0.1, slack: float = 0.01) -> dict[tuple[int, ...], int]:
+def configurations(demand: np.ndarray, capacity: int, slack: float = 0.02, waste: float = 1 / 64, remainder: float = 0.05, more: int = 0) -> dict[tuple[int, ...], int]:
     """Solution of the configuration program by multiplicative weights, in whole sequences. demand[l] pieces have length l.
 
-    A round moves at most ``step`` of a length's demand and uses columns whose value is within ``slack`` of the best one's. Rounds go on
-    until no such column can be made of the pieces left. Columns with empty places are used only where fuller ones are at an end.
+    A round uses columns whose value is within ``slack`` of the best one's, and a round without any doubles the slack. When the fullest
+    columns are at an end, others with 1, 3, 7, ... more empty places come in (``more`` from the begin), up to ``waste`` of the capacity, and beyond while more than ``remainder`` of the
+    pieces is uncovered.
     """
     x: dict[tuple[int, ...], int] = {}
     left = demand.astype(np.int64)
-    size = np.arange(len(demand), dtype=float)
-    most = np.maximum((step * demand).astype(np.int64), np.concatenate(([0], capacity // np.arange(1, len(demand)))))
-    moved, empty = True, 0
-    while left.any():
-        if not moved:
-            if empty >= capacity:
-                break
-            empty = 2 * empty + 1
-        moved = False
-        # the dual of a length starts as its size and falls as its demand is met
+    price = (np.arange(len(demand)) / capacity) ** 2
+    reach_down = slack
+    while left.any() and (more <= waste * capacity or capacity > more and left.sum() > remainder * demand.sum()):
         share = 1 - np.divide(left, demand, out=np.zeros(len(demand)), where=demand > 0)
-        value = np.where(left > 0, size * np.exp(-2.0 * share), 0.0)
+        value = np.where(left > 0, price * np.exp(-share), 0.0)
         best = _price(value, capacity)
-        least = (1 - slack) * best[capacity]
-        room = np.minimum(left, most)
-        usable = np.flatnonzero(room)
-        reach = value[usable] + best[capacity - usable]
-        for first in usable[np.lexsort((-usable, -reach))][: np.count_nonzero(reach >= least)]:
-            while room[first] > 0:
-                config, worth = _column(int(first), best, value, room, capacity)
-                if worth < least or sum(config) < capacity - empty:
+        usable = np.flatnonzero(left)
+        empty = capacity - int(np.flatnonzero(best > -np.inf)[-1]) + more
+        # for each length the best size of what stands beside it, with at most ``empty`` places left
+        beside = [max(0, capacity - n - empty) + int(best[max(0, capacity - n - empty) : capacity - n + 1].argmax()) for n in usable.tolist()]
+        worth = value[usable] + best[beside]
+        top, moved = worth.max(), False
+        order = np.lexsort((-usable, -worth))
+        for at in order[worth[order] >= (1 - reach_down) * top].tolist() if top > -np.inf else ():
+            first = int(usable[at])
+            while left[first] > 0:
+                config = _column(first, first + beside[at], best, value, left)
+                if config is None or value[config].sum() < (1 - 2 * reach_down) * top:
                     break
                 lengths, times = np.unique(config, return_counts=True)
-                amount = int(np.min(room[lengths] // times))
+                amount = int(np.min(left[lengths] // times))
                 key = tuple(sorted(config, reverse=True))
                 x[key] = x.get(key, 0) + amount
-                room[lengths] -= amount * times
                 left[lengths] -= amount * times
                 moved = True
+        if moved:
+            reach_down = max(slack, reach_down / 1.5)
+        elif reach_down < 1 and top > -np.inf:
+            reach_down = min(1.0, 2 * reach_down)
+        else:
+            more, reach_down = 2 * more + 1, slack
     return x
 
 
@@ -174,16 +174,19 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
 
 
 def plan(demand: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(configuration, number of sequences): the program's solution, and best fit for the remainder."""
-    left, out = demand.copy(), []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
+    """(configuration, number of sequences): the program's solution, and best fit for the remainder. The program is solved for full columns
+    first, and for columns of any filling, which suits histograms of few lengths; the solution with fewer sequences stands."""
+    full = [((capacity,), int(demand[capacity]))] if demand[capacity] else []
+    found = []
+    for more in (0, capacity - 1):
+        left, out = demand.copy(), list(full)
         left[capacity] = 0
-    for config, n in sorted(configurations(left, capacity).items(), key=lambda c: (-c[1], c[0])):
-        out.append((config, n))
-        lengths, times = np.unique(config, return_counts=True)
-        left[lengths] -= n * times
-    return out + best_fit(left, capacity)
+        for config, n in sorted(configurations(left, capacity, more=more).items(), key=lambda c: (-c[1], c[0])):
+            out.append((config, n))
+            lengths, times = np.unique(config, return_counts=True)
+            left[lengths] -= n * times
+        found.append(out + best_fit(left, capacity))
+    return min(found, key=lambda out: sum(n for _, n in out))
 
 
 def slots(configs: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
@@ -205,15 +208,18 @@ def slots(configs: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 def pack(parts: DataFrame, capacity: int = 1024, bucket_rows: int = 50_000) -> DataFrame:
     """Add sequence_id and offset to pieces (columns doc_id, piece, length and any others).
 
-    Every piece gets a place; no sequence exceeds ``capacity`` and each is filled from 0 without gaps.
+    Every piece gets a place; no sequence exceeds ``capacity`` and each is filled from 0 without gaps. Pieces of a length are ranked in
+    buckets, at most ``bucket_rows`` in one and fewer where that leaves tasks idle, so that a common length is spread over many tasks.
     """
+    spark = parts.sparkSession
     hist = parts.groupBy("length").count().collect()  # at most ``capacity`` rows
     demand = np.zeros(capacity + 1, np.int64)
     for r in hist:
         demand[r["length"]] = r["count"]
-    table = parts.sparkSession.sparkContext.broadcast(slots(plan(demand, capacity)))
-    buckets = max(1, int(demand.sum()) // bucket_rows)
-    dealt = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    table = spark.sparkContext.broadcast(slots(plan(demand, capacity)))
+    own = min(bucket_rows, max(100, int(demand.sum()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    deals = spark.createDataFrame([(r["length"], -(-r["count"] // own)) for r in hist], "length bigint, _deals bigint")
+    dealt = parts.join(F.broadcast(deals), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32" if "ids_crc32" in parts.columns else "length"), "_deals")).drop("_deals")
     before = dealt.groupBy("length", "_bucket").count().withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")).drop("count")
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before")).select(*parts.columns, "_rank")

@@ -3,8 +3,9 @@
 Base spans come from fixed patterns, found in time linear in the text. The field then looks at the stretches of a text that might hold
 more: those with many digits, and those around an at sign or its spelt-out form. A stretch is cut into tokens; a segmentation of it gives
 every segment a type (email, ip, card, phone or none), features score a whole candidate span at once (its shape, number of digits,
-separators, checksum, octets, domain, the word before), and dynamic programming over segments of bounded length picks boundaries and types
-jointly. Base spans are fixed segments there, so they stay and nothing overlaps them.
+separators, checksum, octets, domain, the word before), a transition scores its type after that of the entity before it in the stretch, and
+dynamic programming over segments of bounded length picks boundaries and types jointly. Base spans are fixed segments there, so they stay,
+nothing overlaps them, and their types count for the entity after them.
 
 Weights are trained in numpy on the segmentations that the base patterns give a bounded sample of documents, and on rewritten copies of
 these spans (other separators, spelt-out signs, no plus), by stochastic gradient steps on the conditional log-likelihood.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +25,8 @@ from .common import id_text, map_texts, read
 from .training import hash_cut
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose base spans the field is trained on at most.
-TRAIN_DOCS = 600
+#: Documents whose base spans the field is trained on at most, and characters of whole stretches from each.
+TRAIN_DOCS, TRAIN_CHARS = 600, 2000
 #: Longest segment of a type, in tokens; none-segments are single tokens.
 MAX_TOKENS = 24
 
@@ -83,7 +85,8 @@ def base_spans(text: str) -> list[Span]:
 
 _TOKEN = re.compile(r"[^\W_]+|_|\s+|[^\w\s]")
 _NUMERIC = re.compile(r"[+(]?[0-9][0-9 ().\-/ +]*[0-9]")
-_AT = re.compile(r"[^\s@]{1,80}\s?(?:@|\(at\)|\[at\]|\{at\})\s?[^\s@]{1,200}(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?\w+)*", re.I)
+_SIGN = re.compile(r"\s?(?:@|\(at\)|\[at\]|\{at\})\s?", re.I)
+_HOST = re.compile(r"[^\s@]+(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?\w+)*", re.I)
 _MAILISH = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?[A-Za-z0-9-]+)+", re.I)
 _GROUPS = re.compile("[0-9]+")
 
@@ -118,8 +121,14 @@ def span_features(text: str, lo: int, hi: int) -> np.ndarray:
 def windows(text: str) -> list[tuple[int, int]]:
     """Stretches that might hold an entity: runs of at least seven digits with separators, and what stands around an at sign."""
     found = [(m.start(), m.end()) for m in _NUMERIC.finditer(text) if len(_DIGITS.sub("", m.group())) >= 7]
-    if "@" in text or "at)" in text or "at]" in text or "at}" in text or "AT)" in text or "AT]" in text:
-        found += [(m.start(), m.end()) for m in _AT.finditer(text)]
+    done = 0
+    for m in _SIGN.finditer(text):
+        lo = m.start()
+        while lo > done and not text[lo - 1].isspace() and text[lo - 1] != "@":
+            lo -= 1
+        done = m.end()
+        if lo < m.start() and (host := _HOST.match(text, m.end())):
+            found.append((lo, host.end()))
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(found):
         if out and lo <= out[-1][1]:
@@ -129,6 +138,15 @@ def windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def taken(borders: list[int], fixed: list[Span]) -> np.ndarray:
+    """The kind of the fixed span that each token lies in, -1 for none."""
+    kind = np.full(len(borders) - 1, -1)
+    for s, e, k in fixed:
+        if s < borders[-1] and e > borders[0]:
+            kind[max(0, bisect_right(borders, s) - 1) : bisect_left(borders, e)] = k
+    return kind
+
+
 def candidates(text: str, lo: int, hi: int, fixed: list[Span]) -> tuple[list[int], list[tuple[int, int]]]:
     """Token borders of a stretch, and spans (first, last border) that may be an entity; none of them overlaps a fixed span.
 
@@ -138,11 +156,7 @@ def candidates(text: str, lo: int, hi: int, fixed: list[Span]) -> tuple[list[int
     borders = [lo] + [m.end() for m in _TOKEN.finditer(text, lo, hi)]
     if borders[-1] != hi:
         borders.append(hi)
-    free = np.ones(len(borders) - 1, bool)
-    for s, e, _ in fixed:
-        for k in range(len(borders) - 1):
-            if borders[k] < e and borders[k + 1] > s:
-                free[k] = False
+    free = taken(borders, fixed) < 0
     spans = []
     for i in range(len(borders) - 1):
         if not free[i] or not (text[borders[i]].isalnum() or text[borders[i]] in "+("):
@@ -159,71 +173,98 @@ def candidates(text: str, lo: int, hi: int, fixed: list[Span]) -> tuple[list[int
 
 
 class SemiMarkov:
-    """Weights [type, feature] of a semi-Markov field in which a token outside an entity scores 0."""
+    """A semi-Markov field: weights ``w`` [type, feature] of spans, and ``t`` [state, type] of transitions, the state being the type of the
+    entity before plus 1, or 0 at a stretch's begin. A token outside an entity scores 0 and keeps the state."""
 
-    def __init__(self) -> None:
-        self.w = np.zeros((len(KINDS), len(FEATURES)))
+    def __init__(self, weights: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        self.w, self.t = weights or (np.zeros((len(KINDS), len(FEATURES))), np.zeros((len(KINDS) + 1, len(KINDS))))
 
     def _scores(self, text: str, borders: list[int], spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         x = np.array([span_features(text, borders[i], borders[j]) for i, j in spans]).reshape(len(spans), len(FEATURES))
         return x, x @ self.w.T
 
-    def step(self, text: str, lo: int, hi: int, gold: list[Span], rate: float) -> None:
-        """One gradient step on the log-likelihood of ``gold`` in text[lo:hi], by forward and backward sums over segmentations."""
-        borders, spans = candidates(text, lo, hi, [])
-        if not spans:
-            return
-        x, z = self._scores(text, borders, spans)
-        n = len(borders)
+    def chances(self, n: int, spans: list[tuple[int, int]], z: np.ndarray) -> tuple[np.ndarray, float]:
+        """(chance of each span, state before it and type; log of the sum over segmentations) by forward and backward sums over ``n`` borders."""
         into: list[list[int]] = [[] for _ in range(n)]
         outof: list[list[int]] = [[] for _ in range(n)]
         for k, (i, j) in enumerate(spans):
             into[j].append(k)
             outof[i].append(k)
-        fwd, bwd = np.full(n, -np.inf), np.full(n, -np.inf)
-        fwd[0] = bwd[n - 1] = 0
-        total = np.logaddexp.reduce(z, 1)
+        fwd, bwd = np.full((n, len(KINDS) + 1), -np.inf), np.zeros((n, len(KINDS) + 1))
+        fwd[0, 0] = 0
         for j in range(1, n):
-            fwd[j] = np.logaddexp.reduce([fwd[j - 1], *(fwd[spans[k][0]] + total[k] for k in into[j])])
+            fwd[j] = fwd[j - 1]
+            for k in into[j]:
+                fwd[j, 1:] = np.logaddexp(fwd[j, 1:], np.logaddexp.reduce(fwd[spans[k][0]][:, None] + self.t, 0) + z[k])
         for i in range(n - 2, -1, -1):
-            bwd[i] = np.logaddexp.reduce([bwd[i + 1], *(bwd[spans[k][1]] + total[k] for k in outof[i])])
-        chance = np.array([np.exp(fwd[i] + bwd[j] + z[k] - fwd[-1]) for k, (i, j) in enumerate(spans)])
+            bwd[i] = bwd[i + 1]
+            for k in outof[i]:
+                bwd[i] = np.logaddexp(bwd[i], np.logaddexp.reduce(self.t + z[k] + bwd[spans[k][1], 1:], 1))
+        total = float(np.logaddexp.reduce(fwd[-1]))
+        chance = np.array([np.exp(fwd[i][:, None] + self.t + z[k] + bwd[j, 1:] - total) for k, (i, j) in enumerate(spans)])
+        return chance, total
+
+    def step(self, text: str, lo: int, hi: int, gold: list[Span], rate: float) -> None:
+        """One gradient step on the log-likelihood of ``gold`` in text[lo:hi]."""
+        borders, spans = candidates(text, lo, hi, [])
+        if not spans:
+            return
+        x, z = self._scores(text, borders, spans)
+        chance, _ = self.chances(len(borders), spans, z)
         right = {(s, e): kind for s, e, kind in gold}
-        for k, (i, j) in enumerate(spans):
+        state = 0
+        for k, (i, j) in enumerate(spans):  # in order of their begin; those of the gold don't overlap
             kind = right.get((borders[i], borders[j]))
             if kind is not None:
-                chance[k, kind] -= 1
-        self.w -= rate * (chance.T @ x)
+                chance[k, state, kind] -= 1
+                state = kind + 1
+        self.w -= rate * (chance.sum(1).T @ x)
+        self.t -= rate * chance.sum(0)
         self.w *= 1 - rate * 1e-3
+        self.t *= 1 - rate * 1e-3
 
-    def decode(self, text: str, lo: int, hi: int, fixed: list[Span]) -> list[Span]:
-        """The most likely segmentation's entities in text[lo:hi] that don't overlap ``fixed``."""
-        borders, spans = candidates(text, lo, hi, fixed)
-        if not spans:
-            return []
-        _, z = self._scores(text, borders, spans)
+    def best(self, n: int, spans: list[tuple[int, int]], z: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int, int]]:
+        """(first border, last border, type) of the most likely segmentation's entities. ``kinds``: type of the fixed span of each token, or -1."""
         into: dict[int, list[int]] = {}
         for k, (_, j) in enumerate(spans):
             into.setdefault(j, []).append(k)
-        best, back = [0.0], [None]
-        for j in range(1, len(borders)):
-            score, how = best[j - 1], None
+        states = range(len(KINDS) + 1)
+        score = np.full((n, len(KINDS) + 1), -np.inf)
+        score[0, 0] = 0
+        back: list[list[tuple[int, ...] | None]] = [[None] * len(states)]  # (border, state) that a state at a border comes from
+        for j in range(1, n):
+            own = int(kinds[j - 1]) + 1
+            if own:
+                s = int(score[j - 1].argmax())
+                score[j, own] = score[j - 1, s]
+                back.append([(j - 1, s) if x == own else None for x in states])
+                continue
+            score[j] = score[j - 1]
+            back.append([(j - 1, x) for x in states])
             for k in into.get(j, ()):
-                kind = int(z[k].argmax())
-                if best[spans[k][0]] + z[k, kind] > score:
-                    score, how = best[spans[k][0]] + z[k, kind], (spans[k][0], kind)
-            best.append(score)
-            back.append(how)
-        out, j = [], len(borders) - 1
+                i = spans[k][0]
+                for kind in range(len(KINDS)):
+                    from_all = score[i] + self.t[:, kind]
+                    s = int(from_all.argmax())
+                    if from_all[s] + z[k, kind] > score[j, kind + 1]:
+                        score[j, kind + 1] = from_all[s] + z[k, kind]
+                        back[j][kind + 1] = (i, s, kind)
+        out, j, s = [], n - 1, int(score[-1].argmax())
         while j > 0:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, kind = back[j]
-                out.append((borders[i], borders[j], kind))
-                j = i
+            step = back[j][s]
+            if len(step) == 3:
+                out.append((step[0], j, step[2]))
+            j, s = step[:2]
         return out[::-1]
 
+    def decode(self, text: str, lo: int, hi: int, fixed: list[Span]) -> list[Span]:
+        """The most likely segmentation's entities in text[lo:hi] that don't overlap ``fixed``."""
+        borders, spans = candidates(text, lo, hi, fixed)
+        if not spans:
+            return []
+        _, z = self._scores(text, borders, spans)
+        return [(borders[i], borders[j], kind) for i, j, kind in self.best(len(borders), spans, z, taken(borders, fixed))]
+
 
 def rewritten(text: str, span: Span, rng: np.random.Generator) -> tuple[str, int] | None:
     """The span's text in another common notation and its kind, as training material for what the base patterns don't find."""
@@ -240,7 +281,7 @@ def rewritten(text: str, span: Span, rng: np.random.Generator) -> tuple[str, int
     return None
 
 
-def train(docs: DataFrame, rows: int = TRAIN_DOCS, epochs: int = 4, seed: int = 9) -> np.ndarray:
+def train(docs: DataFrame, rows: int = TRAIN_DOCS, epochs: int = 4, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """Weights learned from at most ``rows`` documents that have base spans, chosen by a hash of the id."""
     docs = docs.where("doc_id is not null")
     found = map_texts(hash_cut(docs, rows, docs.count(), 100), lambda ts: {"hits": [_examples(t or "") for t in ts]}, "hits array<string>")
@@ -268,12 +309,18 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS, epochs: int = 4, seed: int =
     for e in range(epochs):
         for k in rng.permutation(len(cases)):
             field.step(*cases[k], rate=0.3 / (1 + e))
-    return field.w
+    return field.w, field.t
 
 
 def _examples(text: str) -> list[str]:
-    """Short surroundings of a text's first base spans."""
-    return [text[max(0, s - 30) : e + 30] for s, e, _ in base_spans(text)[:3]]
+    """A text's stretches with base spans, whole and with 30 characters around them, as many as ``TRAIN_CHARS`` allows."""
+    out, room = [], TRAIN_CHARS
+    starts = [s for s, _, _ in base_spans(text)]
+    for lo, hi in windows(text) if starts else ():
+        if bisect_left(starts, lo) < bisect_left(starts, hi) and hi - lo <= room:
+            out.append(text[max(0, lo - 30) : hi + 30])
+            room -= hi - lo
+    return out
 
 
 def find(text: str, field: SemiMarkov | None) -> tuple[list[Span], list[Span]]:
@@ -281,7 +328,10 @@ def find(text: str, field: SemiMarkov | None) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if field is None:
         return base, base
-    more = [s for lo, hi in windows(text) for s in field.decode(text, lo, hi, base)]
+    more, ends = [], np.maximum.accumulate([e for _, e, _ in base]) if base else []
+    for lo, hi in windows(text):
+        first, last = bisect_right(ends, lo), bisect_left(base, (hi,))  # the base spans that may reach into the stretch
+        more += field.decode(text, lo, hi, base[first:last])
     return base, sorted(base + more, key=lambda s: (s[0], s[2]))
 
 
@@ -289,12 +339,8 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def _field(weights: np.ndarray | None) -> SemiMarkov | None:
-    if weights is None or not weights.any():
-        return None
-    field = SemiMarkov()
-    field.w = weights
-    return field
+def _field(weights: tuple[np.ndarray, np.ndarray]) -> SemiMarkov | None:
+    return SemiMarkov(weights) if weights[0].any() else None
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
