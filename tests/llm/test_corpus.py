@@ -571,6 +571,26 @@ def test_blocks():
     assert html_text.blocks(page)[0] == ["Head & tail", "One two <3 x", "Three four"]
 
 
+def test_self_closed_and_broken_markup():
+    import time
+
+    for raw in ("<svg class='i'/>", "<svg><path d='a>b'/></svg>", "<iframe src=x />", "<math/>", "<canvas id='a'></canvas>"):
+        assert html_text.blocks(f"<article><p>before</p>{raw}<p>after</p></article>")[0] == ["before", "after"], raw
+    assert html_text.blocks("<article><p>a</p><script src='x'/>no</script><p title='1>0'>b</p></article>")[0] == ["a", "b"]
+    for junk in ('<a "', "<a", "<!", "<script", "<a x='", "</", "<a<b ", "<svg "):
+        t = time.time()
+        html_text.page_blocks("<article>text</article>" + junk * 20_000)
+        assert time.time() - t < 5, junk
+
+
+def test_pages_edge(spark):
+    """Very long pages, and extra columns whose names clash."""
+    long = "<article>" + "".join(f"<p>paragraph {k} of it</p>" for k in range(30_000)) + "</article>"
+    df = spark.createDataFrame([(1, "http://x/1", long, "t", True, 2)], "page_id long, url string, html string, blocks string, open boolean, row int")
+    got = html_text.extract(df).collect()
+    assert got[0]["text"].count("\n") == 29_999 and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+
+
 def test_parts_are_whole_names():
     for wrapper in ("class='layout has-sidebar'", "class=with-header", "class='overflow-hidden'", "data-hidden=no", "class='widget'", "hidden", "style='display:none'"):
         assert html_text.blocks(f"<body><div {wrapper}><p>lead<article><p>text</article></div>") == (["text"], ["lead"]), wrapper
