@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Numbers of training vectors (rows x features) that go to every executor at most; a larger cloud is handled in parts.
+#: Numbers of training vectors (rows x features) that are broadcast at most; a larger cloud is dealt out in blocks of so many.
 CLOUD_NUMBERS = 4_000_000
 
 
@@ -25,67 +25,77 @@ def scale(x: np.ndarray, mean: np.ndarray, std: np.ndarray, weight: np.ndarray |
     return z if weight is None else z * weight
 
 
-def _parts(train: DataFrame, vector: str, fold: str | None, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The training cloud in parts small enough for the driver and every executor."""
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.array(column.to_pylist(), float).reshape(-1, width)
+
+
+def _distances(x: np.ndarray, c: np.ndarray, lo: int) -> np.ndarray:
+    """Squared distances of rows x to 2,048 rows of c from ``lo`` on."""
+    part = c[lo : lo + 2048]
+    return (x * x).sum(1)[:, None] + (part * part).sum(1)[None, :] - 2 * x @ part.T
+
+
+def _against_cloud(df: DataFrame, train: DataFrame, columns: list[str], train_columns: list[str], width: int, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn(rows, cloud)`` for every block of rows and block of the training cloud. A cloud of at most ``CLOUD_NUMBERS`` numbers is one block
+    that is broadcast; of a larger one the blocks meet on the executors, dealt out by row and not by value, so that equal vectors are spread."""
+    df, train = df.select(*columns), train.select(*train_columns)
     n = train.count()
-    parts = max(1, -(-n * width // CLOUD_NUMBERS))
-    key = F.pmod(F.xxhash64(F.col(vector)), F.lit(parts))
-    for k in range(parts):
-        t = train.where(key == k).select(vector, (F.col(fold) if fold else F.lit(0)).alias("f")).toArrow()
-        yield np.array(t.column(0).to_pylist(), float).reshape(-1, width), np.array(t.column(1).to_pylist())
+    if n * width <= CLOUD_NUMBERS:
+        shared = df.sparkSession.sparkContext.broadcast(train.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from fn(pa.Table.from_batches([b]), shared.value).to_batches()
+
+        return df.mapInArrow(run, schema)
+    rows = max(1, CLOUD_NUMBERS // width)
+    i, j = -(-df.count() // rows), -(-n // rows)
+    deal = lambda parts: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
+    left = df.withColumn("_i", deal(i)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(j - 1))))
+    right = train.withColumn("_j", deal(j)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(i - 1))))
+    right = right.select(*(F.col(c).alias(f"_t{k}") for k, c in enumerate(train_columns)), F.col("_i").cast("long"), F.col("_j").cast("long"))
+    left = left.select(*columns, F.col("_i").cast("long"), F.col("_j").cast("long"))
+    meet = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j"))
+    return meet.applyInArrow(lambda a, b: fn(a.select(columns), b.select([f"_t{k}" for k in range(len(train_columns))])), schema)
 
 
 def nearest_distance(df: DataFrame, train: DataFrame, vector: str, mean: np.ndarray, std: np.ndarray, weight: np.ndarray | None = None, fold: str | None = None, id_col: str = "id") -> DataFrame:
     """(id, nearest): distance to the nearest training vector, of another fold if ``fold`` is named (null if there is none).
 
-    Blocks of rows meet blocks of the cloud as matrix products; a cloud above ``CLOUD_NUMBERS`` comes in parts whose minima are merged.
+    Blocks of rows meet blocks of the cloud as matrix products, and the minima of the blocks are merged.
     """
-    sc, out = df.sparkSession.sparkContext, None
-    cols = [id_col, vector] + ([fold] if fold else [])
-    for cloud, folds in _parts(train, vector, fold, len(mean)):
-        shared = sc.broadcast((scale(cloud, mean, std, weight), folds))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            c, f = shared.value
-            cc = (c * c).sum(1)
-            for b in batches:
-                x = scale(np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1), mean, std, weight)
-                own = np.array(b.column(2).to_pylist()) if fold else None
-                best = np.full(len(x), np.inf)
-                for lo in range(0, len(c), 2048):
-                    d = (x * x).sum(1)[:, None] + cc[None, lo : lo + 2048] - 2 * x @ c[lo : lo + 2048].T
-                    if own is not None:
-                        d = np.where(own[:, None] == f[None, lo : lo + 2048], np.inf, d)
-                    best = np.minimum(best, d.min(1))
-                near = [float(np.sqrt(max(v, 0.0))) if np.isfinite(v) else None for v in best]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.float64())], [id_col, "nearest"])
-
-        part = df.select(*cols).mapInArrow(run, f"`{id_col}` bigint, nearest double")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(id_col).agg(F.min("nearest").alias("nearest")) if out is not None else None
+    width, extra = len(mean), [fold] if fold else []
+
+    def run(rows: pa.Table, cloud: pa.Table) -> pa.Table:
+        x, c = (scale(_matrix(t, width), mean, std, weight) for t in (rows.column(1), cloud.column(0)))
+        own, folds = (np.array(t.to_pylist()) for t in (rows.column(2), cloud.column(1))) if fold else (None, None)
+        best = np.full(len(x), np.inf)
+        for lo in range(0, len(c), 2048):
+            d = _distances(x, c, lo)
+            if fold:
+                d = np.where(own[:, None] == folds[None, lo : lo + 2048], np.inf, d)
+            best = np.minimum(best, d.min(1))
+        near = [float(np.sqrt(max(v, 0.0))) if np.isfinite(v) else None for v in best]
+        return pa.table({id_col: rows.column(0).cast(pa.int64()), "nearest": pa.array(near, pa.float64())})
+
+    out = _against_cloud(df, train, [id_col, vector, *extra], [vector, *extra], width, run, f"`{id_col}` bigint, nearest double")
+    return out.groupBy(id_col).agg(F.min("nearest").alias("nearest"))
 
 
 def mean_distance(df: DataFrame, vector: str, mean: np.ndarray, std: np.ndarray, weight: np.ndarray | None = None) -> float:
-    """Mean distance over all pairs, each row block against the cloud's parts; sums only reach the driver."""
-    sc, total, pairs = df.sparkSession.sparkContext, 0.0, 0
-    n = df.count()
-    for cloud, _ in _parts(df, vector, None, len(mean)):
-        shared = sc.broadcast(scale(cloud, mean, std, weight))
+    """Mean distance over all pairs, block against block; one sum reaches the driver."""
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            c = shared.value
-            cc = (c * c).sum(1)
-            for b in batches:
-                x = scale(np.array(b.column(0).to_pylist(), float).reshape(b.num_rows, -1), mean, std, weight)
-                s = 0.0
-                for lo in range(0, len(c), 2048):
-                    d = (x * x).sum(1)[:, None] + cc[None, lo : lo + 2048] - 2 * x @ c[lo : lo + 2048].T
-                    s += float(np.sqrt(np.where(d > 1e-10, d, 0.0)).sum())
-                yield pa.RecordBatch.from_arrays([pa.array([s])], ["s"])
-
-        total += df.select(vector).mapInArrow(run, "s double").agg(F.sum("s")).first()[0] or 0.0
-    pairs = n * (n - 1)
-    return total / pairs if pairs else 0.0
+    def run(rows: pa.Table, cloud: pa.Table) -> pa.Table:
+        x, c = (scale(_matrix(t.column(0), len(mean)), mean, std, weight) for t in (rows, cloud))
+        s = 0.0
+        for lo in range(0, len(c), 2048):
+            d = _distances(x, c, lo)
+            s += float(np.sqrt(np.where(d > 1e-10, d, 0.0)).sum())
+        return pa.table({"s": [s]})
+
+    n = df.count()
+    total = _against_cloud(df, df, [vector], [vector], len(mean), run, "s double").agg(F.sum("s")).first()[0] or 0.0
+    return total / (n * (n - 1)) if n > 1 else 0.0
 
 
 def threshold(di: DataFrame, column: str = "di") -> DataFrame:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 
 def known_neighbours(df: DataFrame, keys: list[str], time: str, value: str, position: str | None = None) -> DataFrame:
-    """Add _pv, _pt, _nv, _nt: value and place of the last known row up to each row and of the next from it on. One sort serves both."""
+    """Add _pv, _pt, _nv, _nt: value and place of the last known row up to each row and of the next from it on.
+
+    The next known row is the last one in descending order, so that both frames grow by a row at a time; places must not repeat in a series."""
     w = Window.partitionBy(*keys).orderBy(time)
     if position is None:
         df, position = df.withColumn("_rn", F.row_number().over(w)), "_rn"
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(position).alias("t")))
     prev = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    nxt = F.last(known, True).over(Window.partitionBy(*keys).orderBy(F.col(position).desc()).rowsBetween(Window.unboundedPreceding, 0))
     out = df.withColumn("_p", prev).withColumn("_n", nxt)
     return out.select("*", F.col("_p.v").alias("_pv"), F.col("_p.t").alias("_pt"), F.col("_n.v").alias("_nv"), F.col("_n.t").alias("_nt"), F.col(position).alias("_at")).drop("_p", "_n")
 
@@ -37,7 +39,7 @@ def interpolate_time(df: DataFrame, keys: list[str], time: str, value: str) -> D
 
 
 def nearest(df: DataFrame, keys: list[str], time: str, value: str, out: str = "filled") -> DataFrame:
-    """The nearer known value; a tie takes the earlier one, rows outside the known range stay null; clipped at 0."""
+    """The nearer known value; a tie takes the earlier one, rows outside the known range stay null (as pandas' nearest leaves them); clipped at 0."""
     pick = F.when(F.col("_pt").isNotNull() & F.col("_nt").isNotNull(), F.when(F.col("_at") - F.col("_pt") <= F.col("_nt") - F.col("_at"), F.col("_pv")).otherwise(F.col("_nv")))
     return known_neighbours(df, keys, time, value).withColumn(out, F.when(pick.isNotNull(), F.greatest(pick, F.lit(0.0)))).drop(*_HELP)
 
@@ -88,7 +90,7 @@ def akima(df: DataFrame, keys: list[str], time: str, value: str, out: str = "fil
     seg = t.select(*keys, "_ax", "_ay", "_at", "_am0", "_acnt", (F.lead("_ax").over(k) - F.col("_ax")).alias("_ah"), F.lead("_at").over(k).alias("_at1"))
     joined = placed.join(seg.withColumnRenamed("_ax", "_rn"), [*keys, "_rn"], "left")
     last = F.last(F.when(F.col("_ay").isNotNull(), F.struct("_rn", "_ay", "_at", "_am0", "_ah", "_at1", "_acnt")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("_ay", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    nxt = F.last("_ay", True).over(Window.partitionBy(*keys).orderBy(F.col("_rn").desc()).rowsBetween(Window.unboundedPreceding, 0))
     total = F.max("_acnt").over(Window.partitionBy(*keys))
     f = joined.withColumn("_as", last).withColumn("_anx", nxt).withColumn("_ac", total)
     d = F.col("_rn") - F.col("_as._rn")

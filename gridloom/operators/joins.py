@@ -15,7 +15,7 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], direction: str = "nearest", tolerance: float | None = None) -> DataFrame:
-    """Each left row with the right row of the same key nearest in time (or the last one before): one shuffle and one sort of the union.
+    """Each left row with the right row of the same key nearest in time (or the last one before): one shuffle of the union, sorted once each way.
 
     Ties go backward; of equal right times backward takes the last row (by its values), forward the first. Beyond ``tolerance`` values are null.
     """
@@ -26,7 +26,8 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list
     order = Window.partitionBy(*by).orderBy(F.col(on), F.col("_left"), F.col("_r"))
     back = F.last("_r", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     # a later right row never has the left row's own time: those sort before it
-    ahead = F.first("_r", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    behind = Window.partitionBy(*by).orderBy(F.col(on).desc(), F.col("_left").desc(), F.col("_r").desc())
+    ahead = F.last("_r", True).over(behind.rowsBetween(Window.unboundedPreceding, -1))
     out = both.withColumn("_b", back)
     if direction == "nearest":
         out = out.withColumn("_f", ahead)
@@ -83,14 +84,18 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def stations_within(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
-    """Pairs (id_a, id_b, km) of stations (columns id, lat, lon) at most ``km`` apart. They meet on latitude bands and longitude cells of
-    matching size, widened towards the poles, so only neighbours are compared."""
+    """Pairs (id_a, id_b, km) of stations (columns id, lat, lon) at most ``km`` apart. They meet on latitude bands and, inside a band, on
+    longitude cells as wide as ``km`` is at the band's end nearer to a pole, wrapped at 180 degrees, so only neighbours are compared."""
     deg = km / 111.0
     band = lambda c: F.floor(F.col(c) / F.lit(deg)).cast("long")
-    left = a.select(F.col("id").alias("id_a"), F.col("lat").alias("la"), F.col("lon").alias("lo")).withColumn("k", F.explode(F.array(band("la") - 1, band("la"), band("la") + 1)))
-    right = b.select(F.col("id").alias("id_b"), F.col("lat").alias("lb"), F.col("lon").alias("lob")).withColumn("k", band("lb"))
+    # cells of a band: as many as fit around it, one at the poles
+    cells = F.greatest(F.lit(1), F.floor(F.lit(360 / deg) * F.cos(F.radians(F.least(F.lit(90.0), (F.abs(F.col("k") + 0.5) + 0.5) * deg))))).cast("long")
+    place = lambda c: F.least(F.floor(F.pmod(F.col(c) + 180, F.lit(360.0)) / 360 * F.col("_n")).cast("long"), F.col("_n") - 1)
+    left = a.select(F.col("id").alias("id_a"), F.col("lat").alias("la"), F.col("lon").alias("lo")).withColumn("k", F.explode(F.array(band("la") - 1, band("la"), band("la") + 1))).withColumn("_n", cells)
+    left = left.withColumn("c", F.explode(F.array_distinct(F.array(*(F.pmod(place("lo") + i, F.col("_n")) for i in (-1, 0, 1)))))).drop("_n")
+    right = b.select(F.col("id").alias("id_b"), F.col("lat").alias("lb"), F.col("lon").alias("lob")).withColumn("k", band("lb")).withColumn("_n", cells).withColumn("c", place("lob")).drop("_n")
     d = haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob"))
-    return left.join(right, "k").where(F.abs(F.col("la") - F.col("lb")) <= deg).withColumn("km", F.round(d, 4)).where(F.col("km") <= km).select("id_a", "id_b", "km")
+    return left.join(right, ["k", "c"]).where(F.abs(F.col("la") - F.col("lb")) <= deg).withColumn("km", F.round(d, 4)).where(F.col("km") <= km).select("id_a", "id_b", "km")
 
 
 def ring_search(points: DataFrame, cells: DataFrame, id_cols: list[str], radius: int, value: str) -> DataFrame:

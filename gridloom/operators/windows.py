@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,15 +243,28 @@ def flux_from_total(df: DataFrame, keys: list[str], order: str, total: str, seco
     return df.withColumn(out, F.least(F.greatest(F.when(d < 0, F.col(total)).otherwise(d) / seconds, F.lit(0.0)), F.lit(top)))
 
 
+def local_weights(width: int) -> list[list[float]]:
+    """Row i: weights of a window's ``width`` values for the value at place i of their least-squares parabola."""
+    x = np.vander(np.arange(width) - width // 2, 3).astype(float)
+    return (x @ np.linalg.pinv(x)).tolist()
+
+
 def savitzky_golay(df: DataFrame, keys: list[str], order: str, value: str, width: int = 7, out: str = "smooth") -> DataFrame:
-    """Quadratic local fit (closed-form weights) where a whole window of known values stands; other rows keep their value."""
+    """Quadratic local fit over ``width`` rows where all of them are known. The first and last half windows of a series are places on the
+    parabola through its first and last ``width`` rows. Rows of shorter series, and with a missing value in their window, keep their value."""
     h = width // 2
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-h, h)
-    norm = (2 * h - 1) * (2 * h + 1) * (2 * h + 3) / 3
-    weights = [((3 * h * h + 3 * h - 1) - 5 * i * i) / norm for i in range(-h, h + 1)]
-    df = df.withColumn("_l", F.collect_list(value).over(w))
-    fit = F.aggregate(F.zip_with("_l", F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return df.withColumn(out, F.when(F.size("_l") == width, fit).otherwise(F.col(value))).drop("_l")
+    w = Window.partitionBy(*keys).orderBy(order)
+    before, after = F.count(F.lit(1)).over(w.rowsBetween(-h, -1)), F.count(F.lit(1)).over(w.rowsBetween(1, h))
+    around = F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rowsBetween(-(width - 1), width - 1))
+    n, lo = F.size("_l"), F.col("_b")
+    first = F.when(lo < h, F.lit(1)).when(F.col("_a") < h, n - width + 1).otherwise(F.least(F.col("_r"), F.lit(width)) - h)
+    place = F.when(lo < h, lo).when(F.col("_a") < h, width - 1 - F.col("_a")).otherwise(F.lit(h))
+    df = df.withColumn("_b", before).withColumn("_a", after).withColumn("_r", F.count(F.lit(1)).over(w.rowsBetween(-(width - 1), 0))).withColumn("_l", around)
+    table = F.array(*(F.array(*map(F.lit, row)) for row in local_weights(width)))
+    df = df.withColumn("_p", place.cast("int")).withColumn("_l", F.when(n >= width, F.slice("_l", first.cast("int"), F.lit(width))))
+    fit = F.aggregate(F.zip_with("_l", F.element_at(table, F.col("_p") + 1), lambda a, b: a["v"] * b), F.lit(0.0), lambda a, x: a + x)
+    known = F.col("_l").isNotNull() & ~F.exists("_l", lambda a: a["v"].isNull())
+    return df.withColumn(out, F.when(known, fit).otherwise(F.col(value))).drop("_b", "_a", "_r", "_l", "_p")
 
 
 def largest_step(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

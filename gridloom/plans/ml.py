@@ -24,11 +24,21 @@ def fit(df: DataFrame, features: list[str], label: str, kind: str = "forest", **
     return PipelineModel([stages, regressor(kind, label, **params).fit(stages.transform(df.where(F.col(label).isNotNull())))])
 
 
+def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with a prediction; rows that lack a feature stay, with a null prediction."""
+    complete = None
+    for c in model.stages[0].getInputCols():
+        known = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        complete = known if complete is None else complete & known
+    done = model.transform(df.where(complete)).drop("features")
+    return done.unionByName(df.where(~complete).withColumn("prediction", F.lit(None).cast("double")))
+
+
 def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: int, kind: str = "forest", **params) -> DataFrame:
     """Every row predicted by the model that did not see its fold."""
     out = None
     for k in range(folds):
-        part = fit(df.where(F.col(fold) != k), features, label, kind, **params).transform(df.where(F.col(fold) == k)).drop("features")
+        part = predict(fit(df.where(F.col(fold) != k), features, label, kind, **params), df.where(F.col(fold) == k))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -66,7 +76,7 @@ def score(df: DataFrame, models: dict[str, PipelineModel], key: list[str]) -> Da
     """One column a model and their median, rows identified by their key throughout."""
     out = df
     for name, m in models.items():
-        out = m.transform(out).withColumnRenamed("prediction", name).drop("features")
+        out = predict(m, out).withColumnRenamed("prediction", name)
     return out.select(*key, *models, skill.median_of(list(models)).alias("ensemble"))
 
 

@@ -65,11 +65,11 @@ def d77(spark, d):
     return rounded(_di(spark, d)[-1], 3)
 
 
-@query("d79_prediction_di", f"WITH {_DIX}, t AS (SELECT quantile_cont(di, 0.75) + 1.5 * (quantile_cont(di, 0.75) - quantile_cont(di, 0.25)) AS t FROM di), p AS (SELECT a.id, min(list_distance(list_transform(a.x, lambda e: e * 1.3), b.x)) / (SELECT d FROM db) AS di FROM z a JOIN z b ON b.id % 3 = 0 WHERE a.id % 3 = 1 GROUP BY 1) SELECT id, round(di, 3) AS di, di <= t AS inside FROM p, t")
+@query("d79_prediction_di", f"WITH {_DIX}, t AS (SELECT quantile_cont(di, 0.75) + 1.5 * (quantile_cont(di, 0.75) - quantile_cont(di, 0.25)) AS t FROM di), p AS (SELECT a.id, min(list_distance(list_transform(a.x, lambda e: e * 1.3), b.x)) / (SELECT d FROM db) AS di FROM z a JOIN z b ON b.id % 3 = 0 WHERE a.id % 3 <> 0 GROUP BY 1) SELECT id, round(di, 3) AS di, di <= t AS inside FROM p, t")
 def d79(spark, d):
     v, m, s, d_bar, di = _di(spark, d)
     # features pushed away from the cloud: scaled by 1.3 after standardising
-    far = v.where("id % 3 = 1").withColumn("x", F.zip_with("x", F.zip_with(F.array(*map(F.lit, m.tolist())), F.array(*map(F.lit, s.tolist())), lambda a, b: F.struct(a.alias("m"), b.alias("s"))), lambda x, c: c.m + 1.3 * (x - c.m)))
+    far = v.where("id % 3 <> 0").withColumn("x", F.zip_with("x", F.zip_with(F.array(*map(F.lit, m.tolist())), F.array(*map(F.lit, s.tolist())), lambda a, b: F.struct(a.alias("m"), b.alias("s"))), lambda x, c: c.m + 1.3 * (x - c.m)))
     p = aoa.nearest_distance(far, v.where("id % 3 = 0"), "x", m, s).select("id", (F.col("nearest") / d_bar).alias("di"))
     return rounded(p.crossJoin(F.broadcast(aoa.threshold(di))).select("id", "di", (F.col("di") <= F.col("threshold")).alias("inside")), 3)
 

@@ -222,22 +222,19 @@ def d9(spark, d):
     return rounded(resample.collapse(daily(spark, d).withColumn("month", F.expr("day div 30")), ["site", "month"], "q"))
 
 
-_D10 = f"{DAILY}, k AS (SELECT site, day, q FROM daily WHERE day >= (SELECT max(day) - 120 FROM daily))"
+_D10 = f"{DAILY}, k AS (SELECT site, day, q FROM daily)"
 
 
 @query("d10_composites_to_daily", f"""WITH {_D10}, g AS (SELECT site, unnest(generate_series(min(day), max(day))) AS day FROM k GROUP BY 1),
  p AS (SELECT g.site, g.day, q, max(CASE WHEN q IS NOT NULL THEN g.day END) OVER (PARTITION BY g.site ORDER BY g.day) AS pd, min(CASE WHEN q IS NOT NULL THEN g.day END) OVER (PARTITION BY g.site ORDER BY g.day DESC) AS nd FROM g LEFT JOIN k USING (site, day))
  SELECT p.site, p.day, round(CASE WHEN pd = nd THEN a.q ELSE a.q + (b.q - a.q) * (p.day - pd) / (nd - pd) END, 4) AS q FROM p JOIN k a ON a.site = p.site AND a.day = pd JOIN k b ON b.site = p.site AND b.day = nd""")
 def d10(spark, d):
-    k = daily(spark, d)
-    last = k.agg((F.max("day") - 120).alias("lo"))
-    k = k.join(F.broadcast(last), F.col("day") >= F.col("lo"))
-    return rounded(resample.composites_to_daily(k, ["site"], "day", "q"))
+    return rounded(resample.composites_to_daily(daily(spark, d), ["site"], "day", "q"))
 
 
-@query("d11_annual_to_hourly", "SELECT s_suppkey AS site, unnest(generate_series(0, 47)) AS hr, s_acctbal AS value FROM supplier")
+@query("d11_annual_to_hourly", "SELECT s_suppkey AS site, unnest(generate_series(0, 8759)) AS hr, s_acctbal AS value FROM supplier")
 def d11(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), F.lit(0).cast("long").alias("a"), F.lit(47).cast("long").alias("b"), F.col("s_acctbal").alias("value"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), F.lit(0).cast("long").alias("a"), F.lit(8759).cast("long").alias("b"), F.col("s_acctbal").alias("value"))
     return resample.spread_year(s, ["site"], "a", "b", "value", "hr").select("site", "hr", "value")
 
 
@@ -442,7 +439,10 @@ def e30(spark, d):
     return rounded(windows.flux_from_total(hourly(spark, d), ["sensor"], "hr", "value", 3600).withColumn("d", F.col("value") - F.lag("value").over(Window.partitionBy("sensor").orderBy("hr"))).where("d is not null").select("sensor", "hr", "flux"), 6)
 
 
-@query("e31_savitzky_golay", f"WITH {DAILY}, x AS (SELECT site, day, q, " + ", ".join(f"{'lag' if i < 0 else 'lead'}(q, {abs(i)}) OVER w AS v{i + 3}" for i in range(-3, 4)) + " FROM daily WINDOW w AS (PARTITION BY site ORDER BY day)) SELECT site, day, round(coalesce((-2 * v0 + 3 * v1 + 6 * v2 + 7 * v3 + 6 * v4 + 3 * v5 - 2 * v6) / 21, q), 4) AS smooth FROM x")
+_E31 = "CASE " + " ".join(f"WHEN n >= 7 AND {c} THEN list_inner_product({v}, {[float(x) for x in windows.local_weights(7)[p]]}::DOUBLE[])" for c, v, p in [(f"i = {k + 1}", "l[1:7]", k) for k in range(3)] + [(f"i = n - {k}", "l[n - 6:n]", 6 - k) for k in range(3)]) + " WHEN n >= 7 THEN list_inner_product(l[i - 3:i + 3], [-2, 3, 6, 7, 6, 3, -2]::DOUBLE[]) / 21 ELSE q END"
+
+
+@query("e31_savitzky_golay", f"WITH {DAILY}, a AS (SELECT site, list(q ORDER BY day)::DOUBLE[] AS l, count(*) AS n FROM daily GROUP BY 1), x AS (SELECT site, day, q, row_number() OVER (PARTITION BY site ORDER BY day) AS i FROM daily) SELECT site, day, round({_E31}, 4) AS smooth FROM x JOIN a USING (site)")
 def e31(spark, d):
     return rounded(windows.savitzky_golay(daily(spark, d), ["site"], "day", "q", 7).select("site", "day", "smooth"))
 
@@ -530,7 +530,7 @@ def f11(spark, d):
     return rounded(fill.fill_small_gaps(hourly(spark, d), ["sensor"], "hr", "value").select("sensor", "hr", "filled"))
 
 
-@query("f12_fill_mask", f"WITH {_NB} SELECT sensor, hr, value IS NULL AND p IS NOT NULL AND x IS NOT NULL AS was_filled FROM pv")
+@query("f12_fill_mask", f"WITH {HOURLY} SELECT sensor, hr, value IS NULL AND count(value) OVER (PARTITION BY sensor ORDER BY hr) > 0 AND count(value) OVER (PARTITION BY sensor ORDER BY hr DESC) > 0 AS was_filled FROM hourly")
 def f12(spark, d):
     return fill.nearest(hourly(spark, d), ["sensor"], "hr", "value").select("sensor", "hr", fill.gap_mask("value", "filled").alias("was_filled"))
 
@@ -592,9 +592,7 @@ def c6(spark, d):
 
 @query("c7_upsample_forward_fill", f"""WITH {_D10}, g AS (SELECT site, unnest(generate_series(min(day), max(day))) AS day FROM k GROUP BY 1) SELECT g.site, g.day, k.q FROM g ASOF JOIN k ON g.site = k.site AND g.day >= k.day""")
 def c7(spark, d):
-    k = daily(spark, d)
-    k = k.join(F.broadcast(k.agg((F.max("day") - 120).alias("lo"))), F.col("day") >= F.col("lo"))
-    return joins.forward_fill(k, ["site"], "day", ["q"], 1)
+    return joins.forward_fill(daily(spark, d), ["site"], "day", ["q"], 1)
 
 
 @query("c8_interval_join", f"WITH {OBS}, {_LOG_SQL} SELECT event_id, EXISTS (SELECT 1 FROM spans WHERE sensor BETWEEN lo AND hi AND sec BETWEEN s AND e) AS matched FROM obs")
@@ -693,7 +691,7 @@ def d32(spark, d):
 def c21(spark, d):
     o = obs(spark, d).withColumn("s", F.col("sensor") % 20).withColumn("hour", F.col("hr") % 24)
     look = o.where("hr % 48 < 24").groupBy("s", "hour").agg(F.avg("value").alias("v"))
-    return rounded(o.where("hr % 48 >= 24").join(F.broadcast(look), ["s", "hour"], "left").select("event_id", F.coalesce("v", F.lit(0.0)).alias("predicted")))
+    return rounded(o.where("hr % 48 >= 24").join(joins.small(look), ["s", "hour"], "left").select("event_id", F.coalesce("v", F.lit(0.0)).alias("predicted")))
 
 
 @query("d91_value_histogram", f"WITH {OBS} SELECT kind, CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 21 ELSE CAST(floor(value / 5.0) + 1 AS BIGINT) END AS bin, count(*) AS n FROM obs WHERE value IS NOT NULL GROUP BY 1, 2")

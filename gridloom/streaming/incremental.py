@@ -14,15 +14,21 @@ def process_new(spark: SparkSession, source: str, schema: str, target: str, chec
 
 
 def partial_composites(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Count, sum, sum of squares, min and max of a part; parts merge by ``merge_composites``."""
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"), F.min(value).alias("min"), F.max(value).alias("max"))
+    """Count, mean, sum of squared deviations from it, min and max of a part; parts merge by ``merge_composites``."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
 def merge_composites(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, sample deviation (null for one value), min, max and count of merged parts."""
-    m = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("min").alias("min"), F.max("max").alias("max"))
-    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
-    return m.select(*keys, (F.col("s") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"), "min", "max", "n")
+    """Mean, sample deviation (null for one value), min, max and count of merged parts.
+
+    Deviations are merged from those inside the parts and those of the parts' means from one of them, so that nothing cancels for means that
+    are large against the deviation.
+    """
+    a = F.col("mean") - F.col("_base")
+    based = parts.join(parts.groupBy(*keys).agg(F.min("mean").alias("_base")), keys)
+    m = based.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("m2").alias("m2"), F.first("_base").alias("_base"), F.sum(F.col("n") * a).alias("_s"), F.sum(F.col("n") * a * a).alias("_q"), F.min("min").alias("min"), F.max("max").alias("max"))
+    m2 = F.col("m2") + F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("n"), F.lit(0.0))
+    return m.select(*keys, (F.col("_base") + F.col("_s") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(m2 / (F.col("n") - 1))).alias("std"), "min", "max", "n")
 
 
 def windowed_means(stream: DataFrame, keys: list[str], time: str, value: str, width: str, late: str) -> DataFrame:

@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import clean, fill, joins, resample, skill, windows
+from gridloom.operators import aoa, clean, fill, joins, resample, skill, windows
+from gridloom.streaming import incremental
 
 
 def series(spark, values, key="a"):
@@ -127,3 +128,70 @@ def test_savitzky_golay_keeps_a_parabola(spark):
 
 def test_haversine():
     assert math.isclose(2 * math.pi * 6371 / 360, 111.19, rel_tol=1e-3)
+
+
+def test_long_series_take_linear_time(spark):
+    """One series of 200,000 rows: next known values must not be looked for anew for every row."""
+    import time
+
+    df = spark.range(200_000).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.when(F.col("id") % 50_000 == 7, F.col("id").cast("double")).alias("v"))
+    t = time.time()
+    got = fill.linear(df, ["k"], "t", "v").agg(F.count("filled"), F.max("filled")).first()
+    pairs = joins.asof(df.select("k", "t"), df.where("v is not null").select("k", "t", "v"), ["k"], "t", ["v"]).agg(F.count("v")).first()
+    assert tuple(got) == (200_000, 150_007.0) and pairs[0] == 200_000 and time.time() - t < 60
+
+
+def test_blocks_of_the_cloud_agree(spark, monkeypatch):
+    """Distances to a cloud dealt out in blocks, with many equal vectors, equal those by brute force."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (60, 3))
+    x[20:45] = x[0]
+    rows = [(i, v.tolist(), i % 4) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, fold int")
+    mean, std = aoa.statistics(df, "x")
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    other = np.where(np.arange(60)[:, None] % 4 == np.arange(60)[None] % 4, np.inf, d).min(1)
+    for numbers in (4_000_000, 30):
+        monkeypatch.setattr(aoa, "CLOUD_NUMBERS", numbers)
+        got = {r["id"]: r["nearest"] for r in aoa.nearest_distance(df, df, "x", mean, std, fold="fold").collect()}
+        assert np.allclose([got[i] for i in range(60)], other, atol=1e-6)
+        assert abs(aoa.mean_distance(df, "x", mean, std) - d.sum() / (60 * 59)) < 1e-6
+
+
+def test_stations_against_brute_force(spark):
+    """Neighbours across cells, the date line and near the poles."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sites = [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60)))]
+    sites += [(100 + i, a, o) for i, (a, o) in enumerate([(0.0, 179.99), (0.0, -179.99), (89.99, 10.0), (89.98, -170.0), (-90.0, 0.0), (-89.995, 77.0), (60.0, 180.0), (60.01, -180.0), (45.0, 10.0), (45.03, 10.04)])]
+    df = spark.createDataFrame(sites, "id long, lat double, lon double")
+
+    def km(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(min(h, 1)))
+
+    for far in (5.0, 900.0):
+        got = [(r["id_a"], r["id_b"]) for r in joins.stations_within(df, df, far).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(a[0], b[0]) for a in sites for b in sites if km(a, b) <= far}
+
+
+def test_composites_of_large_means(spark):
+    df = spark.createDataFrame([(k % 3, 1e9 + 0.25 * k) for k in range(12)], "k int, v double")
+    parts = incremental.partial_composites(df.where("v % 1 < 0.5"), ["k"], "v").unionByName(incremental.partial_composites(df.where("v % 1 >= 0.5"), ["k"], "v"))
+    want = {r["k"]: r["s"] for r in df.groupBy("k").agg(F.stddev_samp("v").alias("s")).collect()}
+    for r in incremental.merge_composites(parts, ["k"]).collect():
+        assert abs(r["std"] - want[r["k"]]) < 1e-6 and r["n"] == 4
+
+
+def test_rows_without_a_feature_stay(spark):
+    from gridloom.plans import ml
+
+    df = spark.createDataFrame([(i, float(i), None if i % 5 == 0 else float(i % 7), i % 2) for i in range(60)], "id long, y double, x double, fold int")
+    got = ml.out_of_fold(df, ["x"], "y", "fold", 2, maxDepth=2, numTrees=3).collect()
+    assert len(got) == 60 and all((r["prediction"] is None) == (r["id"] % 5 == 0) for r in got)
