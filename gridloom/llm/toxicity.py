@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, id_text, map_texts, read
 from .textnum import Texts, mix
-from .training import balanced_ids
+from .training import balanced_ids, byte_cut
 
 #: Labelled rows of each class that are used at most.
 TRAIN_ROWS_PER_CLASS = 3000
@@ -149,7 +149,7 @@ def fit_linear(slots: list[np.ndarray], target: np.ndarray, epochs: int = 15, ra
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows_per_class: int = TRAIN_ROWS_PER_CLASS) -> tuple[np.ndarray, float]:
     ids = balanced_ids(labels, column, rows_per_class)
     chosen = docs.join(F.broadcast(ids.select("doc_id", F.col(column).alias("_label"))), "doc_id").select("doc_id", "_label", "text")
-    rows = map_texts(chosen, distinct_features, "feats binary, shows int").collect()
+    rows = byte_cut(map_texts(chosen, distinct_features, "feats binary, shows int"), F.octet_length("feats")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     fams = [_families(r["feats"]) for r in rows]
     if len({r["_label"] for r in rows}) < 2:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts
@@ -15,14 +15,26 @@ from .textnum import Texts
 PARTS, MARGIN = 1_000_000, 8
 
 
+#: Bytes of features of each class that a sample sends to the driver at most; a single text may take an eighth of them.
+SAMPLE_BYTES = 24_000_000
+
+
 def hash_cut(df: DataFrame, rows: int, total: int, margin: int = MARGIN) -> DataFrame:
     """About ``margin * rows`` of ``total`` rows by a hash of doc_id, all if there are fewer. What a sorted limit then sends to the driver
     doesn't grow with the number of tasks."""
     return df.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(PARTS)) < min(PARTS, PARTS * margin * rows // max(total, 1) + 1))
 
 
+def byte_cut(rows: DataFrame, size: Column, most: int = SAMPLE_BYTES) -> DataFrame:
+    """The rows of each class (``_label``) that fit into ``most`` bytes together, in hash order of doc_id; ``rows`` is a bounded sample."""
+    order = Window.partitionBy("_label").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = rows.withColumn("_size", size).where(F.col("_size") <= most // 8)
+    return fitting.withColumn("_total", F.sum("_size").over(order)).where(F.col("_total") <= most).drop("_size", "_total")
+
+
 def balanced_ids(labels: DataFrame, column: str, rows_per_class: int, max_classes: int = 1000) -> DataFrame:
-    """At most so many ids of each of the commonest classes, in hash order: repeatable, and not following the ids."""
+    """At most so many ids of each class, in hash order: repeatable, and not following the ids. Of more than ``max_classes`` classes the
+    commonest are learned."""
     labels = labels.where(f"doc_id is not null and `{column}` is not null")
     classes = labels.groupBy(column).count().orderBy(F.desc("count"), column).limit(max_classes).collect()
     out = labels.limit(0)
@@ -33,8 +45,10 @@ def balanced_ids(labels: DataFrame, column: str, rows_per_class: int, max_classe
 
 
 def sparse_sample(docs: DataFrame, ids: DataFrame, column: str, bits: int, grams: tuple[int, ...], words: bool) -> list[tuple[object, np.ndarray, np.ndarray]]:
-    """(label, buckets, counts) of the sampled documents' whole texts. ``ids`` is bounded by its sample size, so it is broadcast."""
+    """(label, buckets, counts) of the sampled documents' whole texts, as many as ``SAMPLE_BYTES`` allows. ``ids`` is bounded by its sample
+    size, so it is broadcast."""
     chosen = docs.join(F.broadcast(ids.select("doc_id", F.col(column).alias("_label"))), "doc_id").select("doc_id", "_label", "text")
-    rows = map_texts(chosen, lambda t: sparse(Texts(t), bits, grams, words), "idx binary, cnt binary").collect()
+    rows = map_texts(chosen, lambda t: sparse(Texts(t), bits, grams, words), "idx binary, cnt binary")
+    rows = byte_cut(rows, F.octet_length("idx") + F.octet_length("cnt")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [(r["_label"], np.frombuffer(r["idx"], np.int32), np.frombuffer(r["cnt"], np.float32)) for r in rows]

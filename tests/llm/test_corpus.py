@@ -405,6 +405,56 @@ def test_language_edge(edge, spark):
     assert langid.identify(edge.limit(0)).count() == 0
 
 
+def test_samples_are_bounded_in_bytes(spark):
+    from gridloom.llm import training
+
+    rows = [(i, i % 2, bytes(100 if i else 5000)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, _label int, b binary")
+    got = training.byte_cut(df, F.octet_length("b"), 2000).collect()
+    assert {r["_label"] for r in got} == {0, 1} and len(got) == 40 and all(len(r["b"]) == 100 for r in got)
+
+
+def test_embedding_is_the_mean_of_its_rows():
+    """Pooled sums of a batch against counting every feature of each text alone; scores don't depend on the batch."""
+    from gridloom.llm.pooled import pooled, sparse
+
+    rng = np.random.default_rng(1)
+    table = rng.normal(0, 1, (1 << 10, 2)).astype(np.float32)
+    texts = ["", "a", "one two two", "Ünï code \U0001f600", None, "x" * 500, "a b c d"]
+    total, count = pooled(Texts(texts), table, 10, (2, 3), True)
+    for i, t in enumerate(texts):
+        s = sparse(Texts([t]), 10, (2, 3), True)
+        idx, cnt = np.frombuffer(s["idx"][0], np.int32), np.frombuffer(s["cnt"][0], np.float32)
+        n = len(t or "")
+        assert cnt.sum() == count[i] == max(0, n - 1) + max(0, n - 2) + 2 * len(WORD.findall(t or ""))
+        assert np.allclose(total[i], (table[idx] * cnt[:, None]).sum(0), atol=1e-3)
+
+
+def test_decoding_against_brute_force():
+    """The chosen codeword is the one of least weighted loss, bit by bit."""
+    rng = np.random.default_rng(3)
+    for n in (2, 4, 9):
+        code = langid.codewords(n)
+        margins, weight = rng.normal(0, 2, (20, code.shape[1])), rng.uniform(0.1, 3, code.shape[1])
+        p = langid.decode(margins, code, weight)
+        assert np.allclose(p.sum(1), 1)
+        for row, m in zip(p, margins):
+            loss = [sum(w * np.log1p(np.exp(-a * c)) for a, c, w in zip(m, word, weight)) for word in code]
+            assert row.argmax() == int(np.argmin(loss))
+
+
+def test_posterior_against_brute_force():
+    """The label model's posterior is Bayes' rule over its own tables, voter by voter."""
+    rng = np.random.default_rng(4)
+    y = rng.random(500) < 0.4
+    v = np.stack([np.where(rng.random(500) < a, np.where(y, 1, -1), rng.integers(-1, 2, 500)) for a in (0.9, 0.6, 0.5)], 1).astype(np.int8)
+    post, p, weight = toxicity.label_model(v, rounds=200)
+    share = float(np.clip(post.mean(), 0.02, 0.98))
+    for row, q in zip(v[:50], post):
+        odds = np.log(share / (1 - share)) + sum(w * np.log(p[1, k, o + 1] / p[0, k, o + 1]) for k, (o, w) in enumerate(zip(row.tolist(), weight)))
+        assert 1 / (1 + np.exp(-odds)) == pytest.approx(q, abs=1e-3)
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 7, 12):
         c = langid.codewords(n)
