@@ -109,6 +109,15 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict], schema: str, keep_text:
     return df.mapInArrow(run, out)
 
 
+#: Rows of two short columns (some 100 bytes each) that are broadcast at most.
+FEW_ROWS = 200_000
+
+
+def few(kept: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """A kept table with a broadcast hint if a count finds no more than ``rows`` rows: what it is joined to then needs no shuffle."""
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 #: Groups with at least this share of the rows count as hot; there can be no more than its inverse of them.
 HOT_SHARE = 1 / 500
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, join_groups, keep, read
+from .common import few, id_text, join_groups, keep, read
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,11 +75,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     seen = keep(exact_dedup(docs).where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha")), "copies")
     sha = F.sha2(F.coalesce(ascii_lower(F.col("text")), F.lit("")).cast("binary"), 256)
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
-    left = docs.join(seen.where("not (_id <=> _keep)").select("_id", "_sha"), same, "left_anti")
+    gone = keep(seen.where("not (_id <=> _keep)").select("_id", "_sha").distinct(), "gone")
+    left = docs.join(few(gone), same, "left_anti")
     # rows that repeat id and text of the one that stays can't be told apart by either
     doubled = keep(seen.where("_id <=> _keep").groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha"), "doubled")
     if doubled.isEmpty():
         return left
+    doubled = few(doubled)
     one = left.withColumn("_text_sha", sha).join(doubled, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))).dropDuplicates(["_id", "_sha"])
     return left.join(doubled, same, "left_anti").unionByName(one.select(*docs.columns))
 

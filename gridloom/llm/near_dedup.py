@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, id_text, join_groups, keep, map_texts, read, small_batches
+from .common import discard, few, id_text, join_groups, keep, map_texts, read, small_batches
 from .components import components
 from .textnum import Texts, shingle_sets
 
@@ -182,10 +182,10 @@ def _full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, size: int)
     """(node, shingles) with the whole set of each class in ``nodes``, kept. Texts are found by the class's smallest id and told apart by
     their sets' keys, so that an identifier that repeats with other texts does no harm."""
     wanted = keep(classes.join(nodes.select("node").distinct(), "node").select("node", "doc_id", "set_key"), "wanted")
-    few = F.broadcast if wanted.count() <= BROADCAST_KEYS else (lambda d: d)  # so many rows spare the texts and sets a shuffle
-    texts = docs.join(few(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    hint = F.broadcast if wanted.count() <= BROADCAST_KEYS else (lambda d: d)  # so many rows spare the texts and sets a shuffle
+    texts = docs.join(hint(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     sets = map_texts(texts, lambda t: _sets(t, size, 0, True), "set_key binary, shingles binary").drop("doc_id")
-    full = keep(sets.join(few(wanted.select("node", "set_key")), "set_key").select("node", "shingles"), "sets")
+    full = keep(sets.join(hint(wanted.select("node", "set_key")), "set_key").select("node", "shingles"), "sets")
     discard(wanted)
     return full
 
@@ -443,11 +443,11 @@ def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 75, k: int =
     Of a group's rows that share the smallest id, one stays: the one whose set's key is the smallest, any of those that are equal in it.
     """
     rows = keep(_labelled(id_text(docs), size, percent, k, least), "labelled")
-    gone = rows.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = keep(rows.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     again = keep(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if again.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    single = docs.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(few(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    single = docs.join(few(keep(gone.unionByName(again).distinct(), "gone"), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
     # a repeated id names several rows, which are told apart by their texts' sets
     first = rows.where("doc_id = component_id and component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "set_key")).alias("s")).select("s.doc_id", "s.set_key").join(again, "doc_id", "left_semi")
     several = map_texts(docs.join(again, "doc_id", "left_semi").select(*docs.columns), lambda t: dict(zip(("_n", "_set_of"), list(_sets(t, size, 0, False).values())[:2])), "_n bigint, _set_of binary", keep_text=True)
