@@ -283,8 +283,8 @@ def _fitting(t: pa.Table, mine: int, x: np.ndarray, y: np.ndarray, sketch: list[
     before = [(v := np.array(p, np.int64))[v < mine] for p in t.column("prefix").to_pylist()]
     fits, whole = np.zeros((len(x), len(y)), bool), np.zeros((len(x), len(y)), bool)
     ny = ns[y][None, :]
-    for lo in range(0, len(x), 512):  # strips of rows bound the memory
-        r = x[lo : lo + 512]
+    for lo in range(0, len(x), 128):  # strips of rows bound the memory
+        r = x[lo : lo + 128]
         part = _shared_counts([sketch[v] for v in r], [sketch[v] for v in y])
         nx = ns[r][:, None]
         alike = home[r][:, None] == home[y][None, :]
@@ -296,7 +296,7 @@ def _fitting(t: pa.Table, mine: int, x: np.ndarray, y: np.ndarray, sketch: list[
             p, q = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))
             earlier = _shared_counts([before[v] for v in r[p]], [before[v] for v in y[q]]) > 0
             good[np.ix_(p, q)] &= ~earlier | alike[np.ix_(p, q)]
-        fits[lo : lo + 512], whole[lo : lo + 512] = good, small
+        fits[lo : lo + 128], whole[lo : lo + 128] = good, small
     return fits & whole, fits & ~whole
 
 
