@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters handled at once by the numpy routines, so that a worker's memory doesn't follow the Arrow batch.
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 
 #: Rows in an Arrow batch at most: texts and sketches are long, and the default of 10,000 rows would fill a worker.
 BATCH_ROWS = 2000
