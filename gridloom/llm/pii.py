@@ -32,7 +32,7 @@ MAX_TOKENS = 24
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # what matches inside a run of digits matches from its begin too
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
@@ -86,9 +86,10 @@ def base_spans(text: str) -> list[Span]:
 _TOKEN = re.compile(r"[^\W_]+|_|\s+|[^\w\s]")
 _NUMERIC = re.compile(r"[+(]?[0-9][0-9 ().\-/ +]*[0-9]")
 _SIGN = re.compile(r"\s?(?:@|\(at\)|\[at\]|\{at\})\s?", re.I)
-_HOST = re.compile(r"[^\s@]+(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?\w+)*", re.I)
+_HOST = re.compile(r"([^\s@]+)(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?\w+)*", re.I)
 _MAILISH = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?[A-Za-z0-9-]+)+", re.I)
 _GROUPS = re.compile("[0-9]+")
+_DOTTED = re.compile(r"[A-Za-z0-9-]\.[A-Za-z0-9-]")
 
 #: Features of a whole span, each with one weight a type; the list is the field's definition.
 FEATURES = (
@@ -109,7 +110,7 @@ def span_features(text: str, lo: int, hi: int) -> np.ndarray:
     octets = len(groups) == 4 and s.count(".") == 3 and n + 3 == len(s)
     f = np.zeros(len(FEATURES))
     f[:] = (
-        1, "@" in s, bool(re.search(r"[(\[{]at[)\]}]", s, re.I)), bool(_DOMAIN.search(s)), bool(_MAILISH.fullmatch(s)), octets and all(int(g[:4]) <= 255 for g in groups),
+        1, "@" in s, bool(re.search(r"[(\[{]at[)\]}]", s, re.I)), bool(_DOTTED.search(s)), bool(_MAILISH.fullmatch(s)), octets and all(int(g[:4]) <= 255 for g in groups),
         octets and any(int(g[:4]) > 255 for g in groups), 14 <= n <= 19 and luhn(digits), 13 <= n <= 19 and not luhn(digits), 10 <= n <= 15, 7 <= n <= 9, n < 7,
         s[0] == "+", "(" in s, s.count(".") > 0, "-" in s or " " in s, n == len(s), n < len(re.sub(r"[\s().+\-/]", "", s)), len(groups) > 2 and all(len(g) == 4 for g in groups),
         s[0].isspace() or s[-1].isspace(), *(any(w in before for w in ws) for ws in _BEFORE),
@@ -121,14 +122,16 @@ def span_features(text: str, lo: int, hi: int) -> np.ndarray:
 def windows(text: str) -> list[tuple[int, int]]:
     """Stretches that might hold an entity: runs of at least seven digits with separators, and what stands around an at sign."""
     found = [(m.start(), m.end()) for m in _NUMERIC.finditer(text) if len(_DIGITS.sub("", m.group())) >= 7]
-    done = 0
+    done = reach = 0
     for m in _SIGN.finditer(text):
         lo = m.start()
         while lo > done and not text[lo - 1].isspace() and text[lo - 1] != "@":
             lo -= 1
         done = m.end()
-        if lo < m.start() and (host := _HOST.match(text, m.end())):
+        # a sign inside the host of the one before would end where that ends
+        if lo < m.start() and m.end() >= reach and (host := _HOST.match(text, m.end())):
             found.append((lo, host.end()))
+            reach = host.end(1)
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(found):
         if out and lo <= out[-1][1]:

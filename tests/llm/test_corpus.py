@@ -504,6 +504,61 @@ def test_rules_edge(edge):
     assert quality_rules.rules(edge.limit(0)).count() == 0
 
 
+def brute_verdict(rows):
+    """{doc_id: (js_char, js_word, kept)} of rows (doc_id, lang, text), word by word and character by character."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    classes = [r"[\x20\x09-\x0D]", "[a-z]", "[A-Z]", "[0-9]", r"[#*$%&|<>]", r"[\x00-\x7f]", r"(?s:.)"]
+
+    def chars(t):
+        return collections.Counter(next(k for k, c in enumerate(classes) if re.match(c, x)) for x in t)
+
+    def short(t):
+        return collections.Counter(w for w in WORD.findall(t.translate(lower)) if len(w) <= quality_rules.SHORT)
+
+    def number(w):  # ties in a count go by the word's hash
+        return int(quality_rules._short_words(Texts([w], lower_ascii=True))[1][0])
+
+    def distance(p, q):
+        p, q = ({k: n / sum(d.values()) for k, n in d.items()} for d in (p, q))
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in p | q}
+        return sum(sum(n * np.log2(n / m[k]) for k, n in d.items() if n) for d in (p, q)) ** 0.5 / 2**0.5
+
+    langs = {}
+    for lang in {lang for _, lang, t in rows if lang is not None and t}:
+        own = [t for _, x, t in rows if x == lang and t]
+        count = sum(map(short, own), collections.Counter())
+        top = sorted(count, key=lambda w: (-count[w], number(w)))[: quality_rules.COMMON]
+        total = sum(len(WORD.findall(t)) for t in own)
+        langs[lang] = sum(map(chars, own), collections.Counter()), {w: count[w] for w in top} | {None: total - sum(count[w] for w in top)}
+    out = {}
+    for i, _, t in rows:
+        n, own = len(WORD.findall(t or "")), []
+        for ref_chars, ref_words in langs.values():
+            seen = {w: c for w, c in short(t or "").items() if w in ref_words}
+            if t and n:
+                own.append((distance(chars(t), ref_chars), distance(seen | {None: n - sum(seen.values())}, ref_words)))
+        c, w = min(own, key=sum, default=(None, None))
+        c, w = c if n >= quality_rules.MIN_CHAR_WORDS else None, w if n >= quality_rules.MIN_WORD_WORDS else None
+        far = c is not None and c > quality_rules.MAX_CHAR or w is not None and w > quality_rules.MAX_WORD
+        out[i] = c, w, not brute_rules(t)[-1] and not far
+    return out
+
+
+@has_data
+def test_rules_verdict_against_brute_force(spark, docs):
+    some = docs.where("doc_id % 4 = 1").select("doc_id", "lang", "text")
+    odd = [(-1, "en", "the # * $ of " * 40), (-2, None, "zq1 xv2 " * 90), (-3, "xx", None), (-4, "en", " ".join(f"w{k}é" for k in range(120)))]
+    table = some.unionByName(spark.createDataFrame(odd, "doc_id long, lang string, text string"))
+    want = brute_verdict([tuple(r) for r in table.collect()])
+    got = by_id(quality_rules.rules(table))
+    assert set(got) == set(want)
+    for i, (c, w, kept) in want.items():
+        assert got[i]["js_char"] == (c if c is None else pytest.approx(c, abs=1e-9)), i
+        assert got[i]["js_word"] == (w if w is None else pytest.approx(w, abs=1e-9)), i
+        assert got[i]["kept"] == kept, i
+    assert 0 < sum(not k for _, _, k in want.values()) < len(want)
+
+
 def test_js_distance():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert quality_rules.js_distance(p, np.array([0.0, 1.0]))[0] == pytest.approx(1)
@@ -596,7 +651,7 @@ def test_many_spans_take_linear_time():
     import time
 
     field = pii.SemiMarkov((np.ones((4, len(pii.FEATURES))), np.zeros((5, 4))))
-    for text in (" ".join(f"10.{k % 256}.3.4" for k in range(20_000)), "a@b " * 20_000, "x" * 100_000 + "(at)y"):
+    for text in (" ".join(f"10.{k % 256}.3.4" for k in range(20_000)), "a@b " * 20_000, "x" * 100_000 + "(at)y", "1" * 200_000 + ". x", "b(at)" * 40_000, "a" * 200_000 + " (at) b.co"):
         t = time.time()
         base, _ = pii.find(text, field)
         assert time.time() - t < 20 and len(base) in (0, 20_000)
