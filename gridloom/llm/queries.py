@@ -16,6 +16,7 @@ from .pii import op5_pii
 from .quality import op1_quality
 from .quality_rules import op3_quality_rules
 from .toxicity import op7_toxicity
+from .warc import OP11_SQL, op11_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_langid": op10_langid,
+    "op11_warc": op11_warc,
 }
 
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_warc": OP11_SQL}
