@@ -12,6 +12,7 @@ from .html_text import op6_html_text
 from .langid import op10_langid
 from .near_dedup import op9_near_dedup
 from .packing import op8_packing
+from .phrases import OP12_SQL, op12_phrases
 from .pii import op5_pii
 from .quality import op1_quality
 from .quality_rules import op3_quality_rules
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_langid": op10_langid,
     "op11_warc": op11_warc,
+    "op12_phrases": op12_phrases,
 }
 
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_warc": OP11_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_warc": OP11_SQL, "op12_phrases": OP12_SQL}
