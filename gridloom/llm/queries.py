@@ -16,6 +16,7 @@ from .phrases import OP12_SQL, op12_phrases
 from .pii import op5_pii
 from .quality import op1_quality
 from .quality_rules import op3_quality_rules
+from .search import OP13_SQL, op13_search
 from .toxicity import op7_toxicity
 from .warc import OP11_SQL, op11_warc
 
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
     "op11_warc": op11_warc,
     "op12_phrases": op12_phrases,
+    "op13_search": op13_search,
 }
 
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_warc": OP11_SQL, "op12_phrases": OP12_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_warc": OP11_SQL, "op12_phrases": OP12_SQL, "op13_search": OP13_SQL}
