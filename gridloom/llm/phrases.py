@@ -226,8 +226,9 @@ def _looked_up(rows: DataFrame, counts: DataFrame, key: str, out: str) -> DataFr
     keyed = rows.withColumn("_key", F.concat_ws("\t", "lang", key))
     if counts.count() <= BROADCAST_ROWS:
         return keyed.join(F.broadcast(own), "_key").drop("_key")
+    keyed = keep(keyed, "cuts")  # read three times below
     groups = keep(keyed.groupBy("_key").agg(F.count("*").alias("_rows")).join(own, "_key"), "parts")
-    return join_groups(keyed, groups, "_key", "_rows", rows.count()).drop("_key", "_rows")
+    return join_groups(keyed, groups, "_key", "_rows", keyed.count()).drop("_key", "_rows")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, top: int = TOP, inside: int = INSIDE, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
