@@ -359,13 +359,9 @@ def test_fast_encoder_equals_the_library(docs, edge):
 @has_data
 def test_quality_held_out(docs, labels):
     rows = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.9
-
-
-@has_data
-def test_toxicity_held_out(docs, labels):
-    rows = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    assert sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) > 0.9
+    for label in (0, 1):  # of either class: the larger one alone would pass a test of all
+        own = [r for r in rows if r["quality"] == label]
+        assert sum(r["predicted"] == label for r in own) / len(own) > 0.9
 
 
 @has_data
