@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.shared import kept
+
+from . import neighbours
+
 #: Numbers of training vectors (rows x features) that are broadcast at most; a larger cloud is dealt out in blocks of so many.
 CLOUD_NUMBERS = 4_000_000
 
@@ -48,6 +52,8 @@ def _against_cloud(df: DataFrame, train: DataFrame, columns: list[str], train_co
                 yield from fn(pa.Table.from_batches([b]), shared.value).to_batches()
 
         return df.mapInArrow(run, schema)
+    # rows are fixed before they are dealt out: a task that runs again must deal its rows as before
+    df, train = kept(df, "rows"), kept(train, "cloud")
     rows = max(1, CLOUD_NUMBERS // width)
     i, j = -(-df.count() // rows), -(-n // rows)
     deal = lambda parts: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
@@ -62,9 +68,13 @@ def _against_cloud(df: DataFrame, train: DataFrame, columns: list[str], train_co
 def nearest_distance(df: DataFrame, train: DataFrame, vector: str, mean: np.ndarray, std: np.ndarray, weight: np.ndarray | None = None, fold: str | None = None, id_col: str = "id") -> DataFrame:
     """(id, nearest): distance to the nearest training vector, of another fold if ``fold`` is named (null if there is none).
 
-    Blocks of rows meet blocks of the cloud as matrix products, and the minima of the blocks are merged.
+    Rows meet a cloud of one block as matrix products; a larger cloud is searched by pivots (``neighbours.nearest``), which leaves out the
+    blocks that can't hold a nearer vector.
     """
     width, extra = len(mean), [fold] if fold else []
+    if train.count() * width > CLOUD_NUMBERS:
+        near = neighbours.nearest(df, train.withColumn("_point", F.lit(0)), 1, vector, id_col, other=fold, move=lambda x: scale(x, mean, std, weight), point_id="_point")
+        return near.groupBy(id_col).agg(F.min(F.col("near")[0]["distance"]).alias("nearest"))
 
     def run(rows: pa.Table, cloud: pa.Table) -> pa.Table:
         x, c = (scale(_matrix(t, width), mean, std, weight) for t in (rows.column(1), cloud.column(0)))
@@ -98,6 +108,33 @@ def mean_distance(df: DataFrame, vector: str, mean: np.ndarray, std: np.ndarray,
     return total / (n * (n - 1)) if n > 1 else 0.0
 
 
+def sampled_mean_distance(df: DataFrame, vector: str, mean: np.ndarray, std: np.ndarray, sample: int, id_col: str = "id", weight: np.ndarray | None = None) -> tuple[float, float]:
+    """(mean distance, its standard error) over all pairs of ``sample`` rows, those first in the order of a hash of the id: the same rows
+    whatever the partitions, and a uniform sample. With no more rows than that the mean is exact and the error 0.
+
+    The error is that of a mean of pairs (a U-statistic): twice the standard error of the rows' own mean distances.
+    """
+    n = df.count()
+    if n <= sample:
+        return mean_distance(df, vector, mean, std, weight), 0.0
+    # a hash cut first, so that what is sorted follows the sample
+    cut = df.where(F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 30)) < int(min(1.0, 4.0 * sample / n + 64 / n) * (1 << 30)))
+    chosen = kept(cut.orderBy(F.xxhash64(id_col, F.lit(11)), id_col).limit(sample).select(id_col, vector), "sample")
+
+    def run(rows: pa.Table, cloud: pa.Table) -> pa.Table:
+        x, c = (scale(_matrix(t.column(t.column_names[-1]), len(mean)), mean, std, weight) for t in (rows, cloud))
+        sums = np.zeros(len(x))
+        for lo in range(0, len(c), 2048):
+            d = _distances(x, c, lo)
+            sums += np.sqrt(np.where(d > 1e-10, d, 0.0)).sum(1)
+        return pa.table({"id": rows.column(0).cast(pa.int64()), "s": sums})
+
+    m = chosen.count()
+    per_row = _against_cloud(chosen, chosen, [id_col, vector], [vector], len(mean), run, "id bigint, s double").groupBy("id").agg((F.sum("s") / (m - 1)).alias("s"))
+    r = per_row.agg(F.avg("s").alias("m"), F.stddev_samp("s").alias("s")).first()
+    return (float(r["m"]), 2.0 * float(r["s"] or 0.0) / float(np.sqrt(m))) if m > 1 else (0.0, 0.0)
+
+
 def threshold(di: DataFrame, column: str = "di") -> DataFrame:
     """Upper quartile plus one and a half interquartile ranges."""
     q = F.expr(f"percentile(`{column}`, array(0.25, 0.75))")

@@ -44,15 +44,19 @@ def nearest(df: DataFrame, keys: list[str], time: str, value: str, out: str = "f
     return known_neighbours(df, keys, time, value).withColumn(out, F.when(pick.isNotNull(), F.greatest(pick, F.lit(0.0)))).drop(*_HELP)
 
 
-def mean_diurnal(df: DataFrame, keys: list[str], hour: str, value: str, days: int = 7, out: str = "filled") -> DataFrame:
-    """Gaps take the mean at the same hour of the day within so many days, what is left is interpolated; clipped at 0."""
-    w = Window.partitionBy(*keys, F.col(hour) % 24).orderBy(hour).rangeBetween(-24 * days, 24 * days)
+def mean_diurnal(df: DataFrame, keys: list[str], time: str, value: str, days: int = 7, out: str = "filled", daily: bool = False) -> DataFrame:
+    """Gaps take the mean at the same hour of the day within so many days, what is left is interpolated; clipped at 0. ``time`` counts hours;
+    of ``daily`` series it counts days, and the day of the week stands for the hour."""
+    per_day, period = (1, 7) if daily else (24, 24)
+    w = Window.partitionBy(*keys, F.pmod(F.col(time), F.lit(period))).orderBy(time).rangeBetween(-per_day * days, per_day * days)
     step = df.withColumn("_m", F.coalesce(F.col(value), F.avg(value).over(w)))
-    return linear(step, keys, hour, "_m", out).drop("_m")
+    return linear(step, keys, time, "_m", out).drop("_m")
 
 
-def rolling_mean(df: DataFrame, keys: list[str], time: str, value: str, window: int = 48, out: str = "filled") -> DataFrame:
-    """Gaps take the centred rolling mean where a quarter of the window is known, what is left is interpolated; clipped at 0."""
+def rolling_mean(df: DataFrame, keys: list[str], time: str, value: str, window: int | None = None, out: str = "filled", daily: bool = False) -> DataFrame:
+    """Gaps take the centred rolling mean where a quarter of the window is known, what is left is interpolated; clipped at 0. The window is 48
+    rows, 7 of ``daily`` series, unless it is given."""
+    window = window or (7 if daily else 48)
     w = Window.partitionBy(*keys).orderBy(time).rowsBetween(-(window // 2), window - window // 2 - 1)
     mean = F.when(F.count(value).over(w) >= max(1, window // 4), F.avg(value).over(w))
     return linear(df.withColumn("_m", F.coalesce(F.col(value), mean)), keys, time, "_m", out).drop("_m")
@@ -73,8 +77,8 @@ def seasonal(df: DataFrame, keys: list[str], time: str, value: str, period: int
 
 
 def akima(df: DataFrame, keys: list[str], time: str, value: str, out: str = "filled") -> DataFrame:
-    """Akima's piecewise cubic through the known rows (by row position); series of fewer than four known rows stay as they are, and rows
-    outside the known range take the nearest value. Clipped at 0."""
+    """Akima's piecewise cubic through the known rows (by row position); series of fewer than four known rows are interpolated linearly (edges
+    extended); of others, rows outside the known range stay null, as ``nearest`` leaves them. Clipped at 0."""
     w = Window.partitionBy(*keys).orderBy(time)
     placed = df.withColumn("_rn", F.row_number().over(w))
     known = placed.where(F.col(value).isNotNull()).select(*keys, F.col("_rn").alias("_ax"), F.col(value).alias("_ay"))
@@ -86,17 +90,16 @@ def akima(df: DataFrame, keys: list[str], time: str, value: str, out: str = "fil
     m = m.withColumn("_am0x", F.coalesce("_am0", 2 * F.col("_ap1") - F.col("_ap2"))).withColumn("_ap1x", F.coalesce("_ap1", 2 * F.col("_am0x") - F.col("_an1")))
     m = m.withColumn("_an1x", F.coalesce("_an1", 2 * F.col("_am0x") - F.col("_ap1x"))).withColumn("_ap2x", F.coalesce("_ap2", 2 * F.col("_ap1x") - F.col("_am0x")))
     a, b = F.abs(F.col("_an1x") - F.col("_am0x")), F.abs(F.col("_ap1x") - F.col("_ap2x"))
-    t = m.withColumn("_at", F.when(a + b > 1e-9, (a * F.col("_ap1x") + b * F.col("_am0x")) / (a + b)).otherwise((F.col("_ap1x") + F.col("_am0x")) / 2))
-    seg = t.select(*keys, "_ax", "_ay", "_at", "_am0", "_acnt", (F.lead("_ax").over(k) - F.col("_ax")).alias("_ah"), F.lead("_at").over(k).alias("_at1"))
+    t = m.withColumn("_ag", F.when(a + b > 1e-9, (a * F.col("_ap1x") + b * F.col("_am0x")) / (a + b)).otherwise((F.col("_ap1x") + F.col("_am0x")) / 2))
+    seg = t.select(*keys, "_ax", "_ay", "_ag", "_am0", "_acnt", (F.lead("_ax").over(k) - F.col("_ax")).alias("_ah"), F.lead("_ag").over(k).alias("_ag1"))
     joined = placed.join(seg.withColumnRenamed("_ax", "_rn"), [*keys, "_rn"], "left")
-    last = F.last(F.when(F.col("_ay").isNotNull(), F.struct("_rn", "_ay", "_at", "_am0", "_ah", "_at1", "_acnt")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.last("_ay", True).over(Window.partitionBy(*keys).orderBy(F.col("_rn").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(F.col("_ay").isNotNull(), F.struct("_rn", "_ay", "_ag", "_am0", "_ah", "_ag1", "_acnt")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     total = F.max("_acnt").over(Window.partitionBy(*keys))
-    f = joined.withColumn("_as", last).withColumn("_anx", nxt).withColumn("_ac", total)
+    f = linear(joined.withColumn("_as", last).withColumn("_ac", F.coalesce(total, F.lit(0))).withColumnRenamed("_rn", "_ai"), keys, time, value, "_line").withColumnRenamed("_ai", "_rn")
     d = F.col("_rn") - F.col("_as._rn")
     h = F.col("_as._ah")
-    cubic = F.col("_as._ay") + F.col("_as._at") * d + (3 * F.col("_as._am0") - 2 * F.col("_as._at") - F.col("_as._at1")) / h * d * d + (F.col("_as._at") + F.col("_as._at1") - 2 * F.col("_as._am0")) / (h * h) * d * d * d
-    filled = F.when(F.col(value).isNotNull() | (F.col("_ac") < 4) | F.col("_ac").isNull(), F.col(value)).otherwise(F.coalesce(cubic, F.col("_as._ay"), F.col("_anx")))
+    cubic = F.col("_as._ay") + F.col("_as._ag") * d + (3 * F.col("_as._am0") - 2 * F.col("_as._ag") - F.col("_as._ag1")) / h * d * d + (F.col("_as._ag") + F.col("_as._ag1") - 2 * F.col("_as._am0")) / (h * h) * d * d * d
+    filled = F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("_ac") < 4, F.col("_line")).otherwise(cubic)
     return f.select(*df.columns, F.when(filled.isNotNull(), F.greatest(filled, F.lit(0.0))).alias(out))
 
 
@@ -132,12 +135,53 @@ def lag_features(df: DataFrame, keys: list[str], time: str, value: str, lags: in
                      F.stddev_samp(value).over(day).alias("roll_std"), ((F.col(time) % 24 >= 6) & (F.col(time) % 24 <= 20)).cast("int").alias("daytime"))
 
 
-def nearest_rows(df: DataFrame, keys: list[str], time: str, value: str, k: int = 10, reach: int = 48, out: str = "filled") -> DataFrame:
-    """Gaps take the mean of the ``k`` known rows nearest in time within ``reach`` rows (earlier first on ties)."""
-    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(-reach, reach)
-    around = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))).over(w)
-    with_list = df.withColumn("_near", F.when(F.col(value).isNull(), around)).withColumn("_t", F.col(time))
-    best = F.expr(f"slice(array_sort(transform(_near, x -> struct(abs(x.t - _t) as d, x.t as t, x.v as v))), 1, {k})")
-    mean = F.expr("aggregate(_best, 0D, (a, x) -> a + x.v) / size(_best)")
-    out_df = with_list.withColumn("_best", best).withColumn(out, F.coalesce(F.col(value), F.when(F.size("_best") > 0, mean)))
-    return out_df.drop("_near", "_t", "_best")
+#: Rows with all features that a series must have to be learned from.
+LEAST_TRAINED = 50
+
+
+def lag_space(df: DataFrame, keys: list[str], time: str, value: str, hour: Column, day_of_year: Column, month: Column, lags: int = 24) -> DataFrame:
+    """keys, time, value and ``features``: the values before each row, hour, day of the year, month, trailing mean and sample deviation of 24 rows
+    (0 for one value) and daytime; null where any is missing."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    day = w.rowsBetween(-23, 0)
+    one = [*(F.lag(value, k).over(w) for k in range(1, lags + 1)), hour, day_of_year, month, F.avg(value).over(day), F.coalesce(F.stddev_samp(value).over(day), F.when(F.count(value).over(day) > 0, F.lit(0.0))), hour.between(6, 20).cast("int")]
+    out = df.select(*keys, F.col(time), F.col(value), F.array(*(c.cast("double") for c in one)).alias("features"))
+    return out.withColumn("features", F.when(~F.exists("features", lambda x: x.isNull()), F.col("features")))
+
+
+def scaled_by_key(df: DataFrame, keys: list[str], vector: str, width: int, learned: Column, least: int = LEAST_TRAINED) -> DataFrame:
+    """``df`` with the vector less its mean over population deviation (1 where that is 0) within its key, both over the ``learned`` rows; keys with
+    fewer than ``least`` of them go."""
+    from .joins import small
+
+    parts = [f(F.element_at(vector, i + 1)).alias(f"_{n}{i}") for i in range(width) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    stats = df.where(learned).groupBy(*keys).agg(F.count("*").alias("_trained"), *parts).where(F.col("_trained") >= least)
+    scale = [F.struct(F.col(f"_m{i}").alias("m"), F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0).alias("s")) for i in range(width)]
+    stats = stats.select(*keys, F.array(*scale).alias("_by"))
+    return df.join(small(stats), keys).withColumn(vector, F.zip_with(vector, "_by", lambda x, y: (x - y["m"]) / y["s"])).drop("_by")
+
+
+def nearest_in_lags(df: DataFrame, keys: list[str], time: str, value: str, hour: Column | None = None, day_of_year: Column | None = None, month: Column | None = None, k: int = 10, lags: int = 24, out: str = "filled") -> DataFrame:
+    """Gaps take the mean of the k known rows of their series nearest in the space of ``lag_space``, standardised (k at most a tenth of the known
+    rows, one at least; ties to the earlier row); series with fewer than ``LEAST_TRAINED`` known rows with all features, and gaps without all
+    features, are interpolated. Clipped at 0.
+
+    ``time`` is a whole number that doesn't repeat in a series, by default of hours since 1970. Neighbours are found by blocks
+    (``neighbours.nearest``), so a long series spreads over many tasks.
+    """
+    from gridloom.sources.shared import kept
+
+    from .joins import small
+    from .neighbours import nearest as nearest_points
+
+    at = F.timestamp_seconds(F.col(time) * 3600)
+    space = lag_space(df, keys, time, value, F.pmod(F.col(time), F.lit(24)) if hour is None else hour, F.dayofyear(at) if day_of_year is None else day_of_year, F.month(at) if month is None else month, lags)
+    space = kept(space, "lag-space")
+    known = F.col(value).isNotNull()
+    z = scaled_by_key(space.where("features is not null"), keys, "features", lags + 6, known)
+    near = nearest_points(z.where(~known), z.where(known), k, "features", time, keys, value=value)
+    counts = space.groupBy(*keys).agg(F.least(F.lit(k), F.greatest(F.lit(1), F.floor(F.count(value) * 0.1))).cast("int").alias("_k"))
+    best = F.slice("near", 1, F.col("_k"))
+    mean = F.aggregate(best, F.lit(0.0), lambda a, x: a + x["value"]) / F.size(best)
+    found = near.where("near is not null").join(small(counts), keys).select(*keys, time, F.greatest(mean, F.lit(0.0)).alias("_p"))
+    return linear(df.join(found, [*keys, time], "left").withColumn("_m", F.coalesce(F.col(value), F.col("_p"))), keys, time, "_m", out).drop("_m", "_p")

@@ -476,7 +476,16 @@ def f2(spark, d):
     return rounded(fill.nearest(hourly(spark, d), ["sensor"], "hr", "value").where("filled is not null").select("sensor", "hr", "filled"))
 
 
-@query("f3_akima_fill")
+_AKIMA = f"""WITH {_NB}, k AS (SELECT sensor, i AS x, value AS y, (lead(value) OVER w - value) / (lead(i) OVER w - i) AS m, count(*) OVER (PARTITION BY sensor) AS c FROM rn WHERE value IS NOT NULL WINDOW w AS (PARTITION BY sensor ORDER BY i)),
+ a AS (SELECT *, lag(m, 1) OVER w AS p1, lag(m, 2) OVER w AS p2, lead(m, 1) OVER w AS n1 FROM k WINDOW w AS (PARTITION BY sensor ORDER BY x)), b AS (SELECT * REPLACE (coalesce(m, 2 * p1 - p2) AS m), m AS seg FROM a), e AS (SELECT * REPLACE (coalesce(p1, 2 * m - n1) AS p1) FROM b),
+ g AS (SELECT * REPLACE (coalesce(n1, 2 * m - p1) AS n1, coalesce(p2, 2 * p1 - m) AS p2) FROM e), h AS (SELECT *, CASE WHEN abs(n1 - m) + abs(p1 - p2) > 1e-9 THEN (abs(n1 - m) * p1 + abs(p1 - p2) * m) / (abs(n1 - m) + abs(p1 - p2)) ELSE (p1 + m) / 2 END AS t FROM g),
+ s AS (SELECT *, lead(x) OVER w - x AS hh, lead(t) OVER w AS t1 FROM h WINDOW w AS (PARTITION BY sensor ORDER BY x)), n4 AS (SELECT sensor, count(value) AS c FROM rn GROUP BY 1),
+ z AS (SELECT pv.sensor, hr, CASE WHEN value IS NOT NULL THEN value WHEN n4.c < 4 THEN coalesce(CASE WHEN pi = ni THEN p ELSE p + (pv.x - p) * (i - pi) / (ni - pi) END, p, pv.x)
+  WHEN hh IS NOT NULL THEN y + t * (i - s.x) + (3 * seg - 2 * t - t1) / hh * (i - s.x) ** 2 + (t + t1 - 2 * seg) / hh ** 2 * (i - s.x) ** 3 END AS z FROM pv JOIN n4 ON n4.sensor = pv.sensor LEFT JOIN s ON s.sensor = pv.sensor AND s.x = pv.pi)
+ SELECT sensor, hr, CASE WHEN z IS NOT NULL THEN round(greatest(z, 0), 4) END AS filled FROM z"""
+
+
+@query("f3_akima_fill", _AKIMA)
 def f3(spark, d):
     return rounded(fill.akima(hourly(spark, d), ["sensor"], "hr", "value").select("sensor", "hr", "filled"))
 
@@ -504,6 +513,26 @@ def f5(spark, d):
     return rounded(fill.rolling_mean(hourly(spark, d), ["sensor"], "hr", "value").where("filled is not null").select("sensor", "hr", "filled"))
 
 
+def _every_day(spark, d):
+    """site, day, q: every day between a site's first and last, and one span of twenty days in twelve without values."""
+    c = resample.calendar(daily(spark, d), ["site"], "day", 1, {"q": ("mean", "q")})
+    return c.withColumn("q", F.when(F.expr("day div 20 % 12 <> 0"), F.col("q")))
+
+
+EVERY_DAY = f"""{DAILY}, every AS (SELECT site AS sensor, day AS hr, CASE WHEN day // 20 % 12 <> 0 THEN q END AS value FROM (SELECT site, unnest(generate_series(min(day), max(day))) AS day FROM daily GROUP BY site) LEFT JOIN daily USING (site, day))"""
+_DAILY_LIN = _LIN.replace("sensor, hr", "sensor AS site, hr AS day")
+
+
+@query("f4_mean_weekday_fill", f"WITH {EVERY_DAY}, {_then_tail('SELECT sensor, hr, coalesce(value, avg(value) OVER (PARTITION BY sensor, hr % 7 ORDER BY hr RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING)) AS m FROM every')} {_DAILY_LIN}")
+def f4_daily(spark, d):
+    return rounded(fill.mean_diurnal(_every_day(spark, d), ["site"], "day", "q", daily=True).where("filled is not null").select("site", "day", "filled"))
+
+
+@query("f5_rolling_mean_daily", f"WITH {EVERY_DAY}, {_then_tail('SELECT sensor, hr, coalesce(value, CASE WHEN count(value) OVER w >= 1 THEN avg(value) OVER w END) AS m FROM every WINDOW w AS (PARTITION BY sensor ORDER BY hr ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)')} {_DAILY_LIN}")
+def f5_daily(spark, d):
+    return rounded(fill.rolling_mean(_every_day(spark, d), ["site"], "day", "q", daily=True).where("filled is not null").select("site", "day", "filled"))
+
+
 @query("f6_seasonal_fill")
 def f6(spark, d):
     return rounded(fill.seasonal(hourly(spark, d), ["sensor"], "hr", "value").where("filled is not null").select("sensor", "hr", "filled"))
@@ -515,9 +544,27 @@ def f7(spark, d):
     return x.withColumn("roll_mean", near("roll_mean", 4))
 
 
-@query("f9_nearest_rows_fill")
+def _rows_with_spans(spark, d):
+    """site, i, day, v: a site's days with items in order, one span of twenty days in twelve without values."""
+    i = F.row_number().over(Window.partitionBy("site").orderBy("day"))
+    return daily(spark, d).select("site", "day", i.alias("i"), F.when(F.expr("day div 20 % 12 <> 0"), F.col("q")).alias("v"))
+
+
+_F9 = f"""WITH {DAILY}, s AS (SELECT site, day, row_number() OVER (PARTITION BY site ORDER BY day) AS i, CASE WHEN day // 20 % 12 <> 0 THEN q END AS v FROM daily),
+ f AS (SELECT *, list(v) OVER w AS l, count(v) OVER w AS c, avg(v) OVER r AS rm, coalesce(stddev_samp(v) OVER r, 0) AS rs, DATE '1970-01-01' + CAST(day AS INT) AS dt FROM s WINDOW w AS (PARTITION BY site ORDER BY i ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY site ORDER BY i ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+ x AS (SELECT site, i, v, list_concat(l, [CAST(dayofyear(dt) AS DOUBLE), CAST(month(dt) AS DOUBLE), rm, rs]) AS x FROM f WHERE c = 24),
+ sp AS (SELECT site, p, avg(e) AS m, stddev_pop(e) AS sd FROM (SELECT site, unnest(range(1, 29)) AS p, unnest(x) AS e FROM x WHERE v IS NOT NULL) GROUP BY 1, 2),
+ sz AS (SELECT site, list(m ORDER BY p) AS m, list(CASE WHEN sd > 0 THEN sd ELSE 1 END ORDER BY p) AS sd FROM sp GROUP BY 1), tn AS (SELECT site FROM x WHERE v IS NOT NULL GROUP BY 1 HAVING count(*) >= 50),
+ z AS (SELECT x.site, i, v, list_transform(range(1, 29), lambda p: (x[p] - m[p]) / sd[p]) AS z FROM x JOIN sz USING (site) JOIN tn USING (site)), kk AS (SELECT site, least(10, greatest(1, floor(count(v) * 0.1))) AS k FROM s GROUP BY 1),
+ nn AS (SELECT a.site, a.i, b.v, row_number() OVER (PARTITION BY a.site, a.i ORDER BY list_distance(a.z, b.z), b.i) AS r FROM z a JOIN z b ON a.site = b.site AND a.v IS NULL AND b.v IS NOT NULL),
+ pr AS (SELECT nn.site, nn.i, avg(v) AS p FROM nn JOIN kk ON nn.site = kk.site AND r <= k GROUP BY 1, 2), m AS (SELECT s.site AS sensor, s.i AS hr, coalesce(v, p) AS m FROM s LEFT JOIN pr ON pr.site = s.site AND pr.i = s.i)"""
+
+
+@query("f9_nearest_rows_fill", f"{_F9}, {_then_tail('SELECT sensor, hr, m FROM m')} {_LIN.replace('sensor, hr', 'sensor AS site, hr AS i')}")
 def f9(spark, d):
-    return rounded(fill.nearest_rows(hourly(spark, d), ["sensor"], "hr", "value").where("filled is not null").select("sensor", "hr", "filled"))
+    s = _rows_with_spans(spark, d)
+    when = F.date_from_unix_date(F.col("day").cast("int"))
+    return rounded(fill.nearest_in_lags(s, ["site"], "i", "v", F.lit(0), F.dayofyear(when), F.month(when)).where("filled is not null").select("site", "i", "filled"))
 
 
 _LINE = "greatest(coalesce(CASE WHEN pi = ni THEN p ELSE p + (x - p) * (i - pi) / (ni - pi) END, p, x), 0)"

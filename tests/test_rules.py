@@ -50,9 +50,11 @@ def test_nearest_ties_go_back(spark):
     assert column(fill.nearest(series(spark, [None, 1, None, 3, None]), ["k"], "t", "v"), "filled") == [None, 1, 1, 3, None]
 
 
-def test_akima_is_exact_on_a_line_and_needs_four(spark):
+def test_akima_is_exact_on_a_line_and_falls_back_to_it(spark):
     assert column(fill.akima(series(spark, [0, 1, None, 3, 4, None, 6]), ["k"], "t", "v"), "filled") == pytest.approx([0, 1, 2, 3, 4, 5, 6])
-    assert column(fill.akima(series(spark, [0, None, 2, 3]), ["k"], "t", "v"), "filled") == [0, None, 2, 3]
+    assert column(fill.akima(series(spark, [0, None, 2, 5]), ["k"], "t", "v"), "filled") == [0, 1, 2, 5]  # three known rows
+    assert column(fill.akima(series(spark, [None, 1, None, 3, None]), ["k"], "t", "v"), "filled") == [1, 1, 2, 3, 3]
+    assert column(fill.akima(series(spark, [None, 0, 1, 2, 3, None]), ["k"], "t", "v"), "filled") == [None, 0, 1, 2, 3, None]  # edges as nearest leaves them
 
 
 def test_akima_passes_through_known_points(spark):
@@ -115,7 +117,7 @@ def test_ring_search_order(spark):
 
 def test_empty_and_missing_series(spark):
     e = series(spark, [])
-    for f in (fill.linear, fill.nearest, fill.akima, fill.mean_diurnal, fill.rolling_mean, fill.seasonal, fill.nearest_rows):
+    for f in (fill.linear, fill.nearest, fill.akima, fill.mean_diurnal, fill.rolling_mean, fill.seasonal, fill.nearest_in_lags):
         assert f(e, ["k"], "t", "v").count() == 0
         assert column(f(series(spark, [None, None]), ["k"], "t", "v"), "filled") == [None, None]
     assert windows.gaps(series(spark, [None, None]), ["k"], "t", "v").first()["size"] == 2
