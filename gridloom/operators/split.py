@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import dense_ranks, row_numbers
+
 
 def grid_groups(sites: DataFrame, size: float) -> DataFrame:
     """Dense group numbers of sites (lat, lon) on cells of ``size`` degrees counted from the southernmost, westernmost site."""
     low = sites.agg(F.min("lat").alias("_a"), F.min("lon").alias("_o"))
     cells = sites.join(F.broadcast(low)).withColumn("_r", F.floor((F.col("lat") - F.col("_a")) / size)).withColumn("_c", F.floor((F.col("lon") - F.col("_o")) / size))
-    numbers = cells.select("_r", "_c").distinct().withColumn("grp", F.dense_rank().over(Window.orderBy("_r", "_c")))
-    return cells.join(numbers, ["_r", "_c"]).drop("_r", "_c", "_a", "_o")
+    return dense_ranks(cells, ["_r", "_c"], "grp").drop("_r", "_c", "_a", "_o")
 
 
 def balanced_folds(groups: DataFrame, group: str, weight: str, folds: int) -> DataFrame:
@@ -56,13 +57,14 @@ def expanding_folds(df: DataFrame, keys: list[str], order: list[str], folds: int
 
 
 def class_split(ids: DataFrame, id_col: str, label: str | None, shares: dict[str, float], order: Column) -> DataFrame:
-    """Ids dealt to named parts by their shares, within each label if one is named, in a fixed order."""
-    w = Window.partitionBy(*([label] if label else [F.lit(1)])).orderBy(order, id_col)
-    p, at, out = F.percent_rank().over(w), 0.0, None
+    """Ids dealt to named parts by their shares, within each label if one is named, in a fixed order; ids don't repeat."""
+    ranked = row_numbers(ids.withColumn("_order", order), [label] if label else [], ["_order", id_col], "_row")
+    ids = ranked.withColumn("_p", F.when(F.col("_n") > 1, (F.col("_row") - 1) / (F.col("_n") - 1)).otherwise(0.0)).drop("_order", "_row", "_n")
+    p, at, out = F.col("_p"), 0.0, None
     for name, share in shares.items():
         at += share
         out = F.when(p < at, name) if out is None else out.when(p < at, name)
-    return ids.withColumn("part", out.otherwise(list(shares)[-1]))
+    return ids.withColumn("part", out.otherwise(list(shares)[-1])).drop("_p")
 
 
 def block_folds(sites: DataFrame, size: float, folds: int) -> DataFrame:

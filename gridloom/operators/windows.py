@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks, sliding
+
 
 def islands(df: DataFrame, keys: list[str], order: str, predicate: Column) -> DataFrame:
     """Add _island: a number that stays the same over maximal runs of equal ``predicate``."""
@@ -49,13 +51,19 @@ def outliers_rolling(df: DataFrame, keys: list[str], order: str, value: str, wid
     return df.withColumn("_s", s).withColumn(out, F.coalesce(F.abs(F.col(value) - F.col("_m")) > n_std * F.col("_s"), F.lit(False))).drop("_m", "_s")
 
 
-def outliers_mad(df: DataFrame, keys: list[str], order: str, value: str, width: int, n_mad: float, out: str = "outlier") -> DataFrame:
-    """Farther from the adaptive centred median than ``n_mad`` times the window's median absolute deviation / 0.6745."""
-    df = centred(df, keys, order, width, {"_m": lambda w: F.expr(f"percentile(`{value}`, 0.5)").over(w), "_l": lambda w: F.collect_list(value).over(w)})
-    dev = F.expr("array_sort(transform(_l, x -> abs(x - _m)))")
-    df = df.withColumn("_d", dev).withColumn("_k", F.size("_l"))
-    mid = F.expr("case when _k = 0 then null when _k % 2 = 1 then element_at(_d, cast((_k + 1) div 2 as int)) else (element_at(_d, cast(_k div 2 as int)) + element_at(_d, cast(_k div 2 + 1 as int))) / 2 end")
-    return df.withColumn(out, F.coalesce(F.abs(F.col(value) - F.col("_m")) > n_mad * mid / 0.6745, F.lit(False))).drop("_m", "_l", "_d", "_k")
+def outliers_mad(df: DataFrame, keys: list[str], order: str, value: str, width: int, n_mad: float, out: str = "outlier", piece: int | None = None) -> DataFrame:
+    """Farther from the adaptive centred median than ``n_mad`` times the window's median absolute deviation / 0.6745.
+
+    An ordered window slides over pieces of the series (``ranks.over_pieces``), so a row costs about the logarithm of the width, and a long
+    series spreads over many tasks. ``order`` doesn't repeat in a series.
+    """
+
+    def run(values: dict[str, np.ndarray], place: np.ndarray, lo: int, hi: int, n: int) -> dict[str, np.ndarray]:
+        a, b = sliding.centred_bounds(place[lo:hi], n, width)
+        med, dev = sliding.slide(values[value], a - place[0], b - place[0], [lambda w: w.quantile(0.5), sliding.Sorted.deviation])
+        return {out: np.abs(values[value][lo:hi] - med) > n_mad * dev / 0.6745}
+
+    return ranks.over_pieces(df, keys, order, [value], width, run, f"{out} boolean", piece)
 
 
 def outliers_global_fallback(df: DataFrame, keys: list[str], order: str, value: str, width: int, n_std: float, out: str = "outlier") -> DataFrame:
@@ -83,12 +91,19 @@ def variability(df: DataFrame, keys: list[str], order: str, value: str, width: i
 
 
 def baseline(df: DataFrame, keys: list[str], order: str, value: str, is_night: Column, width: int, quantile: float, least: int, out: str = "corrected") -> DataFrame:
-    """Rolling night quantile, interpolated over rows without one, subtracted; floored at 0."""
+    """Rolling night quantile, interpolated over rows without one, subtracted; floored at 0. The quantile is read off an ordered window that slides
+    over pieces of the series; ``order`` doesn't repeat in one."""
     from .fill import linear
 
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(width // 2), width // 2)
-    night = F.when(is_night, F.col(value))
-    df = df.withColumn("_q", night).withColumn("_b", F.when(F.count("_q").over(w) >= least, F.expr(f"percentile(_q, {quantile})").over(w)))
+    h = width // 2
+
+    def run(values: dict[str, np.ndarray], place: np.ndarray, lo: int, hi: int, n: int) -> dict[str, np.ndarray]:
+        own = place[lo:hi]
+        a, b = np.maximum(own - h, 0) - place[0], np.minimum(own + h + 1, n) - place[0]
+        return {"_n": (got := sliding.slide(values["_q"], a, b, [lambda w: len(w.values), lambda w: w.quantile(quantile)]))[0].astype(np.int64), "_w": got[1]}
+
+    df = ranks.over_pieces(df.withColumn("_q", F.when(is_night, F.col(value))), keys, order, ["_q"], h, run, "_n bigint, _w double")
+    df = df.withColumn("_b", F.when((F.col("_n") >= least) & ~F.isnan("_w"), F.col("_w"))).drop("_n", "_w")
     return linear(df, keys, order, "_b", "_base").withColumn(out, F.greatest(F.col(value) - F.coalesce("_base", F.lit(0.0)), F.lit(0.0))).withColumn(out, F.when(F.col(value).isNotNull(), F.col(out))).drop("_q", "_b", "_base")
 
 

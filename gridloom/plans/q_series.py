@@ -288,7 +288,11 @@ def e3(spark, d):
     return windows.outliers_rolling(hourly(spark, d), ["sensor"], "hr", "value", 24, 2.0).select("sensor", "hr", "outlier")
 
 
-@query("e4_outliers_mad")
+_E4 = f"""WITH {HOURLY}, src AS (SELECT sensor, hr, value FROM hourly), {_centred_sql(24)}, l AS (SELECT sensor, hr, value, list(value) FILTER (value IS NOT NULL) OVER (PARTITION BY sensor ORDER BY i ROWS BETWEEN i - lo PRECEDING AND hi - 1 - i FOLLOWING) AS l FROM b),
+ m AS (SELECT *, list_aggregate(l, 'median') AS med FROM l) SELECT sensor, hr, coalesce(abs(value - med) > 3 * list_aggregate(list_transform(l, lambda x: abs(x - med)), 'median') / 0.6745, false) AS outlier FROM m"""
+
+
+@query("e4_outliers_mad", _E4)
 def e4(spark, d):
     return windows.outliers_mad(hourly(spark, d), ["sensor"], "hr", "value", 24, 3.0).select("sensor", "hr", "outlier")
 
