@@ -213,7 +213,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "202401
 
 
 def _write(values: DataFrame, path: str, end: str) -> None:
-    values.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", 0).text(path)
+    values.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 0).text(path)
 
 
 def _uuid(name: Column) -> Column:
