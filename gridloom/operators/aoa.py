@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.sources.shared import kept
 
-from . import neighbours
+from . import neighbours, quantiles
 
 #: Numbers of training vectors (rows x features) that are broadcast at most; a larger cloud is dealt out in blocks of so many.
 CLOUD_NUMBERS = 4_000_000
@@ -136,9 +136,13 @@ def sampled_mean_distance(df: DataFrame, vector: str, mean: np.ndarray, std: np.
 
 
 def threshold(di: DataFrame, column: str = "di") -> DataFrame:
-    """Upper quartile plus one and a half interquartile ranges."""
-    q = F.expr(f"percentile(`{column}`, array(0.25, 0.75))")
-    return di.agg(q.alias("q")).select((F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
+    """Upper quartile plus one and a half interquartile ranges; a large table's quartiles are found without a task that holds all values."""
+    di = kept(di.select(column), "di")
+    if quantiles.fits(di):
+        q = di.agg(F.expr(f"percentile(`{column}`, array(0.25, 0.75))").alias("q"))
+    else:
+        q = quantiles.exact_quantiles(di, column, [0.25, 0.75]).select(F.col("quantiles").alias("q"))
+    return q.select((F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
 
 
 def monthly(df: DataFrame, keys: list[str], di: str, inside: str) -> DataFrame:

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+from .ranks import join_same
+
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Counts, missing share, moments, quantiles, zeros, negatives and values beyond three deviations; skew and kurtosis are the biased forms."""
-    v = F.col(value)
-    q = F.expr(f"percentile(`{value}`, array(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))")
+    """Counts, missing share, moments, quantiles, zeros, negatives and values beyond three deviations; skew and kurtosis are the biased forms.
+    Quantiles of a table with a group too large for one task come from histograms (``quantiles.exact_quantiles``)."""
+    v, probs = F.col(value), (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+    apart = not quantiles.fits(df, keys)
+    q = F.lit(None) if apart else F.expr(f"percentile(`{value}`, array{probs})")
     g = df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("var"), F.min(v).alias("min"), F.max(v).alias("max"),
         q.alias("_q"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"), F.count_if(v == 0).alias("n_zero"), F.count_if(v < 0).alias("n_negative"))
+    if apart:
+        g = join_same(g.drop("_q"), quantiles.exact_quantiles(df, value, list(probs), keys).select(*keys, F.col("quantiles").alias("_q")), keys)
     names = ("p01", "p05", "p25", "median", "p75", "p95", "p99")
     out = g.select(*[c for c in g.columns if c != "_q"], *(F.col("_q")[i].alias(n) for i, n in enumerate(names)))
     return out.withColumn("missing_pct", 100 * (F.col("n") - F.col("n_valid")) / F.col("n")).withColumn("cv", F.col("std") / F.col("mean")).withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("range", F.col("max") - F.col("min"))
