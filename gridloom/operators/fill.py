@@ -185,3 +185,55 @@ def nearest_in_lags(df: DataFrame, keys: list[str], time: str, value: str, hour:
     mean = F.aggregate(best, F.lit(0.0), lambda a, x: a + x["value"]) / F.size(best)
     found = near.where("near is not null").join(small(counts), keys).select(*keys, time, F.greatest(mean, F.lit(0.0)).alias("_p"))
     return linear(df.join(found, [*keys, time], "left").withColumn("_m", F.coalesce(F.col(value), F.col("_p"))), keys, time, "_m", out).drop("_m", "_p")
+
+
+#: Rows of a key that its model is trained on at most (those first in the order of a hash), and gap rows a task predicts at once.
+TRAIN_ROWS, PREDICT_ROWS = 20_000, 50_000
+
+
+def by_own_model(df: DataFrame, keys: list[str], time: str, value: str, hour: Column | None = None, day_of_year: Column | None = None, month: Column | None = None, lags: int = 24, out: str = "filled") -> DataFrame:
+    """Gaps take what the series' own model predicts from ``lag_space``; clipped at 0.
+
+    A series with ``LEAST_TRAINED`` known rows with all features gets a model of boosted trees, fitted in one task on at most ``TRAIN_ROWS`` of
+    them, the first in hash order. Gaps without all features, and series with fewer rows to learn from, are interpolated. ``time`` is as
+    in ``nearest_in_lags``.
+    """
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gridloom.sources.shared import kept
+
+    from . import boosting
+    from .ranks import join_same
+
+    at = F.timestamp_seconds(F.col(time) * 3600)
+    space = lag_space(df, keys, time, value, F.pmod(F.col(time), F.lit(24)) if hour is None else hour, F.dayofyear(at) if day_of_year is None else day_of_year, F.month(at) if month is None else month, lags)
+    space = kept(space.where("features is not null"), "lag-space")
+    trained = space.where(F.col(value).isNotNull())
+    enough = kept(trained.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_TRAINED), "trained")
+    # a cut by hash that leaves about twice the rows wanted of a longer series, then the first of them
+    cut = F.pmod(F.xxhash64(time, F.lit(5)), F.lit(1 << 30)) < F.least(F.lit(1.0), 2.0 * TRAIN_ROWS / F.col("_n")) * (1 << 30)
+    sample = join_same(trained, enough, keys).where(cut).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(time, F.lit(5)), time))).where(F.col("_r") <= TRAIN_ROWS)
+    matrix = lambda c: c.combine_chunks().flatten().to_numpy().reshape(len(c), -1)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in space.select(*keys).schema.fields)
+
+    def learn(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(time, "ascending")])
+        model = boosting.fit(matrix(t.column("features")), t.column(value).to_numpy())
+        return pa.table([*(t.column(k).slice(0, 1) for k in keys), pa.array([pickle.dumps(model)], pa.binary())], names=[*keys, "_model"])
+
+    models = kept(sample.select(*keys, time, F.col(value).cast("double"), "features").groupBy(*keys).applyInArrow(learn, f"{names}, _model binary"), "models")
+    gaps = kept(join_same(space.where(F.col(value).isNull()), enough, keys), "gaps")
+    parts = gaps.groupBy(*keys).agg(F.ceil(F.count("*") / PREDICT_ROWS).cast("int").alias("_parts"))
+    gaps = join_same(gaps.select(*keys, time, "features"), parts, keys).withColumn("_part", F.pmod(F.xxhash64(time), F.col("_parts")).cast("int"))
+    copies = join_same(models, parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+
+    def predict(rows: pa.Table, model: pa.Table) -> pa.Table:
+        p = pickle.loads(model.column("_model")[0].as_py()).predict(matrix(rows.column("features"))) if rows.num_rows and model.num_rows else np.zeros(0)
+        return pa.table([*(rows.column(k).slice(0, len(p)) for k in (*keys, time)), pa.array(np.maximum(p, 0.0))], names=[*keys, time, "_p"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in space.select(*keys, time).schema.fields)
+    found = kept(gaps.groupBy(*keys, "_part").cogroup(copies.select(*keys, "_part", "_model").groupBy(*keys, "_part")).applyInArrow(predict, f"{types}, _p double"), "predicted")
+    return linear(df.join(found, [*keys, time], "left").withColumn("_m", F.coalesce(F.col(value), F.col("_p"))), keys, time, "_m", out).drop("_m", "_p")

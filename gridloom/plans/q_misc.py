@@ -9,13 +9,13 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
-from gridloom.operators import clean, fill, grid as g, joins, resample, skill, split, stats, windows
+from gridloom.operators import backtest, clean, fill, grid as g, joins, resample, skill, split, stats, windows
 from gridloom.sources import io
 from gridloom.streaming import incremental
 
 from . import ml
 from .base import DAILY, GRID, HOURLY, OBS, SCORED, daily, grid, hourly, near, obs, query, rounded, scored, table
-from .q_series import _ISL, DAY
+from .q_series import _ISL, _LINE, DAY, _rows_with_spans, _then_tail
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -462,23 +462,37 @@ def d88(spark, d):
 # ---- fill back-test
 
 
-@query("f13_masked_back_test")
+_SPANS = f"""{DAILY}, seg AS (SELECT site, q, row_number() OVER (PARTITION BY site ORDER BY day) - 1 AS i FROM daily), len AS (SELECT site, count(*) AS n FROM seg GROUP BY 1), sized AS (SELECT * FROM len, (VALUES (2), (6), (24)) AS v(size) WHERE n >= 3 * size),
+ slots AS (SELECT site, size, unnest(generate_series(0, (n - 2 * size) // (3 * size))) AS slot FROM sized), drawn AS (SELECT *, md5(site || '|' || size || '|' || slot) AS h FROM slots), ranked AS (SELECT *, row_number() OVER (PARTITION BY site, size ORDER BY h, slot) AS rep FROM drawn),
+ spans AS (SELECT site, size, rep, slot * 3 * size + CAST('0x' || substr(h, 1, 8) AS BIGINT) % size AS start FROM ranked WHERE rep <= 2)"""
+_COPIES = f"{_SPANS}, copies AS (SELECT site || '-' || size || '-' || rep AS sensor, size, i AS hr, q AS truth, i >= start AND i < start + size AS hidden, CASE WHEN i < start OR i >= start + size THEN q END AS value FROM seg JOIN spans USING (site))"
+_SCORES = "count(*) AS n_points, round(CASE WHEN sum(truth * truth) - sum(truth) * sum(truth) / count(*) > 1e-12 THEN 1 - sum((truth - filled) ** 2) / (sum(truth * truth) - sum(truth) * sum(truth) / count(*)) END, 4) AS r2, round(sqrt(avg((truth - filled) ** 2)), 4) AS rmse, round(avg(abs(truth - filled)), 4) AS mae"
+_ROLLED = "SELECT sensor, hr, coalesce(value, CASE WHEN count(value) OVER w >= 1 THEN avg(value) OVER w END) AS m FROM copies WINDOW w AS (PARTITION BY sensor ORDER BY hr ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+_HIDDEN = " UNION ALL ".join(
+    f"SELECT '{name}' AS method, size, truth, filled FROM copies JOIN (WITH {_then_tail(source)} SELECT sensor, hr, {pick} AS filled FROM pv) USING (sensor, hr) WHERE hidden AND filled IS NOT NULL"
+    for name, source, pick in (("linear", "SELECT sensor, hr, value AS m FROM copies", _LINE), ("nearest", "SELECT sensor, hr, value AS m FROM copies", "CASE WHEN p IS NOT NULL AND x IS NOT NULL THEN CASE WHEN i - pi <= ni - i THEN p ELSE x END END"), ("rolling", _ROLLED, _LINE)))
+
+
+def _segments(spark, d):
+    return backtest.truth_segments(daily(spark, d), ["site"], "day", "q")
+
+
+@query("f13_hidden_spans", f"WITH {_SPANS} SELECT * FROM spans")
+def f13_spans(spark, d):
+    lengths = _segments(spark, d).groupBy("site").agg(F.count("*").alias("n"))
+    return backtest.hidden_spans(lengths, ["site"], "n", [2, 6, 24], 2)
+
+
+@query("f13_masked_back_test", f"WITH {_COPIES}, every AS ({_HIDDEN}) SELECT method, size, {_SCORES} FROM every GROUP BY 1, 2")
 def f13(spark, d):
-    h = hourly(spark, d).withColumn("truth", F.col("value"))
-    hidden = F.pmod(F.xxhash64("sensor", F.expr("hr div 6")), F.lit(10)) == 0
-    masked = h.withColumn("hidden", hidden & F.col("value").isNotNull()).withColumn("value", F.when(~hidden, F.col("value")))
-    parts = [m(masked, ["sensor"], "hr", "value").withColumn("method", F.lit(n)) for n, m in (("linear", fill.linear), ("diurnal", fill.mean_diurnal), ("rolling", fill.rolling_mean))]
-    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("hidden")
-    return rounded(skill.pooled(skill.error_sums(all_, ["method"], "truth", "filled"), ["method"]))
+    methods = {"linear": fill.linear, "nearest": fill.nearest, "rolling": lambda *a: fill.rolling_mean(*a, daily=True)}
+    return rounded(backtest.run(_segments(spark, d), ["site"], "i", "q", [2, 6, 24], 2, methods))
 
 
 @query("f8_model_fill")
 def f8(spark, d):
-    h = fill.lag_features(hourly(spark, d), ["sensor"], "hr", "value", 3).fillna(0.0, ["lag_1", "lag_2", "lag_3", "roll_mean", "roll_std"])
-    features = ["lag_1", "lag_2", "lag_3", "hour", "roll_mean", "daytime"]
-    model = ml.fit(h.where("value is not null"), features, "value", numTrees=5, maxDepth=4)
-    p = model.transform(h).select("sensor", "hr", F.coalesce("value", F.greatest("prediction", F.lit(0.0))).alias("filled"))
-    return rounded(p)
+    when = F.date_from_unix_date(F.col("day").cast("int"))
+    return rounded(fill.by_own_model(_rows_with_spans(spark, d), ["site"], "i", "v", F.lit(0), F.dayofyear(when), F.month(when)).select("site", "i", "filled"))
 
 
 # ---- sorts, sets
