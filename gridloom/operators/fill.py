@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,18 +63,33 @@ def rolling_mean(df: DataFrame, keys: list[str], time: str, value: str, window:
     return linear(df.withColumn("_m", F.coalesce(F.col(value), mean)), keys, time, "_m", out).drop("_m")
 
 
-def seasonal(df: DataFrame, keys: list[str], time: str, value: str, period: int = 24, out: str = "filled") -> DataFrame:
-    """Seasonal-trend fill: centred moving-average trend over a period and a half on each side of the interpolated series, plus the mean
-    deviation at the same place of the period, plus the interpolated remainder. Stands in for a robust local regression. Clipped at 0."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    base = linear(df, keys, time, value, "_lin")
-    trend = base.withColumn("_trend", F.avg("_lin").over(w.rowsBetween(-(period * 3 // 2), period * 3 // 2)))
-    phase = Window.partitionBy(*keys, F.pmod(F.col(time), F.lit(period)))
-    season = trend.withColumn("_season", F.avg(F.col(value) - F.col("_trend")).over(phase))
-    rest = season.withColumn("_rest", F.col(value) - F.col("_trend") - F.coalesce("_season", F.lit(0.0)))
+def seasonal(df: DataFrame, keys: list[str], time: str, value: str, period: int | None = None, out: str = "filled", daily: bool = False, piece: int = 20_000) -> DataFrame:
+    """Seasonal-trend fill: gaps take trend and season of the interpolated series (``decompose.decompose``: local regression, outliers weighed
+    down) plus the interpolated rest of the known rows. The period is 24 rows, 7 of ``daily`` series; a series of fewer than two periods takes
+    the rolling mean. Clipped at 0.
+
+    A series of more than ``piece`` rows is decomposed in pieces with forty periods of neighbours on each side. Local regressions reach no
+    farther; only the scale by which outliers lose weight is then a piece's own. ``time`` doesn't repeat in a series.
+    """
+    from . import ranks
+    from .decompose import decompose
+
+    period = period or (7 if daily else 24)
+
+    def run(values: dict[str, np.ndarray], place: np.ndarray, lo: int, hi: int, n: int) -> dict[str, np.ndarray]:
+        y = values["_lin"]
+        if n < 2 * period or np.isnan(y).any() or lo == hi:
+            return {"_trend": np.full(hi - lo, np.nan), "_season": np.full(hi - lo, np.nan)}
+        trend, season = decompose(y, period)
+        return {"_trend": trend[lo:hi], "_season": season[lo:hi]}
+
+    base = rolling_mean(linear(df, keys, time, value, "_lin"), keys, time, value, None, "_rolled", daily)
+    parts = ranks.over_pieces(base, keys, time, ["_lin"], 40 * period, run, "_trend double, _season double", piece)
+    model = F.when(~F.isnan("_trend"), F.col("_trend") + F.col("_season"))
+    rest = parts.withColumn("_model", model).withColumn("_rest", F.col(value) - F.col("_model"))
     filled = known_neighbours(rest, keys, time, "_rest").withColumn("_r", F.coalesce(_between(), F.col("_pv"), F.col("_nv"))).drop(*_HELP)
-    total = F.coalesce(F.col(value), F.col("_trend") + F.coalesce("_season", F.lit(0.0)) + F.col("_r"))
-    return filled.withColumn(out, F.when(total.isNotNull(), F.greatest(total, F.lit(0.0)))).drop("_lin", "_trend", "_season", "_rest", "_r")
+    total = F.coalesce(F.col(value), F.col("_model") + F.coalesce("_r", F.lit(0.0)), F.col("_rolled"))
+    return filled.withColumn(out, F.when(total.isNotNull(), F.greatest(total, F.lit(0.0)))).drop("_lin", "_rolled", "_trend", "_season", "_model", "_rest", "_r")
 
 
 def akima(df: DataFrame, keys: list[str], time: str, value: str, out: str = "filled") -> DataFrame:
@@ -200,7 +216,6 @@ def by_own_model(df: DataFrame, keys: list[str], time: str, value: str, hour: Co
     """
     import pickle
 
-    import numpy as np
     import pyarrow as pa
 
     from gridloom.sources.shared import kept

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import backtest, boosting, fill
+from gridloom.operators import backtest, boosting, decompose, fill
 
 
 def test_spans_are_apart_and_inside(spark):
@@ -116,3 +116,62 @@ def test_each_series_has_its_own_model(spark, monkeypatch):
     few = {(r["k"], r["t"]): r["filled"] for r in fill.by_own_model(df, ["k"], "t", "v").collect()}
     assert set(few) == set(got) and abs(few["a", 60] - made["a"](60)) < 2
     assert fill.by_own_model(df.limit(0), ["k"], "t", "v").count() == 0
+
+
+def wave(n, seed=0, period=24):
+    t = np.arange(n)
+    trend, season = 20 + 0.01 * t + 3 * np.sin(t / 200), 5 * np.sin(2 * np.pi * t / period)
+    return trend, season, trend + season + np.random.default_rng(seed).normal(0, 0.05, n)
+
+
+def test_decomposition_recovers_what_was_put_in():
+    trend, season, y = wave(600)
+    y[[50, 130, 131, 400, 555]] += [40, -30, 60, 25, -50]  # outliers leave trend and season alone
+    t, s = decompose.decompose(y, 24)
+    inner = slice(30, -30)
+    assert np.abs(t - trend)[inner].max() < 0.25 and np.abs(s - season)[inner].max() < 0.25
+    assert np.abs(y - t - s)[[50, 130, 131, 400, 555]].min() > 20
+    line = 3.0 + 0.5 * np.arange(100)
+    t, s = decompose.decompose(line, 7)
+    assert t + s == pytest.approx(line) and np.abs(s).max() < 1e-6
+
+
+def test_local_lines_against_least_squares():
+    rng = np.random.default_rng(1)
+    y, w = rng.normal(0, 1, (2, 15)), rng.random((2, 15))
+    for span in (5, 7, 21):
+        at = np.arange(-1, 16)
+        got = decompose.local_lines(y, w, span, at)
+        q = min(span, 15)
+        for r in range(2):
+            for k, x0 in enumerate(at):
+                lo = int(np.clip(x0 - q // 2, 0, 15 - q))
+                x = np.arange(lo, lo + q)
+                h = max(x0 - lo, lo + q - 1 - x0) + max(0, (span - 15) // 2)
+                far = np.abs(x - x0) / h
+                k_w = np.sqrt(np.where(far > 0.999, 0, (1 - np.minimum(far, 1) ** 3) ** 3) * w[r, x])
+                a = np.stack((np.ones(q), x - x0), 1) * k_w[:, None]
+                assert got[r, k] == pytest.approx(np.linalg.lstsq(a, y[r, x] * k_w, rcond=None)[0][0])
+
+
+def test_seasonal_fill(spark):
+    trend, season, y = wave(400, 2)
+    gaps = [*range(100, 112), 200, *range(300, 330), 399]
+    rows = [("long", t, None if t in gaps else float(v)) for t, v in enumerate(y)] + [("short", t, None if t in (10, 11) else float(t)) for t in range(40)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    got = {(r["k"], r["t"]): r["filled"] for r in fill.seasonal(df, ["k"], "t", "v").collect()}
+    assert max(abs(got["long", t] - trend[t] - season[t]) for t in gaps[:-1]) < 1.5 and got["long", 399] is not None
+    rolled = {(r["k"], r["t"]): r["filled"] for r in fill.rolling_mean(df, ["k"], "t", "v").collect()}
+    assert all(got["short", t] == pytest.approx(rolled["short", t]) for t in range(40))  # under two periods
+    lin = {(r["k"], r["t"]): r["filled"] for r in fill.linear(df, ["k"], "t", "v").collect()}
+    assert sum(abs(got["long", t] - trend[t] - season[t]) for t in gaps) < 0.5 * sum(abs(lin["long", t] - trend[t] - season[t]) for t in gaps)
+    weekly = spark.createDataFrame([("d", t, None if t in (30, 31) else 5.0 + t % 7) for t in range(70)], "k string, t long, v double")
+    assert {r["t"]: r["filled"] for r in fill.seasonal(weekly, ["k"], "t", "v", daily=True).collect()}[30] == pytest.approx(7, abs=0.2)
+
+
+def test_pieces_of_a_long_series_fit_together(spark):
+    _, _, y = wave(1500, 3, 7)
+    df = spark.createDataFrame([("a", t, None if t % 97 < 3 else float(v)) for t, v in enumerate(y)], "k string, t long, v double")
+    whole = {r["t"]: r["filled"] for r in fill.seasonal(df, ["k"], "t", "v", daily=True).collect()}
+    parts = {r["t"]: r["filled"] for r in fill.seasonal(df, ["k"], "t", "v", daily=True, piece=300).collect()}
+    assert max(abs(whole[t] - parts[t]) for t in whole) < 0.2  # of values around 20: a piece weighs outliers by its own median rest
