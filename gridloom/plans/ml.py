@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import random
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import skill
@@ -43,16 +47,38 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds
     return out
 
 
+def fold_errors(df: DataFrame, features: list[str], label: str, fold: str, folds: int, kind: str = "forest", **params) -> list[float]:
+    """Root mean square error of each fold by a model that did not see it."""
+    rmse = RegressionEvaluator(labelCol=label, metricName="rmse")
+    return [rmse.evaluate(fit(df.where(F.col(fold) != k), features, label, kind, **params).transform(df.where(F.col(fold) == k))) for k in range(folds)]
+
+
+def search(df: DataFrame, features: list[str], label: str, fold: str, folds: int, space: dict[str, list] | list[dict], kind: str = "forest", draws: int | None = None, seed: int = 42) -> list[dict]:
+    """The settings tried, best first: each with kind, params, the mean and deviation of its fold errors, and rank.
+
+    All combinations of ``space`` (or the settings of a list), or ``draws`` different ones drawn at random with a fixed seed. Equal errors keep
+    the order of the space. Rows without the label are not used.
+    """
+    settings = list(space) if isinstance(space, list) else [dict(zip(space, v)) for v in itertools.product(*space.values())]
+    if draws is not None and draws < len(settings):
+        settings = [settings[i] for i in sorted(random.Random(seed).sample(range(len(settings)), draws))]
+    tried = []
+    for params in settings:
+        e = fold_errors(df, features, label, fold, folds, kind, **params)
+        tried.append({"kind": kind, "params": params, "error": sum(e) / len(e), "deviation": (sum((x - sum(e) / len(e)) ** 2 for x in e) / len(e)) ** 0.5})
+    tried.sort(key=lambda r: r["error"])
+    return [r | {"rank": i + 1} for i, r in enumerate(tried)]
+
+
+def search_table(spark: SparkSession, tried: list[dict]) -> DataFrame:
+    """kind, rank, params (as JSON), error and deviation of the settings tried."""
+    return spark.createDataFrame([(r["kind"], r["rank"], json.dumps(r["params"], sort_keys=True), float(r["error"]), float(r["deviation"])) for r in tried], "kind string, rank int, params string, error double, deviation double")
+
+
 def grid_search(df: DataFrame, features: list[str], label: str, fold: str, folds: int, grid: list[dict], kind: str = "forest") -> tuple[PipelineModel, dict, float]:
     """The setting of the least mean fold error, refitted on all rows."""
-    rmse = RegressionEvaluator(labelCol=label, metricName="rmse")
-    best: tuple[float, dict] | None = None
-    for params in grid:
-        scores = [rmse.evaluate(fit(df.where(F.col(fold) != k), features, label, kind, **params).transform(df.where(F.col(fold) == k))) for k in range(folds)]
-        mean = sum(scores) / len(scores)
-        if best is None or mean < best[0]:
-            best = (mean, params)
-    return fit(df, features, label, kind, **best[1]), best[1], best[0]
+    best = search(df, features, label, fold, folds, grid, kind)[0]
+    return fit(df, features, label, kind, **best["params"]), best["params"], best["error"]
 
 
 def forward_selection(df: DataFrame, groups: dict[str, list[str]], fixed: list[str], label: str, fold: str, folds: int, **params) -> list[tuple[str, float]]:

@@ -9,8 +9,8 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
-from gridloom.operators import backtest, clean, fill, grid as g, joins, resample, skill, split, stats, windows
-from gridloom.sources import io
+from gridloom.operators import backtest, clean, fill, grid as g, joins, polygons, resample, skill, split, stats, windows
+from gridloom.sources import io, vocabulary
 from gridloom.streaming import incremental
 
 from . import ml
@@ -116,13 +116,15 @@ def a12(spark, d):
 
 @query("a13_header_vocabulary", "SELECT s_suppkey AS si_code, s_acctbal AS si_elev FROM supplier")
 def a13(spark, d):
-    return table(spark, d, "supplier").withColumnsRenamed({"s_suppkey": "si_code", "s_acctbal": "si_elev"}).select("si_code", "si_elev")
+    raw = table(spark, d, "supplier").withColumnsRenamed({"s_suppkey": "Site Code", "s_acctbal": "Elevation (m)"})
+    return vocabulary.standard_header(raw, vocabulary.SITE).select("si_code", "si_elev")
 
 
 @query("a16_variable_names", f"WITH {OBS} SELECT sensor, hr, max(value) AS temperature FROM obs WHERE event_id % 2 = 1 GROUP BY 1, 2")
 def a16(spark, d):
-    o = obs(spark, d).withColumn("expver", F.col("event_id") % 2).withColumnsRenamed({"value": "temperature"})
-    return o.where("expver = 1").groupBy("sensor", "hr").agg(F.max("temperature").alias("temperature"))
+    o = obs(spark, d).withColumn("expver", F.col("event_id") % 2).withColumn("number", F.lit(0)).withColumnsRenamed({"value": "t2m", "hr": "valid_time"})
+    g = vocabulary.standard_grid(o)
+    return g.groupBy("sensor", F.col("time").alias("hr")).agg(F.max("2m_temperature").alias("temperature"))
 
 
 @query("a17_flexible_timestamps", f"WITH {OBS} SELECT event_id, CAST(sec // 60 * 60 AS BIGINT) AS sec FROM obs")
@@ -214,6 +216,34 @@ def b19(spark, d):
     return k.join(k.where("product = 'view' and v > 30").select("lat", "lon").distinct(), ["lat", "lon"], "left_semi").select("product", "lat", "lon", "day", "v")
 
 
+_POLY = """sites AS (SELECT s_suppkey AS id, CAST(s_suppkey * 29 % 130 - 55 AS DOUBLE) + 0.35 AS y, CAST(s_suppkey * 41 % 330 - 165 AS DOUBLE) + 0.45 AS x, s_suppkey % 5 AS k FROM supplier),
+ e AS (SELECT id, unnest([{'x1': x - 7.3 - k, 'y1': y, 'x2': x, 'y2': y + 5.1 + k}, {'x1': x, 'y1': y + 5.1 + k, 'x2': x + 9.7, 'y2': y + 0.2}, {'x1': x + 9.7, 'y1': y + 0.2, 'x2': x, 'y2': y - 6.9}, {'x1': x, 'y1': y - 6.9, 'x2': x - 7.3 - k, 'y2': y},
+  {'x1': x - 1.6, 'y1': y, 'x2': x, 'y2': y + 1.8}, {'x1': x, 'y1': y + 1.8, 'x2': x + 2.2, 'y2': y + 0.1}, {'x1': x + 2.2, 'y1': y + 0.1, 'x2': x, 'y2': y - 1.4}, {'x1': x, 'y1': y - 1.4, 'x2': x - 1.6, 'y2': y}]) AS e FROM sites),
+ cand AS (SELECT id, CAST(floor(y + 90) AS BIGINT) + i AS row, CAST(floor(x + 180) AS BIGINT) + j AS col FROM sites, generate_series(-9, 11) a(i), generate_series(-14, 12) b(j)),
+ inside AS (SELECT id, row, col FROM cand JOIN e USING (id) WHERE (e.y1 <= row - 89.5) <> (e.y2 <= row - 89.5) AND e.x1 + (row - 89.5 - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) <= col - 179.5 GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1),
+ crossed AS (SELECT DISTINCT id, row, col FROM cand JOIN e USING (id) WHERE greatest(0, least((col - 180 - e.x1) / (e.x2 - e.x1), (col - 179 - e.x1) / (e.x2 - e.x1)), least((row - 90 - e.y1) / (e.y2 - e.y1), (row - 89 - e.y1) / (e.y2 - e.y1)))
+  <= least(1, greatest((col - 180 - e.x1) / (e.x2 - e.x1), (col - 179 - e.x1) / (e.x2 - e.x1)), greatest((row - 90 - e.y1) / (e.y2 - e.y1), (row - 89 - e.y1) / (e.y2 - e.y1))))"""
+_WORLD = (-180.0, -90.0, 1.0)
+
+
+def _polygons(spark, d):
+    """Edges of a four-sided polygon with a hole around each supplier's place."""
+    s = table(spark, d, "supplier").selectExpr("s_suppkey as id", "cast(s_suppkey * 29 % 130 - 55 as double) + 0.35d as y", "cast(s_suppkey * 41 % 330 - 165 as double) + 0.45d as x", "s_suppkey % 5 as k")
+    at = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    outer = F.array(F.struct((F.col("x") - 7.3 - F.col("k")).alias("x"), F.col("y")), F.struct(F.col("x"), (F.col("y") + 5.1 + F.col("k")).alias("y")), at(9.7, 0.2), at(0.0, -6.9))
+    return polygons.edges(s.select("id", F.array(outer, F.array(at(-1.6, 0.0), at(0.0, 1.8), at(2.2, 0.1), at(0.0, -1.4))).alias("rings")), ["id"], "rings")
+
+
+@query("b19_cells_touched", f"WITH {_POLY} SELECT * FROM inside UNION SELECT * FROM crossed")
+def b19_touched(spark, d):
+    return polygons.cells_touched(_polygons(spark, d), ["id"], _WORLD)
+
+
+@query("b19_polygon_mask", f"WITH {GRID}, {_POLY} SELECT product, lat, lon, day, v FROM grid WHERE EXISTS (SELECT 1 FROM inside WHERE row = floor(lat + 90) AND col = floor(lon + 180))")
+def b19_mask(spark, d):
+    return polygons.mask_cells(grid(spark, d), _polygons(spark, d), ["id"], _WORLD, "lon", "lat", touched=False).select("product", "lat", "lon", "day", "v")
+
+
 @query("b20_cells_by_code", f"WITH {GRID} SELECT lat - 0.5 AS south, lat + 0.5 AS north, lon - 0.5 AS west, lon + 0.5 AS east FROM (SELECT DISTINCT lat, lon FROM grid WHERE CAST(lat + lon AS BIGINT) % 4 IN (1, 2))")
 def b20(spark, d):
     c = grid(spark, d).where(((F.col("lat") + F.col("lon")).cast("long") % 4).isin(1, 2)).select("lat", "lon").distinct()
@@ -417,6 +447,15 @@ def d73(spark, d):
     return stats.mode(k, ["row", "col"], "product").select("row", "col", "mode")
 
 
+@query("d73_majority_by_area", f"""WITH {GRID}, cells AS (SELECT lat, lon, min(product) AS code FROM grid GROUP BY 1, 2), j AS (SELECT code, lat, lon, unnest(generate_series(CAST(floor((lat + 60.3) / 2.5) AS BIGINT), CAST(floor((lat + 61.3) / 2.5) AS BIGINT))) AS row FROM cells),
+ k AS (SELECT *, unnest(generate_series(CAST(floor((lon + 180.4) / 2.5) AS BIGINT), CAST(floor((lon + 181.4) / 2.5) AS BIGINT))) AS col FROM j),
+ a AS (SELECT row, col, code, sum((least(lat + 1, -60.3 + (row + 1) * 2.5) - greatest(lat, -60.3 + row * 2.5)) * (least(lon + 1, -180.4 + (col + 1) * 2.5) - greatest(lon, -180.4 + col * 2.5))) AS a FROM k GROUP BY 1, 2, 3)
+ SELECT row, col, code, round(a / sum(a) OVER (PARTITION BY row, col), 4) AS share FROM a QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY round(a, 9) DESC, code) = 1""")
+def d73_area(spark, d):
+    c = grid(spark, d).groupBy("lat", "lon").agg(F.min("product").alias("code")).select((F.col("lat") + 60).cast("int").alias("r"), (F.col("lon") + 180).cast("int").alias("c"), "code")
+    return rounded(polygons.majority_by_area(c, "code", "r", "c", (-180.0, -60.0, 1.0), (-180.4, -60.3, 2.5)))
+
+
 # ---- census of gaps
 
 _GAPS = f"{_ISL}, gaps AS (SELECT sensor, min(hr) AS gap_start, count(*) AS size FROM isl WHERE value IS NULL GROUP BY sensor, g)"
@@ -676,6 +715,13 @@ def k10(spark, d):
     return rounded(model.transform(_train(spark, d)).select("id", "prediction"))
 
 
+@query("k10_search_table")
+def k10_table(spark, d):
+    forest = ml.search(_train(spark, d), _F, "y", "fold", 3, {"numTrees": [3, 6], "maxDepth": [3, 5]})
+    boosted = ml.search(_train(spark, d), _F, "y", "fold", 3, {"maxIter": [2, 4], "maxDepth": [2, 3], "stepSize": [0.1, 0.3]}, "boosted", draws=3)
+    return rounded(ml.search_table(spark, forest + boosted))
+
+
 @query("k11_out_of_fold")
 def k11(spark, d):
     return rounded(ml.out_of_fold(_train(spark, d), _F, "y", "fold", 3, numTrees=5, maxDepth=4).select("id", "fold", "y", "prediction"))
