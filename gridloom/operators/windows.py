@@ -236,13 +236,15 @@ def degree_day_season(df: DataFrame, keys: list[str], order: str, degrees: Colum
 
 
 def phenology(df: DataFrame, keys: list[str], order: str, value: str, share: float = 0.5) -> DataFrame:
-    """First and last row above ``share`` of the range of the smoothed value, and the rows of its steepest rise and fall."""
+    """First and last row above ``share`` of the range of the smoothed value, and the rows of its steepest rise and fall (the earliest on
+    ties)."""
     w = Window.partitionBy(*keys).orderBy(order)
     s = df.where(F.col(value).isNotNull()).withColumn("_s", F.avg(value).over(w.rowsBetween(-3, 3))).withColumn("_d", F.col("_s") - F.lag("_s").over(w))
     s = s.withColumn("_lo", F.min("_s").over(Window.partitionBy(*keys))).withColumn("_hi", F.max("_s").over(Window.partitionBy(*keys)))
     hit = F.when(F.col("_s") > F.col("_lo") + share * (F.col("_hi") - F.col("_lo")), F.col(order))
+    step = F.floor(F.col("_d") * 1e6 + 0.5).cast("double")  # in millionths, so that equal steps tie; the first row has none
     return s.groupBy(*keys).agg(F.min(hit).alias("above_start"), F.max(hit).alias("above_end"),
-                                F.min_by(F.col(order), F.struct(-F.round("_d", 9), F.col(order))).alias("rise"), F.min_by(F.col(order), F.struct(F.coalesce(F.round("_d", 9), F.lit(1e300)), F.col(order))).alias("fall"))
+                                F.min_by(F.col(order), F.struct(F.coalesce(-step, F.lit(1e300)), F.col(order))).alias("rise"), F.min_by(F.col(order), F.struct(F.coalesce(step, F.lit(1e300)), F.col(order))).alias("fall"))
 
 
 def moisture_season(df: DataFrame, keys: list[str], order: str, water: str, rain: str, demand: str, least_water: float, least_ratio: float, days: int = 30, out: str = "moist") -> DataFrame:

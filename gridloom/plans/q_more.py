@@ -50,6 +50,13 @@ def d76(spark, d):
     return spark.createDataFrame([(round(aoa.mean_distance(v, "x", *aoa.statistics(v, "x")) + 1e-9, 3),)], "d_bar double")
 
 
+@query("d76_sampled_mean_distance")
+def d76_sampled(spark, d):
+    v = _vectors(spark, d)
+    m, e = aoa.sampled_mean_distance(v, "x", *aoa.statistics(v, "x"), sample=500)
+    return spark.createDataFrame([(round(m, 3), round(e, 3))], "d_bar double, error double")
+
+
 _DIX = f"{_STD}, db AS (SELECT avg(list_distance(a.x, b.x)) AS d FROM z a JOIN z b ON a.id < b.id), di AS (SELECT a.id, min(list_distance(a.x, b.x)) / (SELECT d FROM db) AS di FROM z a JOIN z b ON a.fold <> b.fold GROUP BY 1)"
 
 

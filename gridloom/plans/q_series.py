@@ -428,7 +428,9 @@ def e26(spark, d):
     return g
 
 
-@query("e27_phenology")
+@query("e27_phenology", f"""WITH {_YEAR}, s AS (SELECT site, year, day, avg(q) OVER (PARTITION BY site, year ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS s FROM y),
+ x AS (SELECT *, floor((s - lag(s) OVER (PARTITION BY site, year ORDER BY day)) * 1e6 + 0.5) AS st, min(s) OVER (PARTITION BY site, year) AS lo, max(s) OVER (PARTITION BY site, year) AS hi FROM s)
+ SELECT site, year, min(day) FILTER (s > lo + 0.5 * (hi - lo)) AS above_start, max(day) FILTER (s > lo + 0.5 * (hi - lo)) AS above_end, arg_min(day, struct_pack(a := coalesce(-st, 1e300), b := day)) AS rise, arg_min(day, struct_pack(a := coalesce(st, 1e300), b := day)) AS fall FROM x GROUP BY 1, 2""")
 def e27(spark, d):
     return windows.phenology(daily(spark, d).withColumn("year", F.expr("day div 365")), ["site", "year"], "day", "q")
 
