@@ -120,3 +120,31 @@ def test_header_and_grid_vocabularies(spark):
     g = spark.createDataFrame([(1.0, 5, 1, 0, 280.0), (1.0, 5, 5, 0, 281.0), (1.0, 5, 5, 1, 290.0), (2.0, 5, 1, 0, 270.0)], "lat double, valid_time long, expver int, number int, T2M double")
     out = vocabulary.standard_grid(g)
     assert sorted(out.columns) == ["2m_temperature", "latitude", "time"] and [tuple(r) for r in out.collect()] == [(1.0, 5, 281.0)]
+
+
+def test_bearing_search_against_walking_the_circles(spark):
+    """The first known cell on circles of growing radius, eight bearings each, the point's own cell first."""
+    import math
+
+    from gridloom.operators import joins
+
+    rng = np.random.default_rng(9)
+    cells = {(float(a), float(o)): float(rng.random()) for a, o in {(int(x), int(y)) for x, y in rng.integers(-6, 7, (40, 2))}}
+    points = [(i, float(a), float(o)) for i, (a, o) in enumerate(rng.uniform(-6, 6, (30, 2)))]
+
+    def walk(lat, lon, km, bearing):
+        d, a, b = km / 6371, math.radians(lat), math.radians(bearing)
+        y = math.asin(math.sin(a) * math.cos(d) + math.cos(a) * math.sin(d) * math.cos(b))
+        x = math.radians(lon) + math.atan2(math.sin(b) * math.sin(d) * math.cos(a), math.cos(d) - math.sin(a) * math.sin(y))
+        return math.degrees(y), math.degrees(x)
+
+    radii = (60.0, 150.0, 300.0)
+    got = {r["id"]: (r["v"], r["km"]) for r in joins.bearing_search(spark.createDataFrame(points, "id int, lat double, lon double"), spark.createDataFrame([(a, o, v) for (a, o), v in cells.items()], "clat double, clon double, v double"), ["id"], 1.0, radii, 8, "v").collect()}
+    for i, lat, lon in points:
+        want = (None, None)
+        for km, bearing in [(0.0, 0.0)] + [(r, 45.0 * b) for r in radii for b in range(8)]:
+            a, o = walk(lat, lon, km, bearing)
+            if (v := cells.get((float(round(a)), float(round(o))))) is not None:
+                want = (v, km)
+                break
+        assert got[i] == want
