@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,6 +71,14 @@ def crc_bucket(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system. Python workers outlive their tasks, and those of the next stage stand beside them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(lengths: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges whose lengths sum to about ``limit``; one text that is longer stands alone."""
     lo = total = 0
@@ -105,6 +114,8 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict], schema: str, keep_text:
                 arrays = [part.column(part.schema.get_field_index(n)).cast(arrow.field(n).type) for n in names]
                 arrays += [pa.array(cols[f.name], type=f.type) for f in list(arrow)[len(names):]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            batch = texts = cols = part = arrays = None
+            release()
 
     return df.mapInArrow(run, out)
 

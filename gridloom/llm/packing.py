@@ -15,6 +15,7 @@ that the configurations have for it.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -24,18 +25,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import CHUNK_CHARS, id_text, keep, read, slices
+from .common import CHUNK_CHARS, id_text, keep, read, release, slices
 
 _coders: dict[str, object] = {}
 
 
 def _coder(path: str):
-    """A fast encoder with the vocabulary at ``path``; ids are those of the backtracking encoder."""
+    """A fast encoder with the vocabulary at ``path``; ids are those of the backtracking encoder, which is only loaded for very long texts."""
     if path not in _coders:
         import tiktoken
 
-        b = bpe.load(path)
-        _coders[path] = tiktoken.Encoding("corpus", pat_str=bpe.PIECES, mergeable_ranks=b.ids, special_tokens=b.special)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet = bpe.byte_alphabet()
+        ranks = {bytes(alphabet[c] for c in s): i for s, i in spec["model"]["vocab"].items()}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        _coders[path] = tiktoken.Encoding("corpus", pat_str=bpe.PIECES, mergeable_ranks=ranks, special_tokens=special)
     return _coders[path]
 
 
@@ -67,6 +72,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
                         rows.append((k, s, n, zlib.crc32(seq[s : s + n].tobytes())))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
