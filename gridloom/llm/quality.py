@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, id_text, map_texts, read
+from .common import crc_bucket, id_text, map_texts, read, release
 from .pooled import pooled
 from .textnum import Texts
 from .training import balanced_ids, sparse_sample
@@ -68,7 +68,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows_per_
         return np.zeros((1 << BITS, 1), np.float32), np.zeros(1, np.float32)
     m = SubwordClassifier(2).fit([(int(y), i, c) for y, i, c in sample])
     z = m.logits()
-    return z[:, 1:] - z[:, :1], m.bias[1:] - m.bias[:1]
+    out = z[:, 1:] - z[:, :1], m.bias[1:] - m.bias[:1]
+    del sample, m, z
+    release()
+    return out
 
 
 def score(docs: DataFrame, table: np.ndarray, bias: np.ndarray, keep_text: bool = False) -> DataFrame:

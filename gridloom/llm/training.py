@@ -49,6 +49,8 @@ def sparse_sample(docs: DataFrame, ids: DataFrame, column: str, bits: int, grams
     size, so it is broadcast."""
     chosen = docs.join(F.broadcast(ids.select("doc_id", F.col(column).alias("_label"))), "doc_id").select("doc_id", "_label", "text")
     rows = map_texts(chosen, lambda t: sparse(Texts(t), bits, grams, words), "idx binary, cnt binary")
-    rows = byte_cut(rows, F.octet_length("idx") + F.octet_length("cnt")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return [(r["_label"], np.frombuffer(r["idx"], np.int32), np.frombuffer(r["cnt"], np.float32)) for r in rows]
+    got = byte_cut(rows, F.octet_length("idx") + F.octet_length("cnt")).select("doc_id", "_label", "idx", "cnt").toArrow()
+    # views of the batches that came, not copies: the sample is the largest thing a driver holds
+    label, order = got.column("_label").to_pylist(), np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    view = lambda c, i, kind: np.frombuffer(got.column(c)[i].as_buffer(), kind)
+    return [(label[i], view("idx", i, np.int32), view("cnt", i, np.float32)) for i in order.tolist()]
