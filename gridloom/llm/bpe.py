@@ -28,6 +28,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN_PIECES = rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
+#: Pairs in the compatibility table at most; a worker that meets more begins it anew.
+TABLE_PAIRS = 1_000_000
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabulary files: printable bytes stand for themselves, the others follow from 256."""
@@ -80,6 +83,8 @@ class Bpe:
         """Whether merging the bytes of a and b by rank leaves just a and b. Kept in a table of the pairs met."""
         found = self.fits.get((a, b))
         if found is None:
+            if len(self.fits) >= TABLE_PAIRS:
+                self.fits.clear()
             found = self.fits[(a, b)] = self._unmerged(a, b)
         return found
 
