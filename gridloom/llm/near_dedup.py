@@ -93,7 +93,10 @@ def _common_values(reps: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(v[c > 1]), pa.array(c[c > 1])], ["value", "n"])
 
     found = reps.select("sketch").mapInArrow(count, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_ROWS).orderBy(F.desc("n"), "value").limit(COMMON_VALUES)
-    return np.array(sorted((r.n, r.value) for r in found.collect()), np.int64).reshape(-1, 2)
+    got = found.toArrow()  # two columns of numbers; rows would take many times their memory
+    n, value = (got.column(c).to_numpy().astype(np.int64) for c in ("n", "value"))
+    order = np.lexsort((value, n))
+    return np.stack((n[order], value[order]), 1)
 
 
 def _prefixes(reps: DataFrame, common: np.ndarray, k: int, least: int, percent: int) -> DataFrame:
