@@ -22,20 +22,14 @@ def centred(df: DataFrame, keys: list[str], order: str, width: int, stats: dict[
     """Adaptive centred rolling: ``width`` rows, shifted inward at both ends; an even width takes one more row inside; a series no longer
     than the width uses all of it. ``stats`` maps a name to a function from a window to a column, such as ``lambda w: F.avg("v").over(w)``."""
     h = width // 2
-    w, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
-    out = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(whole))
-    head = (F.col("_i") + h + 1 < width) & (F.col("_n") > width)
-    tail = (F.col("_i") - h > F.col("_n") - width) & (F.col("_n") > width)
-    inner = w.rowsBetween(-h, h)
-    for name, f in stats.items():
-        edge = f(Window.partitionBy(*keys, "_end"))
-        marked = out.withColumn("_end", F.when(F.col("_n") <= width, 0).when(F.col("_i") < width, 1).otherwise(2))
-        first = F.when(F.col("_end") <= 1, edge)
-        marked = marked.withColumn("_first", F.max(first).over(whole))
-        marked = marked.withColumn("_end", F.when(F.col("_n") <= width, 0).when(F.col("_i") >= F.col("_n") - width, 1).otherwise(2))
-        marked = marked.withColumn("_last", F.max(F.when(F.col("_end") <= 1, edge)).over(whole))
-        out = marked.withColumn(name, F.when((F.col("_n") <= width) | head, F.col("_first")).when(tail, F.col("_last")).otherwise(f(inner))).drop("_end", "_first", "_last")
-    return out.drop("_i", "_n")
+    w = Window.partitionBy(*keys).orderBy(order)
+    # the window of the first rows is what lies ahead of the first one, that of the last rows what lies behind the last: one sort does for all
+    start, end = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, h)
+    made = [c for name, f in stats.items() for c in (f(w.rowsBetween(0, width - 1)).alias(f"_f_{name}"), f(w.rowsBetween(-(width - 1), 0)).alias(f"_l_{name}"), f(w.rowsBetween(-h, h)).alias(f"_c_{name}"))]
+    out = df.select("*", F.row_number().over(w).alias("_i"), F.count(F.lit(1)).over(w.rowsBetween(1, width)).alias("_ahead"), *made)
+    head = (F.col("_i") + F.col("_ahead") <= width) | (F.col("_i") + h < width)
+    tail = F.col("_ahead") < width - h - 1
+    return out.select(*(c for c in df.columns if c not in stats), *(F.when(head, F.first(f"_f_{n}").over(start)).when(tail, F.last(f"_l_{n}").over(end)).otherwise(F.col(f"_c_{n}")).alias(n) for n in stats))
 
 
 def outliers_by_month(df: DataFrame, keys: list[str], value: str, n_std: float, out: str = "outlier") -> DataFrame:
@@ -44,11 +38,16 @@ def outliers_by_month(df: DataFrame, keys: list[str], value: str, n_std: float,
     return df.withColumn(out, F.coalesce(F.abs(F.col(value) - F.avg(value).over(w)) > n_std * F.stddev_samp(value).over(w), F.lit(False)))
 
 
+def _far(value: str, mean: str, dev: str, keys: list[str], n_std: float) -> Column:
+    """Farther from the mean than ``n_std`` deviations; a zero deviation is replaced by the series' mean one."""
+    s = F.when(F.col(dev) == 0, F.avg(dev).over(Window.partitionBy(*keys))).otherwise(F.col(dev))
+    return F.coalesce(F.abs(F.col(value) - F.col(mean)) > n_std * s, F.lit(False))
+
+
 def outliers_rolling(df: DataFrame, keys: list[str], order: str, value: str, width: int, n_std: float, out: str = "outlier") -> DataFrame:
     """Farther from the adaptive centred mean than ``n_std`` population deviations; a zero deviation is replaced by the series' mean one."""
     df = centred(df, keys, order, width, {"_m": lambda w: F.avg(value).over(w), "_s": lambda w: F.stddev_pop(value).over(w)})
-    s = F.when(F.col("_s") == 0, F.avg("_s").over(Window.partitionBy(*keys))).otherwise(F.col("_s"))
-    return df.withColumn("_s", s).withColumn(out, F.coalesce(F.abs(F.col(value) - F.col("_m")) > n_std * F.col("_s"), F.lit(False))).drop("_m", "_s")
+    return df.withColumn(out, _far(value, "_m", "_s", keys, n_std)).drop("_m", "_s")
 
 
 def outliers_mad(df: DataFrame, keys: list[str], order: str, value: str, width: int, n_mad: float, out: str = "outlier", piece: int | None = None) -> DataFrame:
@@ -79,15 +78,18 @@ def outliers_global_fallback(df: DataFrame, keys: list[str], order: str, value:
 def day_night_outliers(df: DataFrame, keys: list[str], order: str, value: str, is_day: Column, width: int, day_std: float, night_std: float, out: str = "outlier") -> DataFrame:
     """Day and night values are judged apart, each against the series with the other half missing."""
     df = df.withColumn("_day", F.when(is_day, F.col(value))).withColumn("_night", F.when(~is_day, F.col(value)))
-    df = outliers_rolling(df, keys, order, "_day", width, day_std, "_od")
-    df = outliers_rolling(df, keys, order, "_night", width, night_std, "_on")
-    return df.withColumn(out, F.col("_od") | F.col("_on")).drop("_day", "_night", "_od", "_on")
+    stats = {f"_{n}{half}": (lambda w, f=f, half=half: f(half).over(w)) for half in ("_day", "_night") for n, f in (("m", F.avg), ("s", F.stddev_pop))}
+    df = centred(df, keys, order, width, stats)
+    far = _far("_day", "_m_day", "_s_day", keys, day_std) | _far("_night", "_m_night", "_s_night", keys, night_std)
+    return df.withColumn(out, far).drop("_day", "_night", *stats)
 
 
 def variability(df: DataFrame, keys: list[str], order: str, value: str, width: int, max_cv: float, max_std: float, out: str = "unstable") -> DataFrame:
-    """Rolling coefficient of variation or population deviation above its limit."""
+    """Rolling coefficient of variation or population deviation above its limit; with a mean of 0 the coefficient is above every limit, as a
+    division of doubles and the order of not-a-number have it."""
     df = centred(df, keys, order, width, {"_m": lambda w: F.avg(value).over(w), "_s": lambda w: F.stddev_pop(value).over(w)})
-    return df.withColumn(out, F.coalesce(F.col(value).isNotNull() & ((F.col("_s") / F.col("_m") > max_cv) | (F.col("_s") > max_std)), F.lit(False))).drop("_m", "_s")
+    cv = F.when(F.col("_m") == 0, F.col("_s").isNotNull()).otherwise(F.col("_s") / F.nullif(F.col("_m"), F.lit(0.0)) > max_cv)
+    return df.withColumn(out, F.coalesce(F.col(value).isNotNull() & (cv | (F.col("_s") > max_std)), F.lit(False))).drop("_m", "_s")
 
 
 def baseline(df: DataFrame, keys: list[str], order: str, value: str, is_night: Column, width: int, quantile: float, least: int, out: str = "corrected") -> DataFrame:

@@ -197,3 +197,26 @@ def test_rows_without_a_feature_stay(spark):
     df = spark.createDataFrame([(i, float(i), None if i % 5 == 0 else float(i % 7), i % 2) for i in range(60)], "id long, y double, x double, fold int")
     got = ml.out_of_fold(df, ["x"], "y", "fold", 2, maxDepth=2, numTrees=3).collect()
     assert len(got) == 60 and all((r["prediction"] is None) == (r["id"] % 5 == 0) for r in got)
+
+
+def test_variability_with_a_mean_of_zero(spark):
+    """A window of zeros alone, and one of values that cancel out."""
+    rows = [("a", t, 0.0 if t < 4 else None) for t in range(8)] + [("b", t, (-1.0) ** t) for t in range(4)] + [("c", t, 5.0) for t in range(4)] + [("d", 0, None)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    got = {(r["k"], r["t"]): r["unstable"] for r in windows.variability(df, ["k"], "t", "v", 4, 1.0, 30.0).collect()}
+    assert all(got[k, t] == (k in "ab" and v is not None) for k, t, v in rows) and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("width", [2, 3, 8, 9])
+def test_centred_on_short_and_long_series(spark, width):
+    """Every length about the width, against the windows written out."""
+    lengths = {f"n{n}": n for n in (*range(1, width + 3), 3 * width)}
+    rows = [(k, t, float(t * t % 7)) for k, n in lengths.items() for t in range(n)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    got = {(r["k"], r["t"]): r["m"] for r in windows.centred(df, ["k"], "t", width, {"m": lambda w: F.avg("v").over(w)}).collect()}
+    h = width // 2
+    for k, n in lengths.items():
+        v = [float(t * t % 7) for t in range(n)]
+        for i in range(n):
+            lo, hi = (0, n) if n <= width else (0, width) if i + h + 1 < width else (n - width, n) if i - h > n - width else (max(0, i - h), min(n, i + h + 1))
+            assert got[k, i] == pytest.approx(sum(v[lo:hi]) / (hi - lo))
