@@ -207,6 +207,23 @@ def test_variability_with_a_mean_of_zero(spark):
     assert all(got[k, t] == (k in "ab" and v is not None) for k, t, v in rows) and len(got) == len(rows)
 
 
+def test_calendar_of_odd_keys_and_times(spark):
+    """Null times make no bins, the bins of a null key stay empty, and a step of several rows starts at a multiple of it."""
+    rows = [("a", 5, 1.0), ("a", 14, None), ("a", None, 9.0), (None, 1, 2.0), (None, 7, 3.0), ("b", None, 1.0), ("c", -3, 4.0)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    got = sorted((tuple(r) for r in resample.calendar(df, ["k"], "t", 4, {"m": ("mean", "v"), "n": ("count", "v")}).collect()), key=repr)
+    assert got == sorted([("a", 4, 1.0, 1), ("a", 8, None, 0), ("a", 12, None, 0), (None, 0, None, 0), (None, 4, None, 0), ("c", -4, 4.0, 1)], key=repr)
+
+
+def test_series_are_dealt_out_by_the_rows_they_grow_to(spark, monkeypatch):
+    """Two far rows a key make many bins: they must not all be sorted in one task."""
+    monkeypatch.setattr(resample, "ROWS_A_TASK", 100)
+    df = spark.range(20).selectExpr("id % 10 as k", "(id div 10) * 99 as t", "1.0D as v")
+    out = windows.outliers_rolling(resample.calendar(df, ["k"], "t", 1, {"v": ("mean", "v")}), ["k"], "t", "v", 4, 2.0)
+    rows = out.groupBy(F.spark_partition_id()).count().collect()
+    assert out.rdd.getNumPartitions() >= 10 and sum(r["count"] for r in rows) == 1000
+
+
 @pytest.mark.parametrize("width", [2, 3, 8, 9])
 def test_centred_on_short_and_long_series(spark, width):
     """Every length about the width, against the windows written out."""
@@ -220,3 +237,10 @@ def test_centred_on_short_and_long_series(spark, width):
         for i in range(n):
             lo, hi = (0, n) if n <= width else (0, width) if i + h + 1 < width else (n - width, n) if i - h > n - width else (max(0, i - h), min(n, i + h + 1))
             assert got[k, i] == pytest.approx(sum(v[lo:hi]) / (hi - lo))
+
+
+def test_composites_with_unknown_ends(spark):
+    rows = [("a", 1, None), ("a", 3, 2.0), ("a", 5, None), ("a", 7, 6.0), ("a", 9, None), ("b", 4, None), ("b", 6, None), ("c", 2, 1.0), (None, 1, 1.0), (None, 2, 2.0)]
+    df = spark.createDataFrame(rows, "k string, d long, v double")
+    got = {(r["k"], r["d"]): r["v"] for r in resample.composites_to_daily(df, ["k"], "d", "v").collect()}
+    assert got == {("a", 1): None, ("a", 2): None, **{("a", d): float(d - 1) for d in range(3, 8)}, ("a", 8): None, ("a", 9): None, ("b", 4): None, ("b", 5): None, ("b", 6): None, ("c", 2): 1.0, (None, 1): None, (None, 2): None}
