@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from gridloom.sources.shared import kept
 
-from . import neighbours, quantiles
+from . import quantiles
+from .neighbours import _matrix
 
 #: Numbers of training vectors (rows x features) that are broadcast at most; a larger cloud is dealt out in blocks of so many.
-CLOUD_NUMBERS = 4_000_000
+CLOUD_NUMBERS = 2_000_000
+#: Rows and columns of the distances that a task has at once.
+TILE = 512, 2048
 
 
 def statistics(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
@@ -29,19 +32,43 @@ def scale(x: np.ndarray, mean: np.ndarray, std: np.ndarray, weight: np.ndarray |
     return z if weight is None else z * weight
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.array(column.to_pylist(), float).reshape(-1, width)
+def _whole(df: DataFrame, vector: str) -> DataFrame:
+    """Rows with a vector of known numbers."""
+    return df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
 
 
-def _distances(x: np.ndarray, c: np.ndarray, lo: int) -> np.ndarray:
-    """Squared distances of rows x to 2,048 rows of c from ``lo`` on."""
-    part = c[lo : lo + 2048]
-    return (x * x).sum(1)[:, None] + (part * part).sum(1)[None, :] - 2 * x @ part.T
+def _tiles(x: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, squared distances) for tiles of the rows of x against those of c, right up to rounding; a tile is valid until the next."""
+    left = np.hstack([-2 * x, (x * x).sum(1)[:, None], np.ones((len(x), 1))])
+    right = np.hstack([c, np.ones((len(c), 1)), (c * c).sum(1)[:, None]])
+    space = np.empty(TILE[0] * TILE[1])
+    for i in range(0, len(x), TILE[0]):
+        a = left[i : i + TILE[0]]
+        for j in range(0, len(c), TILE[1]):
+            b = right[j : j + TILE[1]]
+            yield i, j, np.matmul(a, b.T, out=space[: len(a) * len(b)].reshape(len(a), len(b)))
+
+
+def _blocks(df: DataFrame, columns: list[str], parts: int, name: str) -> DataFrame:
+    """Kept rows with ``_b``, one of so many blocks of about equal size, dealt out by row and not by value, so that equal vectors are spread."""
+    return kept(df.select(*columns, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("_b")), name)
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, i: int, j: int, columns: list[str], right_columns: list[str], fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, half: bool = False) -> DataFrame:
+    """``fn`` for every pair of the i and j blocks, a pair a task; with ``half`` only for pairs whose left block doesn't come after the right one."""
+    to, since = F.lit(j - 1), F.lit(i - 1)
+    left = left.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.col("_b") if half else F.lit(0), to)))
+    right = right.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b") if half else since)))
+    pairs = i * j if not half else i * (i + 1) // 2
+    left = left.select(*columns, "_i", "_j").repartition(pairs, "_i", "_j")
+    right = right.select(*(F.col(c).alias(f"_t{k}") for k, c in enumerate(right_columns)), "_i", "_j").repartition(pairs, "_i", "_j")
+    own, other = [*columns, "_i", "_j"], [f"_t{k}" for k in range(len(right_columns))]
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(lambda a, b: fn(a.select(own), b.select(other)), schema)
 
 
 def _against_cloud(df: DataFrame, train: DataFrame, columns: list[str], train_columns: list[str], width: int, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``fn(rows, cloud)`` for every block of rows and block of the training cloud. A cloud of at most ``CLOUD_NUMBERS`` numbers is one block
-    that is broadcast; of a larger one the blocks meet on the executors, dealt out by row and not by value, so that equal vectors are spread."""
+    that is broadcast; of a larger one the blocks meet on the executors: a row is sent to as many tasks as the other side has blocks."""
     df, train = df.select(*columns), train.select(*train_columns)
     n = train.count()
     if n * width <= CLOUD_NUMBERS:
@@ -51,60 +78,73 @@ def _against_cloud(df: DataFrame, train: DataFrame, columns: list[str], train_co
             for b in batches:
                 yield from fn(pa.Table.from_batches([b]), shared.value).to_batches()
 
-        return df.mapInArrow(run, schema)
-    # rows are fixed before they are dealt out: a task that runs again must deal its rows as before
-    df, train = kept(df, "rows"), kept(train, "cloud")
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(cores).mapInArrow(run, schema)
     rows = max(1, CLOUD_NUMBERS // width)
-    i, j = -(-df.count() // rows), -(-n // rows)
-    deal = lambda parts: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
-    left = df.withColumn("_i", deal(i)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(j - 1))))
-    right = train.withColumn("_j", deal(j)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(i - 1))))
-    right = right.select(*(F.col(c).alias(f"_t{k}") for k, c in enumerate(train_columns)), F.col("_i").cast("long"), F.col("_j").cast("long"))
-    left = left.select(*columns, F.col("_i").cast("long"), F.col("_j").cast("long"))
-    meet = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j"))
-    return meet.applyInArrow(lambda a, b: fn(a.select(columns), b.select([f"_t{k}" for k in range(len(train_columns))])), schema)
+    i, j = max(1, -(-df.count() // rows)), -(-n // rows)
+    return _block_pairs(_blocks(df, columns, i, "rows"), _blocks(train, train_columns, j, "cloud"), i, j, columns, train_columns, fn, schema)
 
 
 def nearest_distance(df: DataFrame, train: DataFrame, vector: str, mean: np.ndarray, std: np.ndarray, weight: np.ndarray | None = None, fold: str | None = None, id_col: str = "id") -> DataFrame:
-    """(id, nearest): distance to the nearest training vector, of another fold if ``fold`` is named (null if there is none).
+    """(id, nearest): distance to the nearest training vector, of another fold if ``fold`` is named (null if there is none, and for rows that lack
+    a number).
 
-    Rows meet a cloud of one block as matrix products; a larger cloud is searched by pivots (``neighbours.nearest``), which leaves out the
-    blocks that can't hold a nearer vector.
+    Blocks meet as matrix products; the pair found is measured again by differences, so equal vectors have distance 0. All pairs are compared:
+    in tens of dimensions the triangle inequality spares little, and looking for it moves each vector more often than a product needs it.
     """
     width, extra = len(mean), [fold] if fold else []
-    if train.count() * width > CLOUD_NUMBERS:
-        near = neighbours.nearest(df, train.withColumn("_point", F.lit(0)), 1, vector, id_col, other=fold, move=lambda x: scale(x, mean, std, weight), point_id="_point")
-        return near.groupBy(id_col).agg(F.min(F.col("near")[0]["distance"]).alias("nearest"))
 
     def run(rows: pa.Table, cloud: pa.Table) -> pa.Table:
-        x, c = (scale(_matrix(t, width), mean, std, weight) for t in (rows.column(1), cloud.column(0)))
-        own, folds = (np.array(t.to_pylist()) for t in (rows.column(2), cloud.column(1))) if fold else (None, None)
-        best = np.full(len(x), np.inf)
-        for lo in range(0, len(c), 2048):
-            d = _distances(x, c, lo)
+        if not rows.num_rows or not cloud.num_rows:
+            return pa.table({id_col: pa.array([], pa.int64()), "nearest": pa.array([], pa.float64())})
+        x, c = (scale(_matrix(t), mean, std, weight) for t in (rows.column(1), cloud.column(0)))
+        if fold:
+            codes = pa.chunked_array([*rows.column(2).chunks, *cloud.column(1).chunks]).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            own, folds = codes[: len(x)], codes[len(x) :]
+        best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+        for i, j, d in _tiles(x, c):
             if fold:
-                d = np.where(own[:, None] == folds[None, lo : lo + 2048], np.inf, d)
-            best = np.minimum(best, d.min(1))
-        near = [float(np.sqrt(max(v, 0.0))) if np.isfinite(v) else None for v in best]
-        return pa.table({id_col: rows.column(0).cast(pa.int64()), "nearest": pa.array(near, pa.float64())})
+                np.copyto(d, np.inf, where=own[i : i + len(d), None] == folds[None, j : j + d.shape[1]])
+            k = d.argmin(1)
+            v = d[np.arange(len(d)), k]
+            less = np.flatnonzero(v < best[i : i + len(d)])
+            best[i + less], at[i + less] = v[less], j + k[less]
+        near = np.concatenate([np.sqrt(((x[i : i + 8192] - c[at[i : i + 8192]]) ** 2).sum(1)) for i in range(0, len(x), 8192)])
+        return pa.table({id_col: rows.column(0).cast(pa.int64()), "nearest": pa.array(near, mask=~np.isfinite(best))})
+
+    asked = df.select(id_col, vector, *extra)
+    out = _against_cloud(_whole(asked, vector), _whole(train, vector), [id_col, vector, *extra], [vector, *extra], width, run, f"`{id_col}` bigint, nearest double")
+    return asked.select(F.col(id_col).cast("long").alias(id_col), F.lit(None).cast("double").alias("nearest")).unionByName(out).groupBy(id_col).agg(F.min("nearest").alias("nearest"))
 
-    out = _against_cloud(df, train, [id_col, vector, *extra], [vector, *extra], width, run, f"`{id_col}` bigint, nearest double")
-    return out.groupBy(id_col).agg(F.min("nearest").alias("nearest"))
+
+def _sums(rows: pa.Table, cloud: pa.Table, mean: np.ndarray, std: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
+    """Sum of the distances of each row to the cloud; vectors are the last columns but for the blocks' numbers."""
+    x, c = (scale(_matrix(t), mean, std, weight) for t in (rows, cloud))
+    sums = np.zeros(len(x))
+    for i, _, d in _tiles(x, c):
+        np.copyto(d, 0.0, where=d <= 1e-10)
+        sums[i : i + len(d)] += np.sqrt(d, out=d).sum(1)
+    return sums
 
 
 def mean_distance(df: DataFrame, vector: str, mean: np.ndarray, std: np.ndarray, weight: np.ndarray | None = None) -> float:
-    """Mean distance over all pairs, block against block; one sum reaches the driver."""
+    """Mean distance over all pairs of rows with a whole vector, block against block, each pair of blocks once; one sum reaches the driver."""
+    df = _whole(df, vector)
+    n, width = df.count(), len(mean)
 
     def run(rows: pa.Table, cloud: pa.Table) -> pa.Table:
-        x, c = (scale(_matrix(t.column(0), len(mean)), mean, std, weight) for t in (rows, cloud))
-        s = 0.0
-        for lo in range(0, len(c), 2048):
-            d = _distances(x, c, lo)
-            s += float(np.sqrt(np.where(d > 1e-10, d, 0.0)).sum())
-        return pa.table({"s": [s]})
+        if not rows.num_rows or not cloud.num_rows:
+            return pa.table({"s": pa.array([], pa.float64())})
+        times = 1.0 if "_i" not in rows.column_names or rows.column("_i")[0] == rows.column("_j")[0] else 2.0
+        return pa.table({"s": [times * float(_sums(rows.column(0), cloud.column(0), mean, std, weight).sum())]})
 
-    n = df.count()
-    total = _against_cloud(df, df, [vector], [vector], len(mean), run, "s double").agg(F.sum("s")).first()[0] or 0.0
+    if n * width <= CLOUD_NUMBERS:
+        parts = _against_cloud(df, df, [vector], [vector], width, run, "s double")
+    else:
+        k = -(-n // max(1, CLOUD_NUMBERS // width))
+        blocks = _blocks(df, [vector], k, "cloud")
+        parts = _block_pairs(blocks, blocks, k, k, [vector], [vector], run, "s double", half=True)
+    total = parts.agg(F.sum("s")).first()[0] or 0.0
     return total / (n * (n - 1)) if n > 1 else 0.0
 
 
@@ -122,12 +162,7 @@ def sampled_mean_distance(df: DataFrame, vector: str, mean: np.ndarray, std: np.
     chosen = kept(cut.orderBy(F.xxhash64(id_col, F.lit(11)), id_col).limit(sample).select(id_col, vector), "sample")
 
     def run(rows: pa.Table, cloud: pa.Table) -> pa.Table:
-        x, c = (scale(_matrix(t.column(t.column_names[-1]), len(mean)), mean, std, weight) for t in (rows, cloud))
-        sums = np.zeros(len(x))
-        for lo in range(0, len(c), 2048):
-            d = _distances(x, c, lo)
-            sums += np.sqrt(np.where(d > 1e-10, d, 0.0)).sum(1)
-        return pa.table({"id": rows.column(0).cast(pa.int64()), "s": sums})
+        return pa.table({"id": rows.column(0).cast(pa.int64()), "s": _sums(rows.column(1), cloud.column(0), mean, std, weight)})
 
     m = chosen.count()
     per_row = _against_cloud(chosen, chosen, [id_col, vector], [vector], len(mean), run, "id bigint, s double").groupBy("id").agg((F.sum("s") / (m - 1)).alias("s"))

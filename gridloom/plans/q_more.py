@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
 from gridloom.operators import aoa, fill, joins, split
+from gridloom.sources.shared import kept
 
 from .base import GRID, OBS, grid, near, obs, query, rounded, table
 from .q_grid import _SC, _STD, _sc, _vectors
@@ -64,7 +65,8 @@ def _di(spark, d):
     v = _vectors(spark, d)
     m, s = aoa.statistics(v, "x")
     d_bar = aoa.mean_distance(v, "x", m, s)
-    return v, m, s, d_bar, aoa.nearest_distance(v, v, "x", m, s, fold="fold").select("id", (F.col("nearest") / d_bar).alias("di"))
+    di = kept(aoa.nearest_distance(v, v, "x", m, s, fold="fold").select("id", (F.col("nearest") / d_bar).alias("di")), "di")
+    return v, m, s, d_bar, di
 
 
 @query("d77_training_di", f"WITH {_DIX} SELECT id, round(di, 3) AS di FROM di")

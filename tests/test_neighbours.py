@@ -118,3 +118,21 @@ def test_a_long_series_is_filled_in_bounded_tasks(spark):
     df = spark.range(60_000).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.when((F.col("id") % 300 < 290), 5 + F.sin(F.col("id") / 5) + F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("v"))
     got = fill.nearest_in_lags(df, ["k"], "t", "v").agg(F.count("filled"), F.max("filled")).first()
     assert got[0] == 60_000 and got[1] < 8 and time.time() - t < 240
+
+
+@pytest.mark.parametrize("numbers", [10_000, 30])
+def test_distances_in_tiles(spark, monkeypatch, numbers):
+    """Equal vectors far from the mean are at distance 0, rows that lack a number find nothing, and no more than a tile of distances exists at once."""
+    x = np.random.default_rng(4).normal(0, 1, (40, 3))
+    x[:, 0] += 1e6
+    rows = [(i, v.tolist(), i % 4) for i, v in enumerate(x)] + [(40 + i, v.tolist(), 9) for i, v in enumerate(x)] + [(90, None, 1), (91, [1.0, None, 2.0], 1)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, fold int")
+    mean, std = np.zeros(3), np.ones(3)
+    monkeypatch.setattr(aoa, "CLOUD_NUMBERS", numbers)
+    monkeypatch.setattr(aoa, "TILE", (4, 5))
+    got = {r["id"]: r["nearest"] for r in aoa.nearest_distance(df, df, "x", mean, std, fold="fold").collect()}
+    assert got == {**{i: 0.0 for i in range(80)}, 90: None, 91: None}
+    assert max(d.size for _, _, d in aoa._tiles(x, x)) == 20
+    z = np.vstack([x, x])
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    assert aoa.mean_distance(df, "x", mean, std) == pytest.approx(d.sum() / (80 * 79), rel=1e-4)
