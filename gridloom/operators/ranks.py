@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.sources.shared import kept
 
 from .joins import small
+from .resample import dealt
 
 #: Rows of a series that are worked on at once.
 PIECE_ROWS = 8192
@@ -57,18 +58,37 @@ def dense_ranks(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame
     return join_same(df, values, order)
 
 
+def _over_series(df: DataFrame, keys: list[str], order: str, columns: list[str], fn: Callable[[dict[str, np.ndarray], np.ndarray, int, int, int], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``over_pieces`` of series that are a piece each; the other columns travel along."""
+    made = [c.split()[0] for c in schema.split(", ")]
+    names = df.columns
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        n = t.num_rows
+        got = fn({c: t.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns}, np.arange(n), 0, n, n)
+        return pa.table([*t.columns, *(pa.array(got[c]) for c in made)], names=[*names, *made])
+
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), schema])
+    return df.groupBy(*keys).applyInArrow(run, out)
+
+
 def over_pieces(df: DataFrame, keys: list[str], order: str, columns: list[str], halo: int, fn: Callable[[dict[str, np.ndarray], np.ndarray, int, int, int], dict[str, np.ndarray]], schema: str, piece: int | None = None) -> DataFrame:
     """``df`` with the columns of ``schema`` that ``fn`` makes of pieces of each series.
 
     A piece is ``piece`` rows of a series with ``halo`` rows more on each side, so ``fn(values, place, lo, hi, n)`` sees what a window of up to
     ``halo`` rows needs: arrays of the columns (not-a-number for null) in order, each row's place in its series from 0, the piece's own rows
-    [lo, hi) among them, and the length of the series. Long series spread over as many tasks as they have pieces.
+    [lo, hi) among them, and the length of the series. Long series spread over as many tasks as they have pieces; where no series is longer than a
+    piece, each is worked on as it lies, without numbers and a join.
     """
     piece = max(piece or PIECE_ROWS, halo)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("longest"), F.sum("n").alias("rows")).first()
+    if (sizes["longest"] or 0) <= piece:
+        return dealt(_over_series(df, keys, order, columns, fn, schema), keys, sizes["rows"] or 0)
     numbered = kept(row_numbers(df.select(*keys, order, *columns).withColumn("_t", F.col(order)), keys, [order], "_i").withColumn("_i", F.col("_i") - 1), "numbered")
     own = F.expr(f"_i div {piece}")
     near = F.array_distinct(F.array(own, F.expr(f"greatest(0, _i - {halo}) div {piece}"), F.expr(f"(_i + {halo}) div {piece}")))
-    dealt = numbered.withColumn("_piece", F.explode(near))
+    pieces = numbered.withColumn("_piece", F.explode(near))
     made = [c.split()[0] for c in schema.split(", ")]
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.select(*keys, order).schema.fields), schema])
 
@@ -82,5 +102,5 @@ def over_pieces(df: DataFrame, keys: list[str], order: str, columns: list[str],
         part = t.slice(lo, hi - lo)
         return pa.table([*(part.column(c) for c in (*keys, order)), *(pa.array(got[c]) for c in made)], names=[*keys, order, *made])
 
-    results = kept(dealt.groupBy(*keys, "_piece").applyInArrow(run, out), "pieces")
+    results = kept(pieces.groupBy(*keys, "_piece").applyInArrow(run, out), "pieces")
     return join_same(df, results, [*keys, order])

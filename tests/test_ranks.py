@@ -83,3 +83,19 @@ def test_a_long_series_slides_in_pieces(spark):
     t = time.time()
     found = windows.outliers_mad(df, ["k"], "t", "v", 720, 5.0).where("outlier").count()
     assert found == 41 and time.time() - t < 30
+
+
+def test_short_series_are_worked_on_as_they_lie(spark):
+    """Series of at most a piece need no numbers and no join, and give what pieces give; a null key is a series too."""
+    from gridloom.operators import ranks
+
+    rows = [(k, t, None if t % 5 == 3 else float(t * t % 11), f"{k}{t}") for k in ("a", "b", None) for t in range(30)]
+    df = spark.createDataFrame(rows, "k string, t long, v double, note string")
+
+    def run(values, place, lo, hi, n):
+        v = np.nan_to_num(values["v"])
+        return {"s": np.array([v[max(0, i - 2) : i + 3].sum() + n for i in range(lo, hi)])}
+
+    whole, cut = (ranks.over_pieces(df, ["k"], "t", ["v"], 2, run, "s double", p) for p in (30, 7))
+    assert "Join" not in whole._jdf.queryExecution().toString() and "Join" in cut._jdf.queryExecution().toString()
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, cut.collect())) and whole.count() == 90
