@@ -96,10 +96,10 @@ def akima(df: DataFrame, keys: list[str], time: str, value: str, out: str = "fil
     """Akima's piecewise cubic through the known rows (by row position); series of fewer than four known rows are interpolated linearly (edges
     extended); of others, rows outside the known range stay null, as ``nearest`` leaves them. Clipped at 0."""
     w = Window.partitionBy(*keys).orderBy(time)
-    placed = df.withColumn("_rn", F.row_number().over(w))
-    known = placed.where(F.col(value).isNotNull()).select(*keys, F.col("_rn").alias("_ax"), F.col(value).alias("_ay"))
-    k = Window.partitionBy(*keys).orderBy("_ax")
-    m = known.withColumn("_am0", (F.lead("_ay").over(k) - F.col("_ay")) / (F.lead("_ax").over(k) - F.col("_ax"))).withColumn("_acnt", F.count("*").over(Window.partitionBy(*keys)))
+    # the known rows of a series are a window of their own, so no join brings back what is found there
+    placed = df.withColumn("_rn", F.row_number().over(w)).withColumn("_aknown", F.col(value).isNotNull()).withColumn("_ay", F.col(value))
+    k = Window.partitionBy(*keys, "_aknown").orderBy("_rn")
+    m = placed.withColumn("_am0", (F.lead("_ay").over(k) - F.col("_ay")) / (F.lead("_rn").over(k) - F.col("_rn")))
     for i in (1, 2):
         m = m.withColumn(f"_ap{i}", F.lag("_am0", i).over(k)).withColumn(f"_an{i}", F.lead("_am0", i).over(k))
     # two slopes beyond each end continue the change of the slopes there
@@ -107,11 +107,10 @@ def akima(df: DataFrame, keys: list[str], time: str, value: str, out: str = "fil
     m = m.withColumn("_an1x", F.coalesce("_an1", 2 * F.col("_am0x") - F.col("_ap1x"))).withColumn("_ap2x", F.coalesce("_ap2", 2 * F.col("_ap1x") - F.col("_am0x")))
     a, b = F.abs(F.col("_an1x") - F.col("_am0x")), F.abs(F.col("_ap1x") - F.col("_ap2x"))
     t = m.withColumn("_ag", F.when(a + b > 1e-9, (a * F.col("_ap1x") + b * F.col("_am0x")) / (a + b)).otherwise((F.col("_ap1x") + F.col("_am0x")) / 2))
-    seg = t.select(*keys, "_ax", "_ay", "_ag", "_am0", "_acnt", (F.lead("_ax").over(k) - F.col("_ax")).alias("_ah"), F.lead("_ag").over(k).alias("_ag1"))
-    joined = placed.join(seg.withColumnRenamed("_ax", "_rn"), [*keys, "_rn"], "left")
-    last = F.last(F.when(F.col("_ay").isNotNull(), F.struct("_rn", "_ay", "_ag", "_am0", "_ah", "_ag1", "_acnt")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.max("_acnt").over(Window.partitionBy(*keys))
-    f = linear(joined.withColumn("_as", last).withColumn("_ac", F.coalesce(total, F.lit(0))).withColumnRenamed("_rn", "_ai"), keys, time, value, "_line").withColumnRenamed("_ai", "_rn")
+    seg = t.withColumn("_ah", F.lead("_rn").over(k) - F.col("_rn")).withColumn("_ag1", F.lead("_ag").over(k))
+    last = F.last(F.when(F.col("_aknown"), F.struct("_rn", "_ay", "_ag", "_am0", "_ah", "_ag1")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    placed = seg.select(*df.columns, "_rn", last.alias("_as"), F.count(value).over(Window.partitionBy(*keys)).alias("_ac"))
+    f = linear(placed.withColumnRenamed("_rn", "_ai"), keys, time, value, "_line").withColumnRenamed("_ai", "_rn")
     d = F.col("_rn") - F.col("_as._rn")
     h = F.col("_as._ah")
     cubic = F.col("_as._ay") + F.col("_as._ag") * d + (3 * F.col("_as._am0") - 2 * F.col("_as._ag") - F.col("_as._ag1")) / h * d * d + (F.col("_as._ag") + F.col("_as._ag1") - 2 * F.col("_as._am0")) / (h * h) * d * d * d

@@ -244,3 +244,12 @@ def test_composites_with_unknown_ends(spark):
     df = spark.createDataFrame(rows, "k string, d long, v double")
     got = {(r["k"], r["d"]): r["v"] for r in resample.composites_to_daily(df, ["k"], "d", "v").collect()}
     assert got == {("a", 1): None, ("a", 2): None, **{("a", d): float(d - 1) for d in range(3, 8)}, ("a", 8): None, ("a", 9): None, ("b", 4): None, ("b", 5): None, ("b", 6): None, ("c", 2): 1.0, (None, 1): None, (None, 2): None}
+
+
+def test_akima_needs_no_join(spark):
+    rows = [("a", t, None if t in (0, 4, 5, 9) else float(t * t % 7)) for t in range(10)] + [("b", t, float(t) if t in (2, 5) else None) for t in range(8)]
+    out = fill.akima(spark.createDataFrame(rows, "k string, t long, v double"), ["k"], "t", "v")
+    assert "Join" not in out._jdf.queryExecution().toString()
+    got = {(r["k"], r["t"]): r["filled"] for r in out.collect()}
+    assert all(got[k, t] == v for k, t, v in rows if v is not None) and got["a", 0] is None and got["a", 9] is None and got["a", 4] is not None
+    assert [got["b", t] for t in range(8)] == pytest.approx([2, 2, 2, 3, 4, 5, 5, 5])
