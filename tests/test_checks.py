@@ -101,6 +101,36 @@ def test_search_returns_what_it_tried(spark, rows):
     assert ml.search_table(spark, tried).count() == 4
 
 
+def test_search_reads_its_rows_once_however_many_settings(spark, rows):
+    read = spark.sparkContext.accumulator(0)
+
+    def look(y):
+        read.add(1)
+        return y
+
+    df = rows.withColumn("y", F.udf(look, "double")("y"))
+    tried = ml.search(df, ["a", "b"], "y", "fold", 3, {"numTrees": [1, 2], "maxDepth": [1, 2]})
+    assert 240 <= read.value <= 720 and len(tried) == 4  # a filter may look at the label once more
+    dealt = ml.search(rows.repartition(5), ["a", "b"], "y", "fold", 3, {"numTrees": [1, 2], "maxDepth": [1, 2]})
+    assert [r["error"] for r in dealt] == pytest.approx([r["error"] for r in tried])
+
+
+def test_trees_from_sums_by_vector(spark, rows, monkeypatch):
+    """Boosted trees are those of the rows; a forest's samples draw each row a Poisson number of times."""
+    few = rows.withColumn("a", F.round("a", 1)).withColumn("b", F.round("b", 1))
+    sums = ml.fit(few, ["a", "b"], "y", "boosted", maxIter=3, maxDepth=3)
+    monkeypatch.setattr(ml, "VECTORS", 0)
+    whole = ml.fit(few, ["a", "b"], "y", "boosted", maxIter=3, maxDepth=3)
+    one, other = ({r["id"]: r["prediction"] for r in ml.predict(m, few).collect()} for m in (sums, whole))
+    assert len(one) == 240 and one == pytest.approx(other)
+    big = spark.range(40_000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("y"))
+    got = ml.by_vector(big, ["a"], "y", [], 2).collect()
+    assert sum(r["_n"] for r in got) == 40_000 and len(got) == 7
+    assert all(abs(r[f"_w{t}"] / r["_n"] - 1) < 0.06 and abs(r[f"_s{t}"] / r[f"_w{t}"] - r["_y"]) < 0.2 for r in got for t in (0, 1)) and got[0]["_w0"] != got[0]["_w1"]
+    times = np.bincount([r[0] for r in big.select(ml._drawn(F.xxhash64("id"))).collect()], minlength=4) / 40_000
+    assert times[:4] == pytest.approx(np.exp(-1) / np.array([1, 1, 2, 6]), abs=0.01)
+
+
 def test_forward_selection_takes_what_helps(rows):
     steps = ml.forward_selection(rows, {"noise": ["c"], "main": ["a"], "step": ["b"]}, [], "y", "fold", 3, numTrees=5, maxDepth=5)
     assert [s[0] for s in steps][:2] == ["main", "step"] and all(x[1] > y[1] for x, y in zip(steps, steps[1:]))
