@@ -125,9 +125,8 @@ def fit(df: DataFrame, features: list[str], label: str, kind: str = "forest", **
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` with a prediction; rows that lack a feature stay, with a null prediction."""
-    complete = _complete(model.stages[0].getInputCols())
-    done = model.transform(df.where(complete)).drop("features")
-    return done.unionByName(df.where(~complete).withColumn("prediction", F.lit(None).cast("double")))
+    every = PipelineModel([model.stages[0].copy().setHandleInvalid("keep"), *model.stages[1:]])
+    return every.transform(df).drop("features").withColumn("prediction", F.when(_complete(model.stages[0].getInputCols()), F.col("prediction")))
 
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: int, kind: str = "forest", **params) -> DataFrame:

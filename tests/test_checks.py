@@ -142,6 +142,16 @@ def test_batch_scoring_is_the_median_of_its_models(rows):
     assert len(got) == 240 and all(r["ensemble"] == pytest.approx(np.median([r["m1"], r["m2"], r["m3"]])) for r in got)
 
 
+def test_scoring_reads_its_rows_once(rows):
+    models = {f"m{k}": ml.fit(rows, ["a", "b"], "y", "boosted", maxIter=k, maxDepth=2) for k in (1, 2)}
+    holes = rows.withColumn("a", F.when(F.col("id") % 5 != 0, F.col("a"))).withColumn("b", F.when(F.col("id") % 7 != 0, F.col("b")).otherwise(float("nan")))
+    scored = ml.score(holes, models, ["id"])
+    assert "Union" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    full = {r["id"]: r for r in ml.score(rows, models, ["id"]).collect()}
+    got = {r["id"]: r for r in scored.collect()}
+    assert len(got) == 240 and all(r == full[i] if i % 5 and i % 7 else r["m1"] is r["m2"] is r["ensemble"] is None for i, r in got.items())
+
+
 def test_header_and_grid_vocabularies(spark):
     df = spark.createDataFrame([("x", 1.0, 2.0, 3.0, 4)], "`SITE-code` string, Lat double, latitude double, `Elevation (m)` double, other int")
     assert vocabulary.standard_header(df, vocabulary.SITE).columns == ["si_code", "Lat", "si_lat", "si_elev", "other"]
