@@ -20,9 +20,10 @@ def truth_segments(df: DataFrame, keys: list[str], time: str, value: str, least:
     """keys, time, value and ``i`` (from 0): the rows of each series' longest run of known values, the earliest of equally long ones, if it has
     ``least`` rows."""
     known = islands(df.select(*keys, time, value), keys, time, F.col(value).isNotNull()).where(F.col(value).isNotNull())
-    runs = known.groupBy(*keys, "_island").agg(F.count("*").alias("_n"), F.min(time).alias("_start")).where(F.col("_n") >= least)
-    best = runs.groupBy(*keys).agg(F.max_by("_island", F.struct("_n", -F.col("_start"))).alias("_island"))
-    own = join_same(known, best, [*keys, "_island"]).drop("_island")
+    # windows over the shuffle that found the runs: a join would make the series again
+    run = Window.partitionBy(*keys, "_island")
+    sized = known.withColumn("_run", F.struct(F.count(F.lit(1)).over(run).alias("n"), (-F.min(time).over(run)).alias("start"))).where(F.col("_run.n") >= least)
+    own = sized.withColumn("_best", F.max("_run").over(Window.partitionBy(*keys))).where(F.col("_run") == F.col("_best")).select(*keys, time, value)
     return own.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1)
 
 
@@ -56,9 +57,10 @@ def masked(segments: DataFrame, keys: list[str], value: str, spans: DataFrame) -
 def run(segments: DataFrame, keys: list[str], time: str, value: str, sizes: list[int], reps: int, methods: dict[str, Method], by: list[str] | None = None) -> DataFrame:
     """Pooled errors (``skill.pooled``) of each method and size, and of each of ``by`` (such as the series) if named.
 
-    The hidden copies are written once; every method fills them as series of their own, and one aggregate scores the hidden rows of all. A
+    Segments and their hidden copies are written once; every method fills them as series of their own, and one aggregate scores the hidden rows of all. A
     row that a method leaves empty doesn't count, and shows in n.
     """
+    segments = kept(segments, "segments")
     lengths = segments.groupBy(*keys).agg(F.count("*").alias("_n"))
     copies = kept(masked(segments, keys, value, hidden_spans(lengths, keys, "_n", sizes, reps)), "hidden")
     group = ["method", "size", *(by or [])]

@@ -14,11 +14,11 @@ def known_neighbours(df: DataFrame, keys: list[str], time: str, value: str, posi
     w = Window.partitionBy(*keys).orderBy(time)
     if position is None:
         df, position = df.withColumn("_rn", F.row_number().over(w)), "_rn"
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(position).alias("t")))
-    prev = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.last(known, True).over(Window.partitionBy(*keys).orderBy(F.col(position).desc()).rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumn("_p", prev).withColumn("_n", nxt)
-    return out.select("*", F.col("_p.v").alias("_pv"), F.col("_p.t").alias("_pt"), F.col("_n.v").alias("_nv"), F.col("_n.t").alias("_nt"), F.col(position).alias("_at")).drop("_p", "_n")
+    # value and place on their own: plain numbers are cheaper to carry along a frame than a struct
+    v, t = F.col(value), F.when(F.col(value).isNotNull(), F.col(position))
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy(F.col(position).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.select("*", F.last(v, True).over(back).alias("_pv"), F.last(t, True).over(back).alias("_pt"))
+    return out.select("*", F.last(v, True).over(ahead).alias("_nv"), F.last(t, True).over(ahead).alias("_nt"), F.col(position).alias("_at"))
 
 
 _HELP = ("_pv", "_pt", "_nv", "_nt", "_at", "_rn")

@@ -525,7 +525,7 @@ def f13_spans(spark, d):
 @query("f13_masked_back_test", f"WITH {_COPIES}, every AS ({_HIDDEN}) SELECT method, size, {_SCORES} FROM every GROUP BY 1, 2")
 def f13(spark, d):
     methods = {"linear": fill.linear, "nearest": fill.nearest, "rolling": lambda *a: fill.rolling_mean(*a, daily=True)}
-    return rounded(backtest.run(_segments(spark, d), ["site"], "i", "q", [2, 6, 24], 2, methods))
+    return rounded(backtest.run(_segments(spark, d).drop("day"), ["site"], "i", "q", [2, 6, 24], 2, methods))
 
 
 @query("f8_model_fill")
