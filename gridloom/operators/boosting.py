@@ -43,15 +43,18 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
     edges = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     at = bin_of(x, edges) + np.arange(width) * BINS
     base = float(y.mean())
-    rest = y - base
+    rest, row = y - base, np.arange(len(y))
+    # the root's bins and counts are those of every tree
+    root = at.ravel()
+    root_count = np.bincount(root, minlength=width * BINS).reshape(1, width, BINS).cumsum(2)
     features, cuts, leaves = np.zeros((trees, nodes), np.int64), np.full((trees, nodes), BINS), np.zeros((trees, nodes + 1))
     for t in range(trees):
-        node = np.zeros(len(y), np.int64)
+        node, weight = np.zeros(len(y), np.int64), np.repeat(rest, width)
         for level in range(depth):
             first, n = (1 << level) - 1, 1 << level
-            flat = ((node - first)[:, None] * (width * BINS) + at).ravel()
-            total = np.bincount(flat, np.repeat(rest, width), n * width * BINS).reshape(n, width, BINS).cumsum(2)
-            count = np.bincount(flat, minlength=n * width * BINS).reshape(n, width, BINS).cumsum(2)
+            flat = ((node - first)[:, None] * (width * BINS) + at).ravel() if level else root
+            total = np.bincount(flat, weight, n * width * BINS).reshape(n, width, BINS).cumsum(2)
+            count = np.bincount(flat, minlength=n * width * BINS).reshape(n, width, BINS).cumsum(2) if level else root_count
             all_r, all_n = total[:, :1, -1:], count[:, :1, -1:]
             gain = total**2 / (count + ridge) + (all_r - total) ** 2 / (all_n - count + ridge)
             gain[(count == 0) | (count == all_n)] = -1
@@ -60,7 +63,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
             features[t, first : first + n] = best // BINS
             cuts[t, first : first + n] = np.where(splits, best % BINS, BINS)
             f = features[t][node]
-            node = 2 * node + 1 + (at[np.arange(len(y)), f] - f * BINS > cuts[t][node])
+            node = 2 * node + 1 + (at[row, f] - f * BINS > cuts[t][node])
         leaf = node - nodes
         sums, sizes = np.bincount(leaf, rest, nodes + 1), np.bincount(leaf, minlength=nodes + 1)
         leaves[t] = sums / (sizes + ridge)

@@ -160,8 +160,13 @@ def lag_space(df: DataFrame, keys: list[str], time: str, value: str, hour: Colum
     w = Window.partitionBy(*keys).orderBy(time)
     day = w.rowsBetween(-23, 0)
     one = [*(F.lag(value, k).over(w) for k in range(1, lags + 1)), hour, day_of_year, month, F.avg(value).over(day), F.coalesce(F.stddev_samp(value).over(day), F.when(F.count(value).over(day) > 0, F.lit(0.0))), hour.between(6, 20).cast("int")]
-    out = df.select(*keys, F.col(time), F.col(value), F.array(*(c.cast("double") for c in one)).alias("features"))
-    return out.withColumn("features", F.when(~F.exists("features", lambda x: x.isNull()), F.col("features")))
+    out = df.select(*keys, F.col(time), F.col(value), *(c.cast("double").alias(f"_f{i}") for i, c in enumerate(one)))
+    names = [f"_f{i}" for i in range(len(one))]
+    # plain columns up to here: functions of array elements are not compiled
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & F.col(c).isNotNull()
+    return out.select(*keys, time, value, F.when(whole, F.array(*names)).alias("features"))
 
 
 def scaled_by_key(df: DataFrame, keys: list[str], vector: str, width: int, learned: Column, least: int = LEAST_TRAINED) -> DataFrame:
@@ -223,6 +228,7 @@ def by_own_model(df: DataFrame, keys: list[str], time: str, value: str, hour: Co
     from .ranks import join_same
 
     at = F.timestamp_seconds(F.col(time) * 3600)
+    df = kept(df, "series")
     space = lag_space(df, keys, time, value, F.pmod(F.col(time), F.lit(24)) if hour is None else hour, F.dayofyear(at) if day_of_year is None else day_of_year, F.month(at) if month is None else month, lags)
     space = kept(space.where("features is not null"), "lag-space")
     trained = space.where(F.col(value).isNotNull())

@@ -136,6 +136,14 @@ def test_each_series_has_its_own_model(spark, monkeypatch):
     assert fill.by_own_model(df.limit(0), ["k"], "t", "v").count() == 0
 
 
+def test_fill_by_own_model_makes_its_series_once(spark):
+    df = spark.createDataFrame([("a", t, None if t % 41 == 40 else 5 + float(t % 24)) for t in range(200)] + [("b", t, float(t)) for t in range(20)], "k string, t long, v double")
+    seen, made = counted(spark, df)
+    got = {(r["k"], r["t"]): r["filled"] for r in fill.by_own_model(seen, ["k"], "t", "v").collect()}
+    assert got == pytest.approx({(r["k"], r["t"]): r["filled"] for r in fill.by_own_model(df, ["k"], "t", "v").collect()}) and len(got) == 220
+    assert made.value == 220
+
+
 def wave(n, seed=0, period=24):
     t = np.arange(n)
     trend, season = 20 + 0.01 * t + 3 * np.sin(t / 200), 5 * np.sin(2 * np.pi * t / period)
